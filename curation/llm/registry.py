@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from curation.llm import bpe_counts, exact_dedup
+from curation.llm import bpe_counts, exact_dedup, fingerprints, language_id, near_dedup, packing, quality, substring_dedup, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_token_counts": bpe_counts.op2_token_counts,
+    "op3_quality": quality.op3_quality,
+    "op4_packing": packing.op4_packing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_warc": warc.op6_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES = {
+    "op6_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
