@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -57,6 +58,12 @@ class DocumentIds:
         return [self.encoded([texts[i]])[0] if i in whole else b"".join(map(get, ws)) for i, ws in enumerate(split)]
 
 
+@lru_cache(maxsize=1)
+def ids_of(path: str) -> DocumentIds:
+    """One tokenizer per worker process, whose word cache its tasks share."""
+    return DocumentIds(path)
+
+
 def sequence_sizes(total: int, capacity: int = CAPACITY) -> list[int]:
     """Full sequences, then one for each power of two in what is left."""
     full, rest = divmod(total, capacity)
@@ -103,7 +110,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema), first + len(sizes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, following = DocumentIds(path), TaskContext.get().partitionId() << 40
+        encode, following = ids_of(path), TaskContext.get().partitionId() << 40
         end = np.asarray([END_ID], "<u4").tobytes()
         ids, tokens, held = [], [], 0
         for batch in batches:
