@@ -7,7 +7,9 @@ nor its id, language or source.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from curation.llm.common import small_batches, table
 #: Bounds of the samples that the model is fitted on, in rows: trusted positives, and unlabelled texts.
 POSITIVES, UNLABELLED = 6000, 12000
 THRESHOLD = 0.7
-STEPS, RATE, DECAY = 600, 0.05, 1e-4
+STEPS, RATE, DECAY = 500, 0.05, 1e-4
 
 
 def byte_classes() -> np.ndarray:
@@ -34,11 +36,11 @@ def byte_classes() -> np.ndarray:
 
 CLASSES = byte_classes()
 N = int(CLASSES.max()) + 1
-WIDTH = N + N * N + 4
+WIDTH = N + N * N + 10
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of byte classes and of pairs, and four measures of length; zeros if there is no text."""
+    """Square roots of the shares of byte classes and of pairs, measures of repetition and of length; zeros if there is no text."""
     out = np.zeros(WIDTH, np.float32)
     if not text:
         return out
@@ -48,6 +50,12 @@ def features(text: str | None) -> np.ndarray:
     if len(code) > 1:
         out[N : N + N * N] = np.sqrt(np.bincount(code[:-1] * N + code[1:], minlength=N * N) / (len(code) - 1))
     blanks, lines = one[1] + one[2], one[2] + 1
+    words = text.split()
+    counts = Counter(words)
+    n = max(len(words), 1)
+    again = sum(map(eq, words, words[1:])) / n
+    marked = sum(not w[-1].isalnum() for w in words) / n
+    out[-10:-4] = again, again**0.5, max(counts.values(), default=0) / n, len(counts) / n, marked, min(1.0, len(counts) / n**0.8)
     out[-4:] = 1, np.log1p(len(code)) / 10, min(1.0, len(code) / (10.0 * (blanks + 1))), np.log1p(len(code) / lines) / 10
     return out
 
@@ -62,15 +70,19 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.nda
     Where the second part has gone below zero the step instead raises it, which keeps the model from learning the
     trusted positives by heart.
     """
-    w, m, v = (np.zeros(positive.shape[1]) for _ in range(3))
+    seen = (positive != 0).any(axis=0) | (unlabelled != 0).any(axis=0)
+    positive, unlabelled = (np.ascontiguousarray(x[:, seen], np.float32) for x in (positive, unlabelled))
+    w, m, v = (np.zeros(positive.shape[1], np.float32) for _ in range(3))
     for step in range(1, STEPS + 1):
         p, u = positive @ w, unlabelled @ w
         gap = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
         gain = unlabelled.T @ sigmoid(u) / len(u) - prior * (positive.T @ sigmoid(p)) / len(p)
         g = (prior * (positive.T @ (sigmoid(p) - 1)) / len(p) + gain if gap >= 0 else -gain) + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+        w -= np.float32(RATE) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    weights = np.zeros(len(seen))
+    weights[seen] = w
+    return weights
 
 
 def separated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from curation.llm import bpe_counts, exact_dedup, fingerprints, language_id, near_dedup, packing, quality, substring_dedup, warc
+import corpus_pipeline
+from curation.llm import bpe_counts, exact_dedup, fingerprints, language_id, near_dedup, packing, piece_codec, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -12,8 +13,10 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_warc": warc.op6_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_piece_codec": piece_codec.op8_piece_codec,
     "op9_language_id": language_id.op9_language_id,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,15 +252,15 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     kind = spans.schema["spans"].dataType
 
     @F.pandas_udf("string")
-    def cut(texts, spans_):
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for t, found in zip(texts, spans_):
-            if t is not None and found is not None and len(found):
+        for t, spans_ in zip(texts, found):
+            if t is not None and spans_ is not None and len(spans_):
                 ws = t.encode().split()
-                keep = kept_mask(len(ws), found)
+                keep = kept_mask(len(ws), spans_)
                 t = b" ".join(w for w, k in zip(ws, keep) if k).decode()
             out.append(t)
-        return type(texts)(out, dtype="object")
+        return pd.Series(out, dtype="object")
 
     rows = with_spans(docs, spans, id_col).withColumn("_spans", F.col("_spans").cast(kind))
     text = F.when(F.col("_spans").isNull(), F.col(f"_own.{text_col}")).otherwise(cut(F.col(f"_own.{text_col}"), F.col("_spans")))
