@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from curation.functions import text as T
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     """``difflib`` ratio of two strings, with its asymmetry."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(left, right)])
+
+    return ratio(a, b)
 
 
 def taxonomy_score(signal: Column, name: Column) -> Column:

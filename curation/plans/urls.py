@@ -214,8 +214,8 @@ def fetch_ladder(spark, d):
 
 
 @query("t16_detail_links", f"""
-WITH {LINKS}, c AS (SELECT a.page_id, link, pos, starts_with({path('link')}, {path('p.url')}) AS nested FROM a JOIN pages p USING (page_id)), m AS (SELECT *, max(nested::INT) OVER (PARTITION BY page_id) AS some FROM c)
-SELECT page_id, link, pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM m WHERE some = 0 OR nested) WHERE n <= 8""")
+WITH {LINKS}, c AS (SELECT a.page_id, link, pos, starts_with({path('link')}, {path('p.url')}) AS nested FROM a JOIN pages p USING (page_id)), m AS (SELECT *, max(nested::INT) OVER (PARTITION BY page_id) AS has_nested FROM c)
+SELECT page_id, link, pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM m WHERE has_nested = 0 OR nested) WHERE n <= 8""")
 def detail_links(spark, d):
     """Nested links alone if a page has any, else its others, eight at most."""
     c = page_links(spark, d).join(table(spark, d, "pages").select("page_id", "url"), "page_id").withColumn("nested", F.startswith(U.path(F.col("link")), U.path(F.col("url"))))
