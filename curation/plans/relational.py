@@ -240,12 +240,12 @@ def programmes_ordered(spark, d):
     return star.program(spark, d).join(star.catalog(spark, d), "catalog_id").select("academic_year", "catalog_name", "program_id").orderBy(F.desc("academic_year"), "catalog_name", "program_id")
 
 
-@query("t2_t3_children_ordered", CTE + "SELECT program_id, line, row_number() OVER (PARTITION BY program_id ORDER BY cutoff NULLS FIRST, line) AS by_cutoff, row_number() OVER (PARTITION BY program_id ORDER BY scope, mode, basis, line) AS by_scope FROM fee")
+@query("t2_t3_children_ordered", CTE + "SELECT program_id, line, row_number() OVER (PARTITION BY program_id ORDER BY cutoff NULLS FIRST, line, amount, scope, mode) AS by_cutoff, row_number() OVER (PARTITION BY program_id ORDER BY scope, mode, basis, line, amount, cutoff) AS by_scope FROM fee")
 def children_ordered(spark, d):
     w = W.partitionBy("program_id")
     return star.fee(spark, d).select(
-        "program_id", "line", F.row_number().over(w.orderBy(F.asc_nulls_first("cutoff"), "line")).cast("long").alias("by_cutoff"),
-        F.row_number().over(w.orderBy("scope", "mode", "basis", "line")).cast("long").alias("by_scope"),
+        "program_id", "line", F.row_number().over(w.orderBy(F.asc_nulls_first("cutoff"), "line", "amount", "scope", "mode")).cast("long").alias("by_cutoff"),
+        F.row_number().over(w.orderBy("scope", "mode", "basis", "line", "amount", "cutoff")).cast("long").alias("by_scope"),
     )
 
 
