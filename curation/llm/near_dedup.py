@@ -4,13 +4,15 @@
    smallest id; only these go on, so exact copies never multiply anything.
 2. A set of more than SHORT_FROM shingles is hashed once into ROWS * BANDS bins; each empty bin borrows from a bin that a fixed
    random sequence reaches first (optimal densification). Each band of bins is a bucket key. Sets of up to SHORT_TO
-   shingles get keys that lose no link at all: dealt to d + 1 groups, two sets that differ in at most d elements have
-   an equal group (pigeonhole), and d follows from the size and the threshold. The two ranges overlap so that any two
-   sets that may be linked share one kind of key.
-3. In each bucket a centre, the member with the most bucket mates overall, is compared with every other member: as
-   many candidate edges as members. Links are confirmed on full sets, and components formed.
+   shingles get keys by pigeonhole: dealt to d + 1 groups, two sets that differ in at most d elements have an equal
+   group, and d follows from the size and the threshold. Empty groups give no key, so sets of up to TINY shingles are
+   dealt DEALS times. The two ranges overlap so that any two sets that may be linked share one kind of key.
+3. In each bucket a centre, the member with the most bucket mates overall, is compared with every other member: at most
+   as many candidate edges as members. Links are confirmed on full sets, and components formed.
 4. Only in buckets that still hold several components, each member outside the largest of them is a further centre, for
-   members of other components of a fitting size. So no pair of bucket mates that could join two components is left out.
+   members of other components. So no pair of bucket mates that could join two components is left out.
+   In both, a candidate edge must first pass two tests that no linked pair fails: the sizes fit, and the parity bitmaps
+   of the two sets (each shingle flips one of BITS bits) differ in no more bits than the sets may differ in shingles.
 5. Components by alternating large and small stars.
 """
 
@@ -18,19 +20,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curation.llm.common import slot, slot_bitmap, small_batches, table, with_membership, written
 
 ROWS, BANDS = 6, 32
 SHORT_FROM, SHORT_TO = 64, 128
+TINY, DEALS = 40, 3
 #: Members of a star that one group of the confirming pass compares with their centre.
 STAR_PART = 128
+#: Bits of the parity bitmap.
+BITS = 1024
 CACHE_WORDS = 400_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -67,6 +74,18 @@ def shingle_set(text: bytes, hashes: WordHashes, size: int) -> np.ndarray:
     return np.unique(h)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """BITS bits as longs, each shingle flipping one; two bitmaps differ in at most as many bits as the sets in shingles."""
+    flips = np.bincount((mixed(s) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
+def may_link(na: Column, bits_a: Column, nb: Column, bits_b: Column, percent: int) -> Column:
+    """False only for sets that are surely less alike than ``percent``."""
+    differ = reduce(add, (F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(BITS // 64)))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+
+
 class Keys:
     """Bucket keys of a shingle set."""
 
@@ -84,22 +103,23 @@ class Keys:
         found = []
         if 0 < len(s) <= SHORT_TO:
             level = int(np.searchsorted(self.levels, len(s)))
-            found += [self.groups(s, level), self.groups(s, level + 1)]
+            deals = DEALS if len(s) <= TINY else 1
+            found += [self.groups(s, at, deal) for at in (level, level + 1) for deal in range(deals)]
         if len(s) > SHORT_FROM:
             found.append(self.banded(s))
         return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
 
-    def groups(self, s: np.ndarray, level: int) -> np.ndarray:
+    def groups(self, s: np.ndarray, level: int, deal: int) -> np.ndarray:
         # |A| + |B| = union + intersection and union - intersection <= (1 - p) * union bound the elements that differ
         p = self.percent
         differ = 2 * self.levels[level] * (100 - p) // (100 + p)
         g = differ + 1
-        m = mixed(s ^ self.salts[level])
+        m = mixed(s ^ self.salts[level + 500 * deal])
         at = (m >> np.uint64(33)) % np.uint64(g)
         order = np.argsort(at, kind="stable")
         full, first = np.unique(at[order], return_index=True)
         sums = np.add.reduceat(mixed(m)[order], first)
-        return mixed(sums ^ self.salts[1000 + (level * 311 + full.astype(np.int64)) % 50_000])
+        return mixed(sums ^ self.salts[2000 + ((deal * 64 + level) * 311 + full.astype(np.int64)) % 60_000])
 
     def signature(self, s: np.ndarray) -> np.ndarray:
         sig = np.full(self.bins, _NONE, np.uint64)
@@ -116,25 +136,25 @@ class Keys:
 
     def banded(self, s: np.ndarray) -> np.ndarray:
         sig = self.signature(s).reshape(self.bands, self.rows)
-        key = self.salts[20_000 + np.arange(self.bands)].copy()
+        key = self.salts[1500 + np.arange(self.bands)].copy()
         for j in range(self.rows):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
         return key
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rows: int, bands: int) -> DataFrame:
-    """id, n_shingles, digest of the shingle set (null: empty set), bucket keys."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("keys", pa.list_(pa.int64()))])
+    """id, n_shingles, digest of the shingle set (null: empty set), parity bitmap, bucket keys."""
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys = WordHashes(), Keys(percent, rows, bands)
         for batch in batches:
             sets = [shingle_set(t or b"", hashes, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.string()), pa.array([keys.of(s) for s in sets], pa.list_(pa.int64()))]
+            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.string()), *(pa.array(map(f, sets), pa.list_(pa.int64())) for f in (parity, keys.of))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "id long, n_shingles long, digest string, keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "id long, n_shingles long, digest string, bits array<long>, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -213,24 +233,26 @@ def near_duplicates(
     sig = written(signatures(docs, id_col, text_col, shingle_words, percent, rows, bands))
     classes = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = sig.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")), "left_semi")
-    keyed = nodes.select("id", "n_shingles", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    keyed = nodes.select("id", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     mates = written(keyed.join(buckets, "key"))
     degrees = mates.groupBy("id").agg(F.sum("size").alias("degree"))
-    centres = mates.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
-    stars = mates.join(centres, "key").select((-F.col("top.minus")).alias("a"), F.col("id").alias("b"), "n_shingles", "key")
-    first = written(stars.where("a <> b").select("a", "b").distinct())
+    members = written(mates.join(degrees, "id").join(nodes.dropDuplicates(["id"]).select("id", "n_shingles", "bits"), "id").drop("size"))
+    centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n_shingles", "bits")).alias("top"))
+    near = may_link(F.col("n_shingles"), F.col("bits"), F.col("top.n_shingles"), F.col("top.bits"), percent) & (F.col("id") != -F.col("top.minus"))
+    stars = members.join(centres.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & near)
+    first = written(stars.select((-F.col("top.minus")).alias("a"), F.col("id").alias("b")).distinct())
     links = written(confirmed(first, docs, id_col, text_col, shingle_words, percent))
     found = components(links)
 
-    placed = mates.join(found, "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    placed = members.join(found, "id", "left").select("key", "id", "n_shingles", "bits", F.coalesce("component", "id").alias("component"))
     counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1").select("key", F.col("top.component").alias("main"))
     unsettled = written(placed.join(several, "key"))
-    strangers = unsettled.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    fits = (100 * F.least("na", "n_shingles") >= percent * F.greatest("na", "n_shingles")) & (F.col("ca") != F.col("component"))
+    strangers = unsettled.where("component <> main").select(F.col("key").alias("_key"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("bits_a"))
+    fits = may_link(F.col("na"), F.col("bits_a"), F.col("n_shingles"), F.col("bits"), percent) & (F.col("ca") != F.col("component"))
     once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("id"))
-    rest = unsettled.join(strangers, "key").where(fits & once).select("a", F.col("id").alias("b")).distinct()
+    rest = unsettled.join(strangers, (F.col("key") == F.col("_key")) & fits & once).select("a", F.col("id").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     rest = rest.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).dropDuplicates(["x", "y"]).join(tried, ["x", "y"], "left_anti").select("a", "b")
     rest = written(rest)
