@@ -12,7 +12,6 @@ Characters outside the vocabulary become byte pieces.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from array import array
@@ -154,22 +153,24 @@ def pieces_of(path: str) -> Pieces:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and ``ids``, the whole text's pieces (null and empty: none). Repeated rows are encoded each for
-    itself, a null id is handed through, other columns are not read, and an empty table gives no rows."""
+    """Per row: id, ``ids``, the whole text's pieces (null and empty: none), and their CRC-32 as little-endian 32-bit
+    values. Repeated rows are encoded each for itself, a null id is handed through, other columns are not read, and an
+    empty table gives no rows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for batch in batches:
-            found = [np.frombuffer(x, "<i4") for x in pieces.encode([t or "" for t in batch.column(1).to_pylist()])]
+            raw = pieces.encode([t or "" for t in batch.column(1).to_pylist()])
+            found = [np.frombuffer(x, "<i4") for x in raw]
             offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(map(zlib.crc32, raw), pa.int64())], names=["doc_id", "ids", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "doc_id long, ids array<int>, ids_crc32 long")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) -> doc_id, ids, text."""
+    """The rows of ``encoded`` with the text of their ``ids`` in ``text``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
@@ -177,26 +178,16 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             column = batch.column(1)
             values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
             texts = [pieces.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(task, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids", "ids_crc32").mapInArrow(task, "doc_id long, ids array<int>, ids_crc32 long, text string")
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_pieces, the CRC-32 of its ids (little-endian, 32 bits), and the SHA-256 of the decoded text."""
+    """Per document: n_pieces, the CRC-32 of its ids, and the SHA-256 of the text that they decode to."""
     import public_tokenizers
 
     small_batches(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            values, offsets = column.values.to_numpy().astype("<i4"), column.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            digests = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
-
-    return decoded.mapInArrow(task, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))

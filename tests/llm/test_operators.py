@@ -241,7 +241,7 @@ def test_language_of_words_and_documents(spark, docs, rows, empty):
     words = ("the cat and the dog sat on the mat le chat et le chien sont sur le tapis").split()
     first = np.zeros(len(words), bool)
     first[0] = True
-    p = field.marginals(field.unary(words), first)
+    p = field.marginals(field.looked_up(words)[0], first)
     assert [field.languages[i] for i in p.argmax(axis=1)] == ["en"] * 9 + ["fr"] * 9
     got = {r["doc_id"]: r for r in language_id.label_documents(docs, field).collect()}
     assert all((got[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t or "")) for i, t, *_ in rows)
