@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curation.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
-from curation.llm.common import shared_dir, small_batches, table, written
+from curation.llm.common import small_batches, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
