@@ -59,7 +59,8 @@ def near_distinct_requirements(rows: DataFrame, group: str, position: str, text:
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position).reset_index(drop=True)
-        loose = [" ".join("".join(c if c.isalnum() or c == "." else " " for c in (t or "").lower()).split()) for t in pdf[text]]
+        spaced = ["".join(c if c.isalnum() or c == "." else " " for c in (t or "").lower()) for t in pdf[text]]
+        loose = [" ".join(filter(None, (w.strip(".") for w in t.split()))) for t in spaced]
         kept: list[int] = []
         for i, t in enumerate(loose):
             if not t or any(j != i and t in loose[j] and (t != loose[j] or j < i) for j in range(len(loose))):
