@@ -56,12 +56,18 @@ class WordCounts(dict):
         if n is None:
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
-            raw = word.encode()
-            n = self.pieces[word] = self.merged([*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]])
+            n = self.pieces[word] = self.merged(self.symbols(word))
         return n
 
+    def symbols(self, word: str) -> list[int]:
+        raw = word.encode()
+        return [*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]
+
     def merged(self, symbols: list[int]) -> int:
-        """Symbols left after popping the lowest-rank adjacent pair (leftmost of equals) until none is known."""
+        """Number of symbols left after popping the lowest-rank adjacent pair (leftmost of equals) until none is known.
+
+        The list is merged in place; a symbol that went into the one before it is -1.
+        """
         n, merges = len(symbols), self.merges
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (m := merges.get((a, b)))]

@@ -1,8 +1,9 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
 Each round counts small keys and hands the next one only the rows whose key is shared. Who survives is told by a
-bitmap of fixed size (see ``common``), so the text itself is never shuffled and a hot group is only ever a key with
-a count. A slot shared by two keys merely lets a row into a later round; groups are formed on SHA-256 alone.
+bitmap of fixed size (see ``common``), so no text is shuffled to find the groups and a hot group is only ever a key with
+a count. A slot shared by two keys merely lets a row into a later round; groups are formed on SHA-256 alone. Columns
+that are carried along go through a join only for rows that reach the last round.
 """
 
 from __future__ import annotations
@@ -48,17 +49,20 @@ def exact_duplicates(
         .agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
     )
-    digest = F.coalesce(F.col("_full"), F.sha2("_text", 256)) if digest_all else F.col("_full")
-    # a row without a full hash meets nothing; a key of its own spreads such rows over the partitions
-    lone = F.concat(F.lit("-"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit("-"), F.col("_len").cast("string"))
-    out = hashed.select("_row", "_id", digest.alias("full_hash"), F.coalesce("_full", lone).alias("_key"))
-    joined = out.join(groups.withColumnRenamed("_full", "_key"), "_key", "left")
-    return joined.select(
-        "_row.*",
-        "full_hash",
-        F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("_n").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))).alias("kept"),
+    # rows that earlier rounds proved unique don't go through the join
+    lone_hash = F.sha2("_text", 256) if digest_all else F.lit(None).cast("string")
+    lone = hashed.where("_full is null").select(
+        "_row.*", lone_hash.alias("full_hash"), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
+    )
+    joined = hashed.where("_full is not null").select("_row", "_id", "_full").join(groups, "_full", "left")
+    return lone.unionByName(
+        joined.select(
+            "_row.*",
+            F.col("_full").alias("full_hash"),
+            F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
+            F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+            (F.col("_n").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))).alias("kept"),
+        )
     )
 
 

@@ -9,7 +9,10 @@ hot, and a lost task repeats its own pools only.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -20,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curation.llm.bpe_counts import WordCounts
 from curation.llm.common import small_batches, table
 
 CAPACITY = 4096
@@ -28,34 +32,81 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Entries of a worker's word cache; it is emptied when full.
-CACHE_WORDS = 300_000
+#: Entries of a generation of a worker's caches of words and of their pieces.
+CACHE_WORDS = 250_000
+#: Up to so many symbols a piece's pairs are scanned for the lowest rank; more go over a heap.
+SCAN_SYMBOLS = 40
+NO_RANK = 1 << 30
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
+class Recent(dict):
+    """A cache of two generations: once ``most`` entries are new, those before them are forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.before = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.before[key]
+        return value
+
+    def absent(self, keys: set) -> list:
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+        return [k for k in keys if k not in self and k not in self.before]
+
+
 class DocumentIds:
-    """Whole texts -> their ids as little-endian unsigned 32-bit bytes, each distinct word being tokenised once."""
+    """Whole texts -> their ids as little-endian unsigned 32-bit bytes, those of the tokenizer; each distinct piece of a
+    word is merged once, which is faster than to hand such short strings to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            self.merges = WordCounts(json.load(f))
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.merges.items()}
+        self.made = [new for _, new in sorted(self.merges.merges.values())]
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+
+    def merged(self, piece: str) -> bytes:
+        """Ids of one piece: the lowest rank among its few pairs is merged, leftmost first; long pieces go over a heap."""
+        ids = self.merges.symbols(piece)
+        if len(ids) > SCAN_SYMBOLS:
+            self.merges.merged(ids)
+            return array("I", [s for s in ids if s >= 0]).tobytes()
+        rank = self.ranks.get
+        ranks = [rank(pair, NO_RANK) for pair in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < NO_RANK:
+            i = ranks.index(low)
+            ids[i : i + 2] = [self.made[low]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NO_RANK)
+        return array("I", ids).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        # special strings and the separators that str.split adds to white space are left to the tokenizer itself
-        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list(set().union(*split).difference(self.words))
-        for i in range(0, len(new), 4096):
-            self.words.update(zip(new[i : i + 4096], self.encoded(new[i : i + 4096])))
+        # special strings, the separators that str.split adds to white space and the letter whose lower case depends on
+        # its place are left to the tokenizer
+        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ")}
+        split = [[] if i in whole else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
+        new = self.words.absent(set().union(*split))
+        plain = [w for w in new if w.isalpha()]
+        cut = [(w, self.merges.pattern.findall(w)) for w in new if not w.isalpha()]
+        self.pieces.update((p, self.merged(p)) for p in self.pieces.absent({*plain, *(p for _, ps in cut for p in ps)}))
+        piece = self.pieces.__getitem__
+        self.words.update(zip(plain, map(piece, plain)))
+        self.words.update((w, b"".join(map(piece, ps))) for w, ps in cut)
         get = self.words.__getitem__
-        return [self.encoded([texts[i]])[0] if i in whole else b"".join(map(get, ws)) for i, ws in enumerate(split)]
+        return [self.library(texts[i]) if i in whole else b"".join(map(get, ws)) for i, ws in enumerate(split)]
+
+    def library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=1)

@@ -241,7 +241,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> Dat
 
 def kept_mask(n: int, spans: list[dict] | None) -> np.ndarray:
     keep = np.ones(n, bool)
-    for x in spans or ():
+    for x in () if spans is None else spans:
         keep[x["s"] : x["e"]] = False
     return keep
 
@@ -263,7 +263,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return pd.Series(out, dtype="object")
 
     rows = with_spans(docs, spans, id_col).withColumn("_spans", F.col("_spans").cast(kind))
-    text = F.when(F.col("_spans").isNull(), F.col(f"_own.{text_col}")).otherwise(cut(F.col(f"_own.{text_col}"), F.col("_spans")))
+    text = F.when(F.col("_spans").isNull(), F.col(f"_own.{text_col}")).otherwise(cut.asNondeterministic()(F.col(f"_own.{text_col}"), F.col("_spans")))
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"_own.`{c}`").alias(c) for c in docs.columns])
 
 
