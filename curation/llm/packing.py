@@ -10,6 +10,7 @@ hot, and a lost task repeats its own pools only.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 import zlib
 from array import array
@@ -19,11 +20,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.bpe_counts import WordCounts
 from curation.llm.common import small_batches, table
 
 CAPACITY = 4096
@@ -32,78 +33,64 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Entries of a generation of a worker's caches of words and of their pieces.
+#: Entries of a generation of a worker's cache of words and of their pieces.
 CACHE_WORDS = 250_000
-#: Up to so many symbols a piece's pairs are scanned for the lowest rank; more go over a heap.
-SCAN_SYMBOLS = 40
-NO_RANK = 1 << 30
+#: Pieces that one call of the library merges.
+CALL_PIECES = 256
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
-class Recent(dict):
-    """A cache of two generations: once ``most`` entries are new, those before them are forgotten."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.before = most, {}
-
-    def __missing__(self, key):
-        value = self[key] = self.before[key]
-        return value
-
-    def absent(self, keys: set) -> list:
-        if len(self) > self.most:
-            self.before = dict(self)
-            self.clear()
-        return [k for k in keys if k not in self and k not in self.before]
-
-
 class DocumentIds:
     """Whole texts -> their ids as little-endian unsigned 32-bit bytes, those of the tokenizer; each distinct piece of a
-    word is merged once, which is faster than to hand such short strings to the library."""
+    word goes to the library once, many in one call. The cache of words and pieces has two generations: once the new
+    one is full, the one before it is forgotten."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.merges = WordCounts(json.load(f))
-        self.ranks = {pair: rank for pair, (rank, _) in self.merges.merges.items()}
-        self.made = [new for _, new in sorted(self.merges.merges.values())]
-        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Recent(CACHE_WORDS), Recent(CACHE_WORDS)
-
-    def merged(self, piece: str) -> bytes:
-        """Ids of one piece: the lowest rank among its few pairs is merged, leftmost first; long pieces go over a heap."""
-        ids = self.merges.symbols(piece)
-        if len(ids) > SCAN_SYMBOLS:
-            self.merges.merged(ids)
-            return array("I", [s for s in ids if s >= 0]).tobytes()
-        rank = self.ranks.get
-        ranks = [rank(pair, NO_RANK) for pair in zip(ids, ids[1:])]
-        while ranks and (low := min(ranks)) < NO_RANK:
-            i = ranks.index(low)
-            ids[i : i + 2] = [self.made[low]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), NO_RANK)
-            if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), NO_RANK)
-        return array("I", ids).tobytes()
+            spec = json.load(f)
+        split, letters = spec["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        # the same model for text that is normalised and cut already
+        bare = {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, letters]}}
+        self.merges, self.tokenizer = Tokenizer.from_str(json.dumps(spec | bare)), Tokenizer.from_file(path)
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: merged side by side, told apart by the tokens that end a word."""
+        calls = [" ".join(pieces[i : i + CALL_PIECES]) for i in range(0, len(pieces), CALL_PIECES)]
+        ids = np.concatenate([np.empty(0, "<u4"), *(np.asarray(e.ids, "<u4") for e in self.merges.encode_batch_fast(calls, add_special_tokens=False))])
+        raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         # special strings, the separators that str.split adds to white space and the letter whose lower case depends on
         # its place are left to the tokenizer
         whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ")}
         split = [[] if i in whole else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
-        new = self.words.absent(set().union(*split))
-        plain = [w for w in new if w.isalpha()]
-        cut = [(w, self.merges.pattern.findall(w)) for w in new if not w.isalpha()]
-        self.pieces.update((p, self.merged(p)) for p in self.pieces.absent({*plain, *(p for _, ps in cut for p in ps)}))
-        piece = self.pieces.__getitem__
-        self.words.update(zip(plain, map(piece, plain)))
-        self.words.update((w, b"".join(map(piece, ps))) for w, ps in cut)
-        get = self.words.__getitem__
-        return [self.library(texts[i]) if i in whole else b"".join(map(get, ws)) for i, ws in enumerate(split)]
+        found = [list(map(self.known.get, ws)) for ws in split]
+        fresh = self.learnt({w for ws, ids in zip(split, found) if None in ids for w, x in zip(ws, ids) if x is None})
+        filled = (b"".join([fresh[w] if x is None else x for w, x in zip(ws, ids)]) for ws, ids in zip(split, found))
+        return [self.library(texts[i]) if i in whole else ids for i, ids in enumerate(filled)]
+
+    def learnt(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the newer generation lacks, which are kept in it from now on."""
+        fresh = {w: x for w in words if (x := self.before.get(w)) is not None}
+        cut = {w: [w] if w.isalpha() else self.pattern.findall(w) for w in words if w not in fresh}
+        pieces = [p for p in {p for ps in cut.values() for p in ps} if p not in self.known and p not in fresh]
+        fresh.update(zip(pieces, self.merged(pieces), strict=True))
+        fresh.update((w, b"".join([fresh[p] if p in fresh else self.known[p] for p in ps])) for w, ps in cut.items() if w not in fresh)
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.before = {}, self.known
+        self.known.update(fresh)
+        return fresh
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
