@@ -27,6 +27,8 @@ from curation.llm.common import shared_dir, slot, slot_bitmap, small_batches, ta
 REVISIT_BYTES = 1000
 #: A read is extended over a gap of at most GAP bytes, and up to MOST bytes.
 GAP, MOST = 64 << 10, 8 << 20
+#: Archive bytes that one reading task fetches: index rows are small, so their own size would make too few tasks.
+TASK_BYTES = 64 << 20
 CAPTURED = "1970-01-01T00:00:00Z"
 
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, path string, offset long, length long"
@@ -146,7 +148,9 @@ def read_records(index: DataFrame, root: str) -> DataFrame:
                 rows.append((page and int(page), h.get("warc-target-uri"), kind, None if refers in (None, "None") else int(refers), size, digest, payload if full else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    chosen = index.select("path", "offset", "length").repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    chosen = index.select("path", "offset", "length").repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return chosen.mapInArrow(task, RECORDS)
 
 
