@@ -180,7 +180,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in at])
             yield pa.RecordBatch.from_arrays([long_array(np.concatenate(found).view(np.int64)), long_array(ids), pa.array(np.concatenate(at), pa.int32())], names=["hash", "id", "at"])
 
-    seen = single.mapInArrow(candidates, "hash long, id long, at int")
+    seen = written(single.mapInArrow(candidates, "hash long, id long, at int"))
     owners = seen.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("high")).where("owner < high").select("hash", "owner")
     places = seen.join(owners, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "owner")).alias("places"))  # at most a document's words
     places = written(places)
