@@ -193,8 +193,18 @@ def latest_summary(spark, d):
 
 @query("a7_dropped_by_stage", "SELECT event_type AS stage, user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS links FROM events WHERE user_id < 20 GROUP BY 1, 2")
 def dropped_by_stage(spark, d):
+    """The first users of ``a7_dropped_by_stage_all``, as far as this SQL goes."""
+    return grouped_by_stage(table(spark, d, "events").where("user_id < 20"))
+
+
+def grouped_by_stage(events):
     links = F.concat_ws(",", F.array_sort(F.collect_list("event_id")).cast("array<string>"))
-    return table(spark, d, "events").where("user_id < 20").groupBy(F.col("event_type").alias("stage"), "user_id").agg(links.alias("links"))
+    return events.groupBy(F.col("event_type").alias("stage"), "user_id").agg(links.alias("links"))
+
+
+@query("a7_dropped_by_stage_all", "SELECT event_type AS stage, user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS links FROM events GROUP BY 1, 2")
+def dropped_by_stage_all(spark, d):
+    return grouped_by_stage(table(spark, d, "events"))
 
 
 @query("a12_cost_rollup", """
@@ -220,8 +230,18 @@ def ingest_counters(spark, d):
 
 @query("a22_job_with_tasks", "SELECT user_id, count(*) AS tasks, string_agg(event_type, '>' ORDER BY ts, event_id) AS stages FROM events WHERE user_id <= 10 GROUP BY user_id")
 def job_with_tasks(spark, d):
+    """The first users of ``a22_job_with_tasks_all``, as far as this SQL goes."""
+    return with_ordered_tasks(table(spark, d, "events").where("user_id <= 10"))
+
+
+@query("a22_job_with_tasks_all", "SELECT user_id, count(*) AS tasks, string_agg(event_type, '>' ORDER BY ts, event_id) AS stages FROM events GROUP BY user_id")
+def job_with_tasks_all(spark, d):
+    return with_ordered_tasks(table(spark, d, "events"))
+
+
+def with_ordered_tasks(events):
     tasks = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return table(spark, d, "events").where("user_id <= 10").groupBy("user_id").agg(F.count(F.lit(1)).alias("tasks"), F.concat_ws(">", F.transform(tasks, lambda x: x.event_type)).alias("stages"))
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("tasks"), F.concat_ws(">", F.transform(tasks, lambda x: x.event_type)).alias("stages"))
 
 
 @query("p1_p2_p3_p4_filters", CTE + "SELECT program_id, status, tuition FROM program WHERE academic_year = 1995 AND status IN ('F', 'P') AND tuition IS NOT NULL AND tuition <= 150000.00")

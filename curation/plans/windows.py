@@ -46,9 +46,18 @@ def version_validity(spark, d):
 
 @query("wf_history", CTE + "SELECT catalog_id, academic_year, program_id, CAST(round(tuition - lag(tuition) OVER (PARTITION BY catalog_id ORDER BY academic_year, program_id), 2) AS DOUBLE) AS change FROM program WHERE catalog_id <= 200 ORDER BY 1, 2, 3")
 def history(spark, d):
+    """The first entries of ``wf_history_all``, as far as this SQL goes."""
+    return with_change(star.program(spark, d).where("catalog_id <= 200"))
+
+
+@query("wf_history_all", CTE + "SELECT catalog_id, academic_year, program_id, CAST(round(tuition - lag(tuition) OVER (PARTITION BY catalog_id ORDER BY academic_year, program_id), 2) AS DOUBLE) AS change FROM program ORDER BY 1, 2, 3")
+def history_all(spark, d):
+    return with_change(star.program(spark, d))
+
+
+def with_change(programmes):
     w = W.partitionBy("catalog_id").orderBy("academic_year", "program_id")
-    rows = star.program(spark, d).where("catalog_id <= 200")
-    return rows.select("catalog_id", "academic_year", "program_id", F.round(F.col("tuition") - F.lag("tuition").over(w), 2).cast("double").alias("change")).orderBy("catalog_id", "academic_year", "program_id")
+    return programmes.select("catalog_id", "academic_year", "program_id", F.round(F.col("tuition") - F.lag("tuition").over(w), 2).cast("double").alias("change")).orderBy("catalog_id", "academic_year", "program_id")
 
 
 YIELDS = Rows("site string, page int, n int", [("a", 1, 50), ("a", 2, 48), ("a", 3, 50), ("a", 4, 5), ("b", 1, 10), ("b", 2, 0), ("b", 3, 0), ("c", 1, 10), ("c", 2, 1), ("c", 3, 9), ("c", 4, 9), ("d", 1, 0)])
@@ -133,8 +142,18 @@ def heading_sections(spark, d):
 
 @query("wn_batches_of_100", "SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 25 AS BIGINT) AS batch, event_id FROM events WHERE user_id < 50")
 def batches(spark, d):
+    """The first users of ``wn_batches_all``, as far as this SQL goes."""
+    return batched(table(spark, d, "events").where("user_id < 50"))
+
+
+@query("wn_batches_all", "SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 25 AS BIGINT) AS batch, event_id FROM events")
+def batches_all(spark, d):
+    return batched(table(spark, d, "events"))
+
+
+def batched(events):
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, d, "events").where("user_id < 50").select("user_id", F.floor((n - 1) / 25).alias("batch"), "event_id")
+    return events.select("user_id", F.floor((n - 1) / 25).alias("batch"), "event_id")
 
 
 ONHOLD = Rows("name string, confidence double, pos int", [("a", 0.7, 1), ("b", 0.9, 2), ("c", 0.7, 3), ("d", None, 4)])

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from curation.functions import text as T
 from curation.functions import urls as U
 from curation.operators import fuzzy, joins, merge
+from curation.plans.registry import QUERIES
 from curation.sources import tables
 from curation.streaming import heartbeats
+from tests.compare import DATA
 
 
 def test_fee_filter_needs_one_row_that_meets_all(spark):
@@ -110,3 +112,14 @@ def test_streams_end_sessions_and_skip_repeats(spark, tmp_path):
     assert {(r["user_id"], r["beats"]) for r in ended.collect()} >= {(1, 2)}
     first = heartbeats.run_once(heartbeats.first_per_key_stream(stream, "key"), str(tmp_path / "k"), str(tmp_path / "c2"))
     assert sorted(r["key"] for r in first.collect()) == ["k1", "k2", "k3"]
+
+
+def test_queries_of_events_and_history_keep_every_id(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    n, users = events.count(), {r[0] for r in events.select("user_id").distinct().collect()}
+    assert QUERIES["wn_batches_all"](spark, DATA).count() == n
+    stages = QUERIES["a7_dropped_by_stage_all"](spark, DATA).collect()
+    assert {r["user_id"] for r in stages} == users and sum(len(r["links"].split(",")) for r in stages) == n
+    jobs = QUERIES["a22_job_with_tasks_all"](spark, DATA).collect()
+    assert {r["user_id"] for r in jobs} == users and sum(r["tasks"] for r in jobs) == n
+    assert QUERIES["wf_history_all"](spark, DATA).count() == QUERIES["j5_no_filter_keeps_all"](spark, DATA).first()["n"]
