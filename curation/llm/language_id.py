@@ -2,7 +2,8 @@
 
 A word is seen by its affixes, character n-grams and membership in word lists learnt per language; transitions
 between the languages of neighbouring words are learnt on sequences that switch. Forward-backward gives each word's
-posterior, and a document's language is the one with the largest expected share of its words.
+posterior, and a document's language is the one with the largest expected share of its words. A run of characters
+without a blank that is longer than SEGMENT is read as several words, which overlap so that no n-gram is lost.
 """
 
 from __future__ import annotations
@@ -26,18 +27,34 @@ BUCKETS = 1 << 16
 PASSES, BATCH, RATE = 2, 64, 0.3
 #: Words of a block in the parallel scan.
 BLOCK = 32
+#: Characters of a word; of each segment of a longer one, the last OVERLAP are the first of the next.
+SEGMENT, OVERLAP = 24, 2
 CACHE_WORDS = 300_000
 LETTER = regex.compile(r"\p{L}")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„«»‘’¡¿"
 
 
+def segments(word: str) -> list[str]:
+    """The word, or its segments if it is long; inner ends are marked, so that they are no affixes and keep their signs."""
+    if len(word) <= SEGMENT:
+        return [word]
+    w = word.strip(EDGE)
+    cuts = range(0, max(1, len(w) - OVERLAP), SEGMENT - OVERLAP)
+    return ["\0" * (i > 0) + w[i : i + SEGMENT] + "\0" * (i + SEGMENT < len(w)) for i in cuts]
+
+
+def words_of(text: str) -> list[str]:
+    words = text.lower().split()
+    return words if max(map(len, words), default=0) <= SEGMENT else [s for w in words for s in segments(w)]
+
+
 def word_features(word: str, lists: dict[str, int]) -> list[int]:
     """Hashed prefixes and suffixes up to three letters, n-grams of two and three, and the word list that has it."""
     w = word.strip(EDGE)
     if not LETTER.search(w):
         return [0]
     found = [zlib.crc32(f"{k}{x}".encode()) % BUCKETS for k, x in (("<", w[:1]), ("<", w[:2]), ("<", w[:3]), (">", w[-1:]), (">", w[-2:]), (">", w[-3:]))]
-    found += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (2, 3) for i in range(min(len(w), 24) - n + 1)]
+    found += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (2, 3) for i in range(len(w) - n + 1)]
     if w in lists:
         found.append(zlib.crc32(b"list %d" % lists[w]) % BUCKETS)
     return found
@@ -132,7 +149,7 @@ def trained(texts: list[tuple[str, str]]) -> Field:
     languages = sorted({lang for _, lang in texts})
     place = {lang: i for i, lang in enumerate(languages)}
     k, draw = len(languages), np.random.default_rng(11)
-    held = [(t.lower().split(), place[lang]) for t, lang in sorted(texts)]
+    held = [(words_of(t), place[lang]) for t, lang in sorted(texts)]
     held = [(w, i) for w, i in held if w]
     field = Field(languages, {}, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)))
     if k < 2 or not held:
@@ -211,7 +228,7 @@ def label_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
         k = len(model.languages)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            split = [t.lower().split() if t and LETTER.search(t) else [] for t in texts]
+            split = [words_of(t) if t and LETTER.search(t) else [] for t in texts]
             some = [i for i, ws in enumerate(split) if ws] if k else []
             names, scores, shares = ["und"] * len(texts), [0.0] * len(texts), [[0.0] * k for _ in texts]
             if some:

@@ -249,6 +249,20 @@ def test_language_of_words_and_documents(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in language_id.label_documents(docs, language_id.trained([])).collect()} == {"und"}
 
 
+def test_language_reads_every_character_of_a_long_word(spark):
+    w = "".join(chr(0x4E00 + i) for i in range(1000))
+    for word in (w[:24], w[:25], w[:46], w[:47], w, "…" + w[:60] + "," + w[60:99] + "»", "." * 60, w[:22] + ".,;" + w[:30]):
+        bare = word.strip(language_id.EDGE)
+        parts = [p.strip(language_id.EDGE) for p in language_id.words_of(word)]
+        grams = {bare[i : i + n] for n in (1, 2, 3) for i in range(len(bare) - n + 1)}
+        assert grams <= {p[i : i + n] for p in parts for n in (1, 2, 3) for i in range(len(p) - n + 1)}
+        assert all(len(p) <= language_id.SEGMENT + 2 for p in parts)
+    en, fr = "thecatandthedogsatonthemat", "lechatetlechiensontsurletapis"
+    field = language_id.trained([(en * 6, "en"), (fr * 6, "fr")] * 6)
+    long = spark.createDataFrame([(1, en[:24] + fr * 20 + "mat"), (2, fr[:24] + en * 20 + "pis")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.label_documents(long, field).collect()} == {1: "fr", 2: "en"}
+
+
 def test_blocks_give_the_plain_posteriors():
     draw = np.random.default_rng(1)
     k, sizes = 3, [1, 5, 70, 33]
