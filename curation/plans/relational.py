@@ -48,15 +48,31 @@ def star_left_joins(spark, d):
 
 @query("j3_requirement_exam_left", "SELECT p_partkey, p_name, ps AS exam FROM part LEFT JOIN (SELECT s_suppkey, s_name AS ps FROM supplier WHERE s_acctbal > 0) ON p_partkey = s_suppkey WHERE p_size <= 10")
 def requirement_exam_left(spark, d):
-    exam = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_name").alias("exam"))
-    return table(spark, d, "part").where("p_size <= 10").join(exam, "p_partkey", "left").select("p_partkey", "p_name", "exam")
+    """The small parts of ``j3_requirement_exam_left_all``, as far as this SQL goes."""
+    return with_exam(table(spark, d, "part").where("p_size <= 10"), table(spark, d, "supplier"))
+
+
+@query("j3_requirement_exam_left_all", "SELECT p_partkey, p_name, ps AS exam FROM part LEFT JOIN (SELECT s_suppkey, s_name AS ps FROM supplier WHERE s_acctbal > 0) ON p_partkey = s_suppkey")
+def requirement_exam_left_all(spark, d):
+    return with_exam(table(spark, d, "part"), table(spark, d, "supplier"))
+
+
+def with_exam(requirements, exams):
+    exam = exams.where("s_acctbal > 0").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_name").alias("exam"))
+    return requirements.join(exam, "p_partkey", "left").select("p_partkey", "p_name", "exam")
 
 
 @query("j4_program_catalog_inner", CTE + "SELECT program_id, catalog_name FROM program JOIN catalog USING (catalog_id) WHERE academic_year = 1996")
 def program_catalog_inner(spark, d):
+    """One year of ``j4_program_catalog_inner_all``, as far as this SQL goes."""
     return star.program(spark, d).where("academic_year = 1996").join(star.catalog(spark, d), "catalog_id").select("program_id", "catalog_name")
 
 
+@query("j4_program_catalog_inner_all", CTE + "SELECT program_id, catalog_name FROM program JOIN catalog USING (catalog_id)")
+def program_catalog_inner_all(spark, d):
+    return star.program(spark, d).join(star.catalog(spark, d), "catalog_id").select("program_id", "catalog_name")
+
+
 @query("j6_orphans", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def orphans(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -67,8 +83,20 @@ def orphans(spark, d):
 SELECT p.program_id, academic_year, coalesce(string_agg(scope || '/' || mode || '/' || CAST(amount AS VARCHAR), ';' ORDER BY scope, mode, amount), '') AS fees
 FROM program p LEFT JOIN fee f USING (program_id) WHERE academic_year = 1998 GROUP BY ALL""")
 def children_nested(spark, d):
+    """One year of ``j8_children_nested_all``, as far as this SQL goes."""
+    return with_fees(star.program(spark, d).where("academic_year = 1998"), star.fee(spark, d))
+
+
+@query("j8_children_nested_all", CTE + """
+SELECT p.program_id, academic_year, coalesce(string_agg(scope || '/' || mode || '/' || CAST(amount AS VARCHAR), ';' ORDER BY scope, mode, amount), '') AS fees
+FROM program p LEFT JOIN fee f USING (program_id) GROUP BY ALL""")
+def children_nested_all(spark, d):
     """Every programme with its fees in one nested column: one plan, no query per programme."""
-    out = joins.with_children(star.program(spark, d).where("academic_year = 1998"), {"fees": (star.fee(spark, d), ["scope", "mode", "amount"])}, "program_id")
+    return with_fees(star.program(spark, d), star.fee(spark, d))
+
+
+def with_fees(programmes, fees):
+    out = joins.with_children(programmes, {"fees": (fees, ["scope", "mode", "amount"])}, "program_id")
     text = F.transform(F.coalesce("fees", F.array().cast("array<struct<scope:string,mode:string,amount:decimal(12,2)>>")), lambda x: F.concat_ws("/", x.scope, x.mode, x.amount.cast("string")))
     return out.select("program_id", "academic_year", F.concat_ws(";", text).alias("fees"))
 

@@ -123,3 +123,11 @@ def test_queries_of_events_and_history_keep_every_id(spark):
     jobs = QUERIES["a22_job_with_tasks_all"](spark, DATA).collect()
     assert {r["user_id"] for r in jobs} == users and sum(r["tasks"] for r in jobs) == n
     assert QUERIES["wf_history_all"](spark, DATA).count() == QUERIES["j5_no_filter_keeps_all"](spark, DATA).first()["n"]
+
+
+def test_programmes_of_all_years_are_nested_and_exported(spark):
+    n, parts = QUERIES["j5_no_filter_keeps_all"](spark, DATA).first()["n"], spark.read.parquet(f"{DATA}/part.parquet").count()
+    for name in ("j8_children_nested_all", "k1_k2_flat_export_all", "j4_program_catalog_inner_all"):
+        assert QUERIES[name](spark, DATA).count() == n, name
+    assert QUERIES["j8_children_nested_all"](spark, DATA).select("academic_year").distinct().count() > 1
+    assert QUERIES["j3_requirement_exam_left_all"](spark, DATA).count() == parts
