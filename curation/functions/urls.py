@@ -107,6 +107,12 @@ def html_links(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'<a href="([^"]*)"'), F.lit(1))
 
 
+def html_link_texts(html: Column) -> Column:
+    """Texts of the links of ``html_links``, place for place: up to the end of the link, or the next one or the end of the page."""
+    texts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?s)<a href="[^"]*"(?:[^>]*>(.*?)(?=</a>|<a |\z))?'), F.lit(1))
+    return F.transform(texts, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"\s+", " ")))
+
+
 def markdown_links(text: Column) -> Column:
     """Targets of markdown links; a label may hold one level of brackets."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]\(([^) ]+)"), F.lit(1))

@@ -61,3 +61,9 @@ GENERIC_ANCHOR = (
     r"^(?:visit(?:\s+(?:the\s+)?(?:web\s?site|site|page|homepage))?|(?:official|programme|program)\s+(?:web\s?site|site|page)|web\s?site|homepage|home\s?page"
     r"|more(?:\s+(?:info(?:rmation)?|details?))?|details?|click\s+here|here|link)$"
 )
+
+#: Link scores: paths of course details and of courses, texts of degrees and of navigation.
+COURSE_DETAIL = r"/study/masters/courses/list/\d+/"
+COURSE_PATH = r"/(course|courses|programme|programmes?)/"
+DEGREE_TEXT = r"\b(msc|ma|mba|llm|mres|mphil|pgdip|pgcert|master|masters|programme|program)\b"
+NAV_TEXT = r"\b(home|about|contact|research|news|privacy|cookies|terms|support|menu|search|international|undergraduate|postgraduate)\b"

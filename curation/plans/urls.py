@@ -126,13 +126,29 @@ def first_link(spark, d):
 WITH {LINKS}, s AS (SELECT page_id, link, min(pos) AS pos, CASE WHEN length(regexp_extract(link, '([^/]*)$', 1)) >= 6 THEN 8 WHEN contains(link, '/') THEN 3 ELSE 0 END AS score FROM a GROUP BY page_id, link)
 SELECT page_id, link, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def ranked_links(spark, d):
-    """A page's links by score, position breaking ties, five at most."""
+    """A page's links by a score of their last path part, five at most, as this SQL has it; ``t10_f23_scored_links`` has all."""
     s = page_links(spark, d).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
     s = s.withColumn("score", F.when(F.length(F.regexp_extract("link", "([^/]*)$", 1)) >= 6, 8).when(F.contains("link", F.lit("/")), 3).otherwise(0)).where("score > 0")
     rank = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "pos"))
     return s.withColumn("rank", rank).where("rank <= 5").select("page_id", "link", "score", "rank")
 
 
+@query("t10_f23_scored_links")
+def scored_links(spark, d):
+    """All links of a page with a positive score, by score and position, each URL once."""
+    html = F.col("html")
+    rows = table(spark, d, "pages").select("page_id", "url", F.posexplode(F.arrays_zip(U.html_links(html).alias("href"), U.html_link_texts(html).alias("text"))).alias("pos", "a"))
+    return with_link_ranks(rows.select("page_id", "pos", U.absolute(F.col("a.href"), F.col("url")).alias("link"), F.col("a.text").alias("text"), "url"))
+
+
+def with_link_ranks(links):
+    score = U.link_score(F.col("link"), F.col("text"), F.col("url"), V.COURSE_DETAIL, V.COURSE_PATH, V.DEGREE_TEXT, V.NAV_TEXT)
+    s = links.withColumn("score", score).where("score > 0")
+    s = s.groupBy("page_id", "link").agg(F.max(F.struct("score", (-F.col("pos")).alias("back"))).alias("best"))
+    rank = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("best.score"), F.desc("best.back")))
+    return s.select("page_id", "link", F.col("best.score").alias("score"), rank.alias("rank"))
+
+
 KNOWN = f"(SELECT url FROM pages WHERE page_id % 3 = 0)"
 
 

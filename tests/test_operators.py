@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from difflib import SequenceMatcher
 
 import pytest
@@ -131,3 +132,22 @@ def test_programmes_of_all_years_are_nested_and_exported(spark):
         assert QUERIES[name](spark, DATA).count() == n, name
     assert QUERIES["j8_children_nested_all"](spark, DATA).select("academic_year").distinct().count() > 1
     assert QUERIES["j3_requirement_exam_left_all"](spark, DATA).count() == parts
+
+
+def test_all_scored_links_are_ranked(spark):
+    html = "".join(f'<a href="/course/{i}"><b>MSc</b> no {i}</a>' for i in range(8))
+    html += '<a href="/about">About</a><a href="/x/">Home</a><a href="/x/" class="k">Master\n programme</a><a href="http://o.org/y">y</a><a href="/study/masters/courses/list/7/">open'
+    rows = spark.createDataFrame([(1, "http://u.edu/a/", html)], "page_id long, url string, html string")
+    texts = rows.select(U.html_links(F.col("html")).alias("h"), U.html_link_texts(F.col("html")).alias("t")).first()
+    assert len(texts["h"]) == len(texts["t"]) == 13
+    assert texts["t"][0] == "MSc no 0" and texts["t"][10] == "Master programme" and texts["t"][12] == "open"
+    path = shared(rows)
+    got = sorted((r["rank"], r["link"], r["score"]) for r in QUERIES["t10_f23_scored_links"](spark, path).collect())
+    want = [("http://u.edu/study/masters/courses/list/7/", 9), *((f"http://u.edu/course/{i}", 8) for i in range(8)), ("http://u.edu/x/", 5)]
+    assert got == [(n, *x) for n, x in enumerate(want, 1)]
+
+
+def shared(pages):
+    path = tempfile.mkdtemp()
+    pages.write.parquet(f"{path}/pages.parquet")
+    return path
