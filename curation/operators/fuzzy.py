@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curation.functions import text as T
+from curation.functions import vocabulary as V
 
 
 def sequence_ratio(a: Column | str, b: Column | str) -> Column:
@@ -51,21 +53,32 @@ def greedy_distinct(rows: DataFrame, group: str, position: str, keys: list[str])
 
 
 def near_distinct_requirements(rows: DataFrame, group: str, position: str, text: str, likeness: float = 0.82) -> DataFrame:
-    """Requirements of a group without repeats: equal loose text, containment in any text of the group, or a sequence
-    ratio of ``likeness`` with a kept one (unless their numbers differ); the longer phrasing stays in the earlier place."""
+    """Requirements of a group without repeats: equal loose text, the exam and numbers of a kept one, containment in any
+    text of the group, or a sequence ratio of ``likeness`` with a kept one (unless their numbers differ); the longer
+    phrasing stays in the earlier place."""
+    exam = re.compile("(?<![a-z0-9_])(?:" + "|".join(token for token, _, family in V.EXAMS if family != "curriculum") + ")(?![a-z0-9_])")
 
     def numbers(t: str) -> list[str]:
         return pd.Series([t]).str.findall(r"\d+(?:\.\d+)?").iloc[0]
 
+    def tested(t: str) -> tuple | None:
+        found, limits = exam.search(t), [float(n) for n in numbers(t)]
+        return (found.group(), *limits) if found and limits else None
+
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position).reset_index(drop=True)
         spaced = ["".join(c if c.isalnum() or c == "." else " " for c in (t or "").lower()) for t in pdf[text]]
         loose = [" ".join(filter(None, (w.strip(".") for w in t.split()))) for t in spaced]
+        tests = [tested(t) for t in loose]
         kept: list[int] = []
         for i, t in enumerate(loose):
-            if not t or any(j != i and t in loose[j] and (t != loose[j] or j < i) for j in range(len(loose))):
+            if not t or t in loose[:i]:
+                continue
+            twin = next((k for k, j in enumerate(kept) if tests[i] and tests[i] == tests[j]), None)
+            if twin is None and any(t != other and t in other for other in loose):
                 continue
-            twin = next((k for k, j in enumerate(kept) if numbers(t) == numbers(loose[j]) and SequenceMatcher(None, loose[j], t).ratio() >= likeness), None)
+            if twin is None:
+                twin = next((k for k, j in enumerate(kept) if numbers(t) == numbers(loose[j]) and SequenceMatcher(None, loose[j], t).ratio() >= likeness), None)
             if twin is None:
                 kept.append(i)
             elif len(t) > len(loose[kept[twin]]):

@@ -151,3 +151,10 @@ def shared(pages):
     path = tempfile.mkdtemp()
     pages.write.parquet(f"{path}/pages.parquet")
     return path
+
+
+def test_requirements_of_one_exam_and_threshold_are_one(spark):
+    rows = [(1, 1, "IELTS 6.5 overall"), (1, 2, "A degree"), (1, 3, "Applicants must hold 6.50 in IELTS"), (1, 4, "At least 6.0 in every part of IELTS"), (1, 5, "TOEFL: a total of 6.5"), (1, 6, "A score of 6.5"), (2, 1, "6.5 (IELTS)")]
+    got = fuzzy.near_distinct_requirements(spark.createDataFrame(rows, "program int, pos int, text string"), "program", "pos", "text").collect()
+    assert [(r["program"], r["pos"]) for r in got if r["program"] == 1] == [(1, 3), (1, 2), (1, 4), (1, 5), (1, 6)]
+    assert [r["pos"] for r in got if r["program"] == 2] == [1]
