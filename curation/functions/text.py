@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curation.functions import vocabulary as V
 
 
+def decoded(raw: Column) -> Column:
+    """Bytes as UTF-8, else as GB18030, else as Latin-1, each decoded strictly; only bytes that aren't UTF-8 reach Python."""
+
+    @F.pandas_udf("string")
+    def ladder(rows: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            if b is None:
+                return None
+            try:
+                return bytes(b).decode("gb18030")
+            except UnicodeDecodeError:
+                return bytes(b).decode("latin-1")
+
+        return pd.Series([one(b) for b in rows], dtype=object)
+
+    utf8 = F.try_validate_utf8(raw.cast("string"))
+    return F.coalesce(utf8, ladder(F.when(utf8.isNull(), raw)))
+
+
 def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 

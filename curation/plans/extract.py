@@ -159,11 +159,19 @@ BYTES = Rows("id int, raw string", [(1, "plain"), (2, "é"), (3, None)])
 @query("f12_f13_safe_names_and_decoding", f"SELECT id, regexp_replace(raw, '[^A-Za-z0-9._-]+', '_', 'g') AS file, raw AS decoded FROM {BYTES.sql}")
 def safe_names_and_decoding(spark, d):
     """File names without odd characters; bytes decoded as UTF-8, else GB18030, else Latin-1."""
-    raw = F.encode("raw", "UTF-8")
-    decoded = F.coalesce(F.try_validate_utf8(raw.cast("string")), F.decode(raw, "ISO-8859-1"))
+    decoded = T.decoded(F.encode("raw", "UTF-8"))
     return BYTES.df(spark).select("id", F.regexp_replace("raw", "[^A-Za-z0-9._-]+", "_").alias("file"), decoded.alias("decoded"))
 
 
+RAW = [(1, "plain é 中".encode()), (2, "硕士课程 𠀀".encode("gb18030")), (3, "é!".encode("latin-1")), (4, None), (5, b"")]
+
+
+@query("f13_decoding_ladder", "SELECT * FROM (VALUES (1, 'plain é 中'), (2, '硕士课程 𠀀'), (3, 'é!'), (4, NULL), (5, '')) v(id, decoded)")
+def decoding_ladder(spark, d):
+    """Bytes that are UTF-8, only GB18030, and only Latin-1."""
+    return spark.createDataFrame(RAW, "id int, raw binary").select("id", T.decoded(F.col("raw")).alias("decoded"))
+
+
 @query("w10_requirements_from_metadata", """SELECT * FROM (VALUES (1, 'english requirement', 'IELTS'), (1, 'other requirements', 'CV')) v(id, key, text)""")
 def requirements_from_metadata(spark, d):
     rows = spark.sql("SELECT 1 AS id, map('english requirement', 'IELTS', 'note', 'x', 'other requirements', 'CV') AS extra")
