@@ -5,8 +5,8 @@
 2. A set of more than SHORT_FROM shingles is hashed once into ROWS * BANDS bins; each empty bin borrows from a bin that a fixed
    random sequence reaches first (optimal densification). Each band of bins is a bucket key. Sets of up to SHORT_TO
    shingles get keys by pigeonhole: dealt to d + 1 groups, two sets that differ in at most d elements have an equal
-   group, and d follows from the size and the threshold. Empty groups give no key, so sets of up to TINY shingles are
-   dealt DEALS times. The two ranges overlap so that any two sets that may be linked share one kind of key.
+   group, and d follows from the size and the threshold. Empty groups give no key, so the sets of a level are dealt
+   as often as it takes for the chance that all equal groups are empty to be below MISS. The two ranges overlap so that any two sets that may be linked share one kind of key.
 3. In each bucket a centre, the member with the most bucket mates overall, is compared with every other member: at most
    as many candidate edges as members. Links are confirmed on full sets, and components formed.
 4. Only in buckets that still hold several components, each member outside the largest of them is a further centre, for
@@ -19,8 +19,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from curation.llm.common import slot, slot_bitmap, small_batches, table, with_membership, written
 
+#: Bins of a signature at most, and the chance of no common key that bands and deals are chosen for, at the threshold.
+BINS, MISS = 200, 3e-7
 ROWS, BANDS = 6, 32
 SHORT_FROM, SHORT_TO = 64, 128
-TINY, DEALS = 40, 3
 #: Members of a star that one group of the confirming pass compares with their centre.
 STAR_PART = 128
 #: Bits of the parity bitmap.
@@ -86,6 +88,36 @@ def may_link(na: Column, bits_a: Column, nb: Column, bits_b: Column, percent: in
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows and bands: the most rows with which so many bands as MISS needs at the threshold fit into BINS."""
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+        if rows * bands <= BINS:
+            return rows, bands
+    raise ValueError(f"no bands for {percent} %")
+
+
+def deal_miss(percent: int, low: int, high: int) -> float:
+    """The largest chance that one deal gives two linked sets, the larger of over ``low`` to ``high`` shingles, no common key."""
+    g = 2 * high * (100 - percent) // (100 + percent) + 1
+    # chance of m occupied groups after so many throws
+    occupied = [np.eye(1, g + 1)[0]]
+    for _ in range(g - 1):
+        last, m = occupied[-1], np.arange(g + 1)
+        occupied.append(last * m / g + np.concatenate([[0], (last * (g - m) / g)[:-1]]))
+    worst = 0.0
+    for total in range(low + 1 + -(-percent * (low + 1) // 100), 2 * high + 1):
+        shared = -(-percent * total // (100 + percent))
+        worst = max(worst, float(occupied[total - 2 * shared] @ (np.arange(g + 1) / g) ** shared))
+    return worst
+
+
+@lru_cache
+def deals(percent: int, low: int, high: int) -> int:
+    miss = deal_miss(percent, low, high)
+    return max(1, math.ceil(math.log(MISS) / math.log(miss))) if miss > 0 else 1
+
+
 class Keys:
     """Bucket keys of a shingle set."""
 
@@ -98,13 +130,13 @@ class Keys:
         self.levels = [1]
         while self.levels[-1] < 2 * SHORT_TO:
             self.levels.append(max(self.levels[-1] + 1, self.levels[-1] * 100 // percent))
+        self.deals = [deals(percent, low, high) for low, high in zip([0, *self.levels], self.levels)]
 
     def of(self, s: np.ndarray) -> np.ndarray:
         found = []
         if 0 < len(s) <= SHORT_TO:
             level = int(np.searchsorted(self.levels, len(s)))
-            deals = DEALS if len(s) <= TINY else 1
-            found += [self.groups(s, at, deal) for at in (level, level + 1) for deal in range(deals)]
+            found += [self.groups(s, at, deal) for at in (level, level + 1) for deal in range(self.deals[at])]
         if len(s) > SHORT_FROM:
             found.append(self.banded(s))
         return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
@@ -114,7 +146,7 @@ class Keys:
         p = self.percent
         differ = 2 * self.levels[level] * (100 - p) // (100 + p)
         g = differ + 1
-        m = mixed(s ^ self.salts[level + 500 * deal])
+        m = mixed(s ^ self.salts[10_000 + level + 500 * deal])
         at = (m >> np.uint64(33)) % np.uint64(g)
         order = np.argsort(at, kind="stable")
         full, first = np.unique(at[order], return_index=True)
@@ -222,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle_words: int = 5, percent: int = 80, rows: int | None = None, bands: int | None = None
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest linked id, itself included), kept (it is that id).
 
@@ -230,6 +262,8 @@ def near_duplicates(
     row without an id is a component of its own if nothing equals it. An empty table gives no rows; other columns are
     not read.
     """
+    if rows is None or bands is None:
+        rows, bands = banding(percent)
     sig = written(signatures(docs, id_col, text_col, shingle_words, percent, rows, bands))
     classes = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = sig.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")), "left_semi")

@@ -165,6 +165,19 @@ def test_keys_meet_for_sets_at_the_threshold():
             assert flips <= len(a) + len(b) - 2 * shared
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_keys_are_lost_by_chance_below_the_stated_one(percent):
+    rows, bands = near_dedup.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.MISS and rows * bands <= near_dedup.BINS
+    keys = near_dedup.Keys(percent, rows, bands)
+    for low, high, n in zip([0, *keys.levels], keys.levels, keys.deals):
+        assert near_dedup.deal_miss(percent, low, high) ** n <= near_dedup.MISS
+    draw = np.random.default_rng(5)
+    for _ in range(30_000 if percent == 80 else 0):
+        s = draw.integers(0, 1 << 63, 5, dtype=np.uint64)
+        assert set(keys.of(np.sort(s[:4]))) & set(keys.of(np.sort(s)))
+
+
 def test_components_follow_long_chains(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, 900), (900, 8), (50, 50)]
     got = {r["id"]: r["component"] for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
