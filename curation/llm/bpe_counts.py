@@ -1,14 +1,17 @@
 """Token counts by byte-pair merging with a heap over a linked list of symbols; no identifier is emitted.
 
 A text is cut at special strings, normalised (NFC, lower case) and cut into words; each distinct word is merged once
-per worker and its count kept in a cache of bounded size, so a document costs one look-up per word.
+per worker and its count kept in a cache of bounded size, so a document costs one look-up per word. A text with a code
+point that Python's Unicode tables leave unassigned is normalised and cut by the library, whose tables are newer.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -30,14 +33,30 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+@cache
+def unassigned() -> regex.Pattern:
+    """One code point that Python's Unicode tables leave unassigned; surrogates are no text."""
+    ranges, start = [], None
+    for i in range(0x80, sys.maxunicode + 2):
+        odd = i <= sys.maxunicode and unicodedata.category(chr(i)) == "Cn"
+        if odd and start is None:
+            start = i
+        elif not odd and start is not None:
+            ranges.append(f"\\U{start:08X}-\\U{i - 1:08X}")
+            start = None
+    return regex.compile(f"[{''.join(ranges)}]")
+
+
 class WordCounts(dict):
     """White-space separated word -> its number of tokens, worked out on first use."""
 
     def __init__(self, spec: dict):
         super().__init__()
+        self.spec, self.library, self.odd = spec, None, unassigned()
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        end, letters = model["end_of_word_suffix"], byte_alphabet()
+        self.vocab, self.end = vocab, model["end_of_word_suffix"]
+        end, letters = self.end, byte_alphabet()
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + end] for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
@@ -98,8 +117,18 @@ class WordCounts(dict):
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self.plain, parts))
 
+    def cut(self, text: str) -> list[str]:
+        """The library's pieces of a text, in the printable stand-ins of their bytes."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(json.dumps(self.spec))
+        return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+
     def plain(self, text: str) -> int:
         if not text.isascii():
+            if self.odd.search(text):
+                return sum(self.merged([*(self.vocab[c] for c in p[:-1]), self.vocab[p[-1] + self.end]]) for p in self.cut(text))
             text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split takes these for white space, the pattern doesn't

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curation.llm.bpe_counts import unassigned
 from curation.llm.common import small_batches, table
 
 CAPACITY = 4096
@@ -60,6 +61,7 @@ class DocumentIds:
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
+        self.odd = unassigned()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -71,9 +73,9 @@ class DocumentIds:
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        # special strings, the separators that str.split adds to white space and the letter whose lower case depends on
-        # its place are left to the tokenizer
-        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ")}
+        # special strings, the separators that str.split adds to white space, the letter whose lower case depends on its
+        # place and code points newer than Python's tables are left to the tokenizer
+        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ") or not t.isascii() and self.odd.search(t)}
         split = [[] if i in whole else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
         found = [list(map(self.known.get, ws)) for ws in split]
         fresh = self.learnt({w for ws, ids in zip(split, found) if None in ids for w, x in zip(ws, ids) if x is None})
@@ -135,6 +137,9 @@ def packed(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """Pieces of all rows of ``docs``; see ``SCHEMA``. Every id lies in exactly one piece.
 
+    A task packs ``pool_tokens`` tokens at a time, so it holds no more than those and a document, and which sequence is
+    the cheapest is judged within a pool; a pool leaves no padding, however it is cut.
+
     Null and empty texts have the end id alone. Repeated rows are packed each for itself, a null id is handed
     through, other columns are not read, and an empty table gives no pieces. ``sequence_id`` holds the task's number
     above bit 40, and is unique within one result.
