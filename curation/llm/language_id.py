@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from curation.llm.common import small_batches, table
 from curation.llm.quality import learnable
 
-#: Bounds of what the model is fitted on: documents, and words in switching sequences made of their segments.
-TRAIN_DOCS, TRAIN_SEQUENCES, LENGTH = 3000, 5000, 64
+#: Bounds of what the model is fitted on: documents, passages drawn from each and the words of one, and switching
+#: sequences of so many words made of them.
+TRAIN_DOCS, PASSAGES, PASSAGE_WORDS = 3000, 8, 40
+TRAIN_SEQUENCES, LENGTH = 5000, 64
 BUCKETS = 1 << 16
 PASSES, BATCH, RATE = 2, 64, 0.3
 #: Words of a block in the parallel scan.
@@ -144,17 +147,26 @@ def word_lists(words: list[tuple[str, int]], languages: int) -> dict[str, int]:
     return {w: k for (w, k), n in seen.items() if n >= 3 and n >= 0.9 * totals[w]}
 
 
-def trained(texts: list[tuple[str, str]]) -> Field:
-    """A field from (text, language) rows, sorted; the draw is seeded, so equal rows give an equal model."""
+def passages(text: str | None) -> list[str]:
+    """At most PASSAGES stretches of PASSAGE_WORDS words from anywhere in the whole text; the draw depends on the text alone."""
+    words = words_of(text or "")
+    if len(words) <= PASSAGES * PASSAGE_WORDS:
+        return [" ".join(words[i : i + PASSAGE_WORDS]) for i in range(0, len(words), PASSAGE_WORDS)]
+    draw = np.random.default_rng(zlib.crc32(text.encode()))
+    return [" ".join(words[i : i + PASSAGE_WORDS]) for i in sorted(draw.integers(0, len(words) - PASSAGE_WORDS + 1, PASSAGES).tolist())]
+
+
+def trained(texts: list[tuple[list[str], str]]) -> Field:
+    """A field from (passages, language) rows, sorted; the draw is seeded, so equal rows give an equal model."""
     languages = sorted({lang for _, lang in texts})
     place = {lang: i for i, lang in enumerate(languages)}
     k, draw = len(languages), np.random.default_rng(11)
-    held = [(words_of(t), place[lang]) for t, lang in sorted(texts)]
-    held = [(w, i) for w, i in held if w]
+    held = [(p.split(" "), place[lang]) for ps, lang in sorted(texts) for p in ps]
+    held = [(w, i) for w, i in held if any(w)]
     field = Field(languages, {}, np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)))
     if k < 2 or not held:
         return field
-    # sequences of segments, each from a document of a language drawn evenly; a segment starts anywhere in its text
+    # sequences of segments, each from a passage of a language drawn evenly
     by_language = [[w for w, i in held if i == j] for j in range(k)]
     words, labels = [], []
     for _ in range(TRAIN_SEQUENCES):
@@ -164,7 +176,7 @@ def trained(texts: list[tuple[str, str]]) -> Field:
             if not by_language[j]:
                 continue
             doc = by_language[j][int(draw.integers(len(by_language[j])))]
-            at, size = int(draw.integers(len(doc))), int(draw.integers(8, 40))
+            at, size = int(draw.integers(max(1, len(doc) - 7))), int(draw.integers(8, 40))
             ws += doc[at : at + size]
             ls += [j] * len(doc[at : at + size])
         words.append(ws[:LENGTH])
@@ -207,12 +219,22 @@ def trained(texts: list[tuple[str, str]]) -> Field:
 
 
 def fit(docs: DataFrame) -> Field:
-    """A field from at most TRAIN_DOCS rows outside the held-out quarter, in the order of a hash of the id."""
+    """A field from at most TRAIN_DOCS documents outside the held-out quarter, in the order of a hash of the id.
+
+    Tasks draw the passages, so the driver gets no whole text; of rows that repeat an id the least passages and
+    language count.
+    """
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(learnable())
     # a list of ids of bounded size, broadcast to the scan of the texts
     chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(TRAIN_DOCS)
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").limit(2 * TRAIN_DOCS).collect()
-    return trained([(r["text"], r["lang"]) for r in rows])
+
+    @F.pandas_udf("array<string>")
+    def drawn(texts: pd.Series) -> pd.Series:
+        return texts.map(passages)
+
+    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.struct(drawn("text").alias("p"), "lang").alias("row"))
+    rows = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*").collect()
+    return trained([(r["p"], r["lang"]) for r in rows])
 
 
 def label_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
