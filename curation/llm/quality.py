@@ -1,6 +1,6 @@
 """Quality scores by positive-unlabelled learning: a linear model minimises the non-negative unbiased risk.
 
-Trusted positives and unlabelled web text are bounded samples; the class prior is estimated. A text's features are
+Trusted positives and unlabelled web text are bounded samples; the class prior is estimated from the two. A text's features are
 the shares of its byte classes and of their pairs, so the model sees how a text is written and never what it says,
 nor its id, language or source.
 """
@@ -85,10 +85,25 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.nda
     return weights
 
 
-def separated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The prior where no negative is labelled: tell positives from unlabelled texts, and compare their mean odds of being labelled."""
-    w = fitted(positive, unlabelled, 0.5)
-    return float(np.clip(sigmoid(unlabelled @ w).mean() / max(sigmoid(positive @ w).mean(), 1e-6), 0.05, 0.95))
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, weight: float = 0.01) -> float:
+    """The share of positives among the unlabelled texts, by best-bin estimation; no negative is needed.
+
+    A model that tells one half of the positives from one half of the unlabelled texts scores the other halves. Above
+    a score nearly all are positives if the score is well chosen, so there the unlabelled share over the positives'
+    share is the prior; the score is the one with the least upper confidence bound. Both halves take each part once.
+    """
+    found = []
+    for half in (0, 1):
+        w = fitted(positive[half::2], unlabelled[half::2], 0.5)
+        p, u = np.sort(positive[1 - half :: 2] @ w), np.sort(unlabelled[1 - half :: 2] @ w)
+        if not len(p) or not len(u):
+            continue
+        cuts = u[u <= p[-1]] if u[0] <= p[-1] else u[:1]
+        above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+        slack = (1 + weight) * np.sqrt(np.log(4 / doubt) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+        best = int(np.argmin((above_u + slack) / np.maximum(above_p, 1e-9)))
+        found.append(above_u[best] / max(above_p[best], 1e-9))
+    return float(np.clip(np.mean(found), 0.05, 0.95)) if found else 0.5
 
 
 def learnable(id_col: str = "doc_id") -> Column:
@@ -98,28 +113,27 @@ def learnable(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights from at most POSITIVES trusted rows and UNLABELLED rows of ``docs``, taken in the order of a hash.
 
-    Only rows outside the held-out quarter are read. Without positives all weights are 0 and every score 0.5.
+    Only rows outside the held-out quarter are read; of labels, only which rows are good. Rows that repeat an id count
+    once. Without positives all weights are 0 and every score 0.5.
     """
-    rows = labels.where("doc_id is not null and quality is not null").where(learnable()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    told = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    good = labels.where("doc_id is not null and quality = 1").where(learnable()).groupBy("doc_id").agg(F.lit(1).alias("_one"))
     # two id lists of bounded size, broadcast to the scan of the texts
-    trusted = rows.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
+    trusted = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
     web = docs.where("doc_id is not null").where(learnable()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED)
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t).astype(np.float16).tobytes())
 
-    def sample(ids: DataFrame, most: int) -> np.ndarray:
-        found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select(packed("text").alias("x")).limit(2 * most).collect()
+    def sample(ids: DataFrame) -> np.ndarray:
+        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", packed("text").alias("x"))
+        found = rows.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
         return np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, WIDTH).astype(np.float32)
 
-    positive, unlabelled = sample(trusted, POSITIVES), sample(web, UNLABELLED)
+    positive, unlabelled = sample(trusted), sample(web)
     if not len(positive) or not len(unlabelled):
         return np.zeros(WIDTH)
-    good, bad = told.get(1, 0), told.get(0, 0)
-    prior = good / (good + bad) if bad else separated_prior(positive, unlabelled)
-    return fitted(positive, unlabelled, prior)
+    return fitted(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
