@@ -1,4 +1,4 @@
-"""What the corpus operators share: table access, Arrow limits, shared storage and a row pre-filter of fixed size."""
+"""What the corpus operators share: table access, Arrow limits, shared storage and a row pre-filter of bounded size."""
 
 from __future__ import annotations
 
@@ -8,23 +8,33 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Slots of the membership bitmap: 2**23 bits are 256 rows of 4 KB, 1 MB in all.
-SLOTS = 1 << 23
+#: Bits of a key filter for each row that may hold a key, and the least and most bits it has: 128 KB to 128 MB.
+BITS_PER_ROW, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound an Arrow batch by rows; very long texts would else fill a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
+    """Bound an Arrow batch by rows and by bytes; very long texts would else fill a worker's memory.
+
+    Spark reads both settings when a plan is run, so they stay set for the session's later queries.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see; a temporary one only where it is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors see.
+
+    Where that is unset, a temporary one serves in local mode, whose executors are the driver; a cluster is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="curation-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/curation-{uuid.uuid4().hex}"
@@ -37,36 +47,44 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
+def filter_bits(rows: int, bits_per_row: int = BITS_PER_ROW) -> int:
+    """Bits for the keys of ``rows`` rows: a power of two between the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, bits_per_row * rows - 1).bit_length()))
 
-def slot(*cols: Column) -> Column:
-    """1..SLOTS, as the bitmap functions count from one."""
-    return F.pmod(F.xxhash64(*cols), F.lit(SLOTS)) + 1
 
-
-def slot_bitmap(keys: DataFrame, key_slot: Column) -> DataFrame:
-    """Bits of the slots that ``keys`` fill, as at most 256 rows of 4 KB whatever the number of keys."""
+def bitmap(keys: DataFrame, position: Column) -> DataFrame:
+    """Bits at the positions (from 1) that ``keys`` fill, in rows of 4 KB (2**15 bits) each."""
     return (
-        keys.select(key_slot.alias("_s"))
+        keys.select(position.alias("_s"))
         .groupBy(F.bitmap_bucket_number("_s").alias("_bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
     )
 
 
-def with_membership(df: DataFrame, bitmap: DataFrame, row_slot: Column, out: str) -> DataFrame:
-    """Add boolean ``out``: the slot is filled. False is certain, true may be another key of that slot.
+class KeyFilter:
+    """The hashes of ``keys`` as a bitmap: of ``rows``, those that are surely not among the keys can be told without a shuffle.
 
-    The broadcast side is a ``slot_bitmap`` and so at most 1 MB.
+    Its size follows from ``rows``, a bound of the number of keys, and ends at MOST_BITS; where it is too full to tell,
+    all rows are "maybe", so results never depend on it.
     """
-    bits = bitmap.select(F.col("_bucket").alias(f"_b_{out}"), F.col("_bits").alias(f"_v_{out}"))
-    position = F.bitmap_bit_position(F.col(f"_s_{out}")).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col(f"_v_{out}"), F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(position, F.lit(8)))).cast("int"), F.lit(2)) == 1
-    return (
-        df.withColumn(f"_s_{out}", row_slot)
-        .join(F.broadcast(bits), F.bitmap_bucket_number(F.col(f"_s_{out}")) == F.col(f"_b_{out}"), "left")
-        .withColumn(out, F.coalesce(hit, F.lit(False)))
-        .drop(f"_s_{out}", f"_b_{out}", f"_v_{out}")
-    )
+
+    def __init__(self, keys: DataFrame, columns: list[str], rows: int):
+        self.bits = filter_bits(rows)
+        self.bitmap = bitmap(keys, self.place([F.col(c) for c in columns]))
+
+    def place(self, columns: list[Column]) -> Column:
+        """1..bits, as the bitmap functions count from one."""
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits)) + 1
+
+    def marked(self, df: DataFrame, columns: list[str], out: str) -> DataFrame:
+        """Add boolean ``out``: false is certain, true may be another key of that bit. The broadcast side is the bitmap."""
+        bits = self.bitmap.select(F.col("_bucket").alias(f"_b_{out}"), F.col("_bits").alias(f"_v_{out}"))
+        position = F.bitmap_bit_position(F.col(f"_s_{out}")).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col(f"_v_{out}"), F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(position, F.lit(8)))).cast("int"), F.lit(2)) == 1
+        return (
+            df.withColumn(f"_s_{out}", self.place([F.col(c) for c in columns]))
+            .join(F.broadcast(bits), F.bitmap_bucket_number(F.col(f"_s_{out}")) == F.col(f"_b_{out}"), "left")
+            .withColumn(out, F.coalesce(hit, F.lit(False)))
+            .drop(f"_s_{out}", f"_b_{out}", f"_v_{out}")
+        )

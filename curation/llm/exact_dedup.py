@@ -1,9 +1,10 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
 Each round counts small keys and hands the next one only the rows whose key is shared. Who survives is told by a
-bitmap of fixed size (see ``common``), so no text is shuffled to find the groups and a hot group is only ever a key with
-a count. A slot shared by two keys merely lets a row into a later round; groups are formed on SHA-256 alone. Columns
-that are carried along go through a join only for rows that reach the last round.
+bitmap of bounded size (see ``common``), so no text is shuffled to find the groups and a hot group is only ever a key with
+a count. A bit shared by two keys merely lets a row into a later round; groups are formed on SHA-256 alone. Columns
+that are carried along go through a join only for rows that reach the last round; the groups are written before that
+join, so nothing but an exchange stands below it and Spark may split a hot group.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.common import slot, slot_bitmap, table, with_membership
+from curation.llm.common import KeyFilter, table, written
 
 
 def exact_duplicates(
@@ -30,20 +31,22 @@ def exact_duplicates(
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"))
     rows = rows.withColumn("_len", F.octet_length("_text"))
 
+    total = docs.count()
+
     lengths = rows.groupBy("_len").count().where("count > 1")
-    by_length = slot_bitmap(lengths, slot(F.col("_len")))
+    by_length = KeyFilter(lengths, ["_len"], total)
 
     def second_round(df: DataFrame) -> DataFrame:
-        df = with_membership(df, by_length, slot(F.col("_len")), "_shared_length")
+        df = by_length.marked(df, ["_len"], "_shared_length")
         return df.withColumn("_prefix", F.when(F.col("_shared_length"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
 
     prefixes = second_round(rows).where("_prefix is not null").groupBy("_len", "_prefix").count().where("count > 1")
-    by_prefix = slot_bitmap(prefixes, slot(F.col("_len"), F.col("_prefix")))
+    by_prefix = KeyFilter(prefixes, ["_len", "_prefix"], total)
 
     survives: Column = F.col("_shared_length") & F.col("_shared_prefix")
-    third = with_membership(second_round(rows), by_prefix, slot(F.col("_len"), F.col("_prefix")), "_shared_prefix")
+    third = by_prefix.marked(second_round(rows), ["_len", "_prefix"], "_shared_prefix")
     hashed = third.withColumn("_full", F.when(survives, F.sha2("_text", 256)))
-    groups = (
+    groups = written(
         hashed.where("_full is not null")
         .groupBy("_full")
         .agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))

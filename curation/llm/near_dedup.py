@@ -9,9 +9,12 @@
    as often as it takes for the chance that all equal groups are empty to be below MISS. The two ranges overlap so that any two sets that may be linked share one kind of key.
 3. In each bucket a centre, the member with the most bucket mates overall, is compared with every other member: at most
    as many candidate edges as members. Links are confirmed on full sets, and components formed.
-4. Only in buckets that still hold several components, each member outside the largest of them is a further centre, for
-   members of other components. So no pair of bucket mates that could join two components is left out.
-   In both, a candidate edge must first pass two tests that no linked pair fails: the sizes fit, and the parity bitmaps
+4. Only in buckets that still hold several components, the members outside the largest of them are strangers there. Up to
+   STRANGERS of them are further centres, for members of other components: rows in proportion to the members. The
+   members of a bucket with more go to an exact prefix filter instead: linked sets share one of their rarest
+   n - ceil(p * n) + 1 shingles, and only shingles that stand in several components are joined. So no pair of bucket mates
+   that could join two components is left out, and unlinked members of a hot bucket don't meet in pairs.
+   In all, a candidate edge must first pass two tests that no linked pair fails: the sizes fit, and the parity bitmaps
    of the two sets (each shingle flips one of BITS bits) differ in no more bits than the sets may differ in shingles.
 5. Components by alternating large and small stars.
 """
@@ -30,14 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.common import slot, slot_bitmap, small_batches, table, with_membership, written
+from curation.llm.common import KeyFilter, small_batches, table, written
 
 #: Bins of a signature at most, and the chance of no common key that bands and deals are chosen for, at the threshold.
 BINS, MISS = 200, 3e-7
 ROWS, BANDS = 6, 32
 SHORT_FROM, SHORT_TO = 64, 128
 #: Members of a star that one group of the confirming pass compares with their centre.
-STAR_PART = 128
+STAR_PART = 32
+#: Members outside a bucket's largest component that are compared with its other members one by one.
+STRANGERS = 32
 #: Bits of the parity bitmap.
 BITS = 1024
 CACHE_WORDS = 400_000
@@ -174,30 +179,40 @@ class Keys:
         return key
 
 
+def marks(sets: list[np.ndarray]) -> tuple[list[str | None], list[int]]:
+    """A digest of each set (null: empty), and a short form that tells apart the sets of one id."""
+    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+    return digests, [int(d[:15], 16) if d else 0 for d in digests]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rows: int, bands: int) -> DataFrame:
-    """id, n_shingles, digest of the shingle set (null: empty set), parity bitmap, bucket keys."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    """id, n_shingles, digest of the shingle set (null: empty set), its mark, parity bitmap, bucket keys."""
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("mark", pa.int64()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys = WordHashes(), Keys(percent, rows, bands)
         for batch in batches:
             sets = [shingle_set(t or b"", hashes, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.string()), *(pa.array(map(f, sets), pa.list_(pa.int64())) for f in (parity, keys.of))]
+            digests, mark = marks(sets)
+            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.string()), pa.array(mark, pa.int64()), *(pa.array(map(f, sets), pa.list_(pa.int64())) for f in (parity, keys.of))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "id long, n_shingles long, digest string, bits array<long>, keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "id long, n_shingles long, digest string, mark long, bits array<long>, keys array<long>")
+
+
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, total: int) -> DataFrame:
+    """id and text of the rows that may be among ``ids``; those of other rows are not shuffled by what follows."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return KeyFilter(ids, ["id"], total).marked(texts, ["id"], "_wanted").where("_wanted").drop("_wanted")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, total: int) -> DataFrame:
     """Of ``pairs`` (a: centre, b) those whose whole shingle sets are alike enough.
 
     Large stars are cut in parts, each with its own copy of the centre's text, and a part is streamed: its centre's
-    set is the only thing that is held. Texts of rows that are in no pair are not shuffled, but for chance slots.
+    set is the only thing that is held.
     """
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = with_membership(texts, slot_bitmap(ends, slot(F.col("id"))), slot(F.col("id")), "_wanted").where("_wanted").drop("_wanted")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, id_col, text_col, total)
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_PART).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts"))
     members = pairs.join(parts, "a").select("a", part.cast("int").alias("part"), F.col("b").alias("id"))
@@ -206,23 +221,62 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, star, centre = WordHashes(), None, None
+        hashes, star, held = WordHashes(), None, []
         for batch in batches:
             links = []
             ids, stars, parts_, texts_ = (batch.column(n) for n in ("id", "a", "part", "text"))
             for i, a, k, text in zip(ids.to_pylist(), stars.to_pylist(), parts_.to_pylist(), texts_.cast(pa.binary()).to_pylist()):
                 s = shingle_set(text, hashes, size)
+                if star != (a, k):
+                    star, held = (a, k), []
                 if i == a:
-                    star, centre = (a, k), s
-                elif star == (a, k):
+                    if not any(np.array_equal(s, c) for c in held):
+                        held.append(s)
+                    continue
+                for centre in held:
                     both = len(np.intersect1d(centre, s, assume_unique=True))
                     if 100 * both >= percent * (len(centre) + len(s) - both):
                         links.append((a, i))
+                        break
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     return dealt.select("id", "a", "part", "text").mapInArrow(task, "a long, b long").distinct()
 
 
+def rare_shingles(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, total: int) -> DataFrame:
+    """Per set of the ids of ``open_`` (id, component): its rarest shingles, of which it shares one with any set it is linked with.
+
+    id, component, n_shingles, bits, shingle; only shingles that stand in several components are left.
+    """
+    schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t or b"", hashes, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = [batch.column("id"), batch.column("component"), pa.array(marks(sets)[1], pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), (x.view(np.int64) for x in sets)))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    texts = open_.join(texts_of(open_.select("id"), docs, id_col, text_col, total), "id").select("id", "component", "text")
+    sets = written(texts.mapInArrow(task, "id long, component long, mark long, n_shingles long, bits array<long>, shingles array<long>").dropDuplicates(["id", "mark"]))
+    rows = sets.select("id", "component", "mark", "n_shingles", F.explode("shingles").alias("shingle"))
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared = written(held.where("n > 1").select("shingle", "n", (F.col("lo") < F.col("hi")).alias("several")))
+    ranked = rows.join(shared, "shingle").groupBy("id", "mark", "component", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "several"))).alias("common"))
+    # shingles that no other set has come first; what is left of the prefix is taken from the rest
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1 - (F.col("n_shingles") - F.size("common"))
+    few = ranked.where(prefix > 0).select("id", "mark", "component", F.explode(F.filter(F.slice("common", F.lit(1), prefix.cast("int")), lambda x: x["several"])).alias("x"))
+    few = few.select("id", "mark", "component", F.col("x.shingle").alias("shingle"))
+    return few.join(sets.select("id", "mark", "n_shingles", "bits"), ["id", "mark"]).drop("mark")
+
+
+def across(rows: DataFrame, others: DataFrame, key: str, percent: int, once: Column) -> DataFrame:
+    """Pairs (a, b) of unlike components from ``rows`` and ``others`` (id, component, n_shingles, bits, key) that may be linked."""
+    left = rows.select(F.col(key).alias("_key"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("bits_a"))
+    fits = may_link(F.col("na"), F.col("bits_a"), F.col("n_shingles"), F.col("bits"), percent) & (F.col("ca") != F.col("component"))
+    return others.join(left, (F.col(key) == F.col("_key")) & fits & once).select("a", F.col("id").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each linked id reaches over ``links`` (a, b).
 
@@ -258,54 +312,74 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest linked id, itself included), kept (it is that id).
 
-    Null and wordless texts have an empty set and are linked with nothing. Rows that repeat an id are one node. A
-    row without an id is a component of its own if nothing equals it. An empty table gives no rows; other columns are
-    not read.
+    Null and wordless texts have an empty set and are linked with nothing. Rows that repeat an id are one node, linked
+    with whatever any of their texts is linked with. A row without an id is a component of its own if nothing equals
+    it. An empty table gives no rows; other columns are not read.
     """
     if rows is None or bands is None:
         rows, bands = banding(percent)
-    sig = written(signatures(docs, id_col, text_col, shingle_words, percent, rows, bands))
+    source = (docs, id_col, text_col, shingle_words, percent)
+    sig = written(signatures(*source, rows, bands))
+    total = sig.count()
     classes = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = sig.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")), "left_semi")
-    keyed = nodes.select("id", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    keyed = nodes.select("id", "mark", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     mates = written(keyed.join(buckets, "key"))
     degrees = mates.groupBy("id").agg(F.sum("size").alias("degree"))
-    members = written(mates.join(degrees, "id").join(nodes.dropDuplicates(["id"]).select("id", "n_shingles", "bits"), "id").drop("size"))
-    centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n_shingles", "bits")).alias("top"))
+    facts = nodes.dropDuplicates(["id", "mark"]).select("id", "mark", "n_shingles", "bits")
+    members = written(mates.join(degrees, "id").join(facts, ["id", "mark"]).drop("size", "mark"))
+    centres = written(members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n_shingles", "bits")).alias("top")).withColumnRenamed("key", "_key"))
     near = may_link(F.col("n_shingles"), F.col("bits"), F.col("top.n_shingles"), F.col("top.bits"), percent) & (F.col("id") != -F.col("top.minus"))
-    stars = members.join(centres.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & near)
+    stars = members.join(centres, (F.col("key") == F.col("_key")) & near)
     first = written(stars.select((-F.col("top.minus")).alias("a"), F.col("id").alias("b")).distinct())
-    links = written(confirmed(first, docs, id_col, text_col, shingle_words, percent))
+    links = written(confirmed(first, *source, total).unionByName(_same_ids(sig, classes)))
     found = components(links)
 
-    placed = members.join(found, "id", "left").select("key", "id", "n_shingles", "bits", F.coalesce("component", "id").alias("component"))
-    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1").select("key", F.col("top.component").alias("main"))
-    unsettled = written(placed.join(several, "key"))
-    strangers = unsettled.where("component <> main").select(F.col("key").alias("_key"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("bits_a"))
-    fits = may_link(F.col("na"), F.col("bits_a"), F.col("n_shingles"), F.col("bits"), percent) & (F.col("ca") != F.col("component"))
-    once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("id"))
-    rest = unsettled.join(strangers, (F.col("key") == F.col("_key")) & fits & once).select("a", F.col("id").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = rest.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).dropDuplicates(["x", "y"]).join(tried, ["x", "y"], "left_anti").select("a", "b")
-    rest = written(rest)
+    rest = written(_between_components(members, found, first, source, total))
     if not rest.isEmpty():
-        found = components(links.union(confirmed(rest, docs, id_col, text_col, shingle_words, percent)))
-    final = written(found).withColumnRenamed("id", "rep")
-    named = classes.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+        found = components(links.union(confirmed(rest, *source, total)))
+    named = written(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     lone = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    # the classes are written before the join, so Spark may split that of a text that very many rows have
     out = sig.select("id", "n_shingles", F.coalesce("digest", lone).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _same_ids(sig: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids that several sets share; mostly none."""
+    several = sig.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id", "low")
+    texts = sig.where("digest is not null").select("id", "digest").join(several, "id").where("digest <> low").select("digest", "low").distinct()
+    ends = texts.join(classes, "digest").select(F.col("rep").alias("a"), F.col("low").alias("digest")).join(classes, "digest")
+    return ends.select("a", F.col("rep").alias("b")).where("a <> b")
+
+
+def _between_components(members: DataFrame, found: DataFrame, tried: DataFrame, source: tuple, total: int) -> DataFrame:
+    """Candidate edges (a, b) between bucket mates of unlike components, but for those that were ``tried``."""
+    percent = source[4]
+    placed = members.join(found, "id", "left").select("key", "id", "n_shingles", "bits", F.coalesce("component", "id").alias("component"))
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    several = written(several.select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("strangers")))
+    unsettled = written(placed.join(several, "key"))
+    few, many = unsettled.where(F.col("strangers") <= STRANGERS), unsettled.where(F.col("strangers") > STRANGERS)
+    once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("id"))
+    pairs = across(few.where("component <> main"), few, "key", percent, once)
+    if not many.isEmpty():
+        rare = written(rare_shingles(many.select("id", "component").distinct(), *source, total))
+        pairs = pairs.unionByName(across(rare, rare, "shingle", percent, F.col("a") < F.col("id")))
+    known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    pairs = pairs.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).dropDuplicates(["x", "y"])
+    return pairs.join(known, ["x", "y"], "left_anti").select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with its own columns; texts are shuffled only where a row may have to go."""
     verdicts = written(near_duplicates(docs, id_col, text_col, **options))
     gone = verdicts.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
     rows = docs.select(F.struct("*").alias("_own"), F.col(id_col).cast("long").alias("_id"))
-    flagged = with_membership(rows, slot_bitmap(gone, slot(F.col("_gone"))), slot(F.col("_id")), "_maybe")
+    flagged = KeyFilter(gone.select(F.col("_gone").alias("_id")), ["_id"], verdicts.count()).marked(rows, ["_id"], "_maybe")
     left = flagged.where("_maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
     return flagged.where("not _maybe").select("_own.*").unionByName(left.select("_own.*"))
 

@@ -1,17 +1,22 @@
 """Removal of repeated passages by suffix automata of reference shards.
 
 A window is ``window`` consecutive words. A word goes if a window that covers it also starts in a document of smaller
-id. The reference of a window is the smallest id that has it, so the reference shards are disjoint: a shard is the set
-of passages that one document is the first to hold and others repeat. A shard's automaton meets only the documents
-that may repeat it (to broadcast every shard to every document would take time with the square of the corpus):
+id. The reference of a window is the smallest id that has it.
 
 1. documents that repeat a whole word sequence are settled at once and not looked at again;
-2. of the rest, each window's least run of GRAM words is hashed; a run held by several documents sets a bit in a filter of
-   fixed size, which can only let too much through;
-3. windows that pass are grouped by hash: the smallest id is the reference, the others are routed to its shard;
-4. a shard's automaton is built from its passages and streams the routed stretches of text: matching statistics of
-   ``window`` words or more, compared word by word, are the spans that go. A shard with many visitors is handed out in
-   copies, each for a part of them.
+2. of the rest, each window's least run of GRAM words is hashed; a run held by several documents sets a bit in a filter,
+   which can only let too much through;
+3. windows that pass are counted by hash. Those that stand for over 1/SHARE of all (so fewer than SHARE windows, whatever
+   the corpus) make the broadcast shard: its automaton goes to every task and all documents are streamed through it, so
+   a passage that a third of all rows share is no join key anywhere;
+4. the others are grouped by hash: the smallest id is the reference, the documents that repeat it are routed to its shard,
+   the set of passages that one document is the first to hold. That shard's automaton streams the routed stretches of
+   text; one with many visitors is handed out in copies, each for a part of them. (To broadcast these shards too would
+   take time with the square of the corpus, as their number grows with it.)
+
+In both, matching statistics of ``window`` words or more, compared word by word, are the spans that go. Windows are told
+apart by 64-bit hashes, so two unlike ones meet in one group with a chance of one in 10**19 a pair, and a removal of the
+rarer might then be missed.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.common import slot, slot_bitmap, small_batches, table, with_membership, written
+from curation.llm.common import KeyFilter, bitmap, filter_bits, small_batches, table, written
 from curation.llm.near_dedup import WordHashes, mixed
 
 WINDOW = 13
-#: Bits of the filter of shared runs: 16 MB whatever the corpus.
-FILTER_BITS = 1 << 27
+#: A window of over 1/SHARE of all candidates belongs to the broadcast shard, unless it is longer than WINDOW_BYTES.
+SHARE, WINDOW_BYTES = 1 << 14, 2048
 #: Stretches of text that one copy of a shard is matched with.
 SHARD_PART = 128
 
@@ -116,6 +121,31 @@ class Windows:
         return mixed(g[:n] * np.uint64(0xD1B54A32D192ED03) + g[places - 1 : places - 1 + n]), least
 
 
+class BroadcastShard:
+    """The automaton of the most repeated windows, given as (hash, owner, place in the owner's text, words)."""
+
+    def __init__(self, found: list[tuple[int, int, int, bytes]], window: int):
+        self.window, self.owner = window, {h: owner for h, owner, _, _ in found}
+        self.owners = set(self.owner.values())
+        passages, before = [], None
+        for owner, at, words in sorted({(owner, at, words) for _, owner, at, words in found}):
+            if before == (owner, at - 1):
+                passages[-1].append(words.split()[-1])
+            else:
+                passages.append(words.split())
+            before = owner, at
+        self.automaton = SuffixAutomaton(passages)
+
+    def spans(self, i: int, words: list[bytes], windows: Windows) -> list[tuple[int, int]]:
+        """Stretches of document ``i`` to remove: matches, but for windows that it is itself the first to hold."""
+        found = self.automaton.spans(words, self.window)
+        if i not in self.owners:
+            return found
+        # stretches that touch are one, so it may hold windows that are not in the shard
+        starts = [(s + k, h) for s, e in found for k, h in enumerate(windows.of(words[s:e])[0].view(np.int64).tolist())]
+        return [(k, k + self.window) for k, h in starts if self.owner.get(h, i) != i]
+
+
 def words_of(column: pa.Array) -> list[list[bytes]]:
     return [(t or b"").split() for t in column.cast(pa.binary()).to_pylist()]
 
@@ -136,19 +166,20 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "id long, n_words long, digest string")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Per id that loses words: ``spans``, an array of [start, end) word positions (they may overlap); a document whose
     whole word sequence is that of a smaller id has the span from 0 to its length.
 
     Windows are judged on the input. Null text has no words; a row without id loses nothing and is no reference; rows
-    that share an id must share their text. An empty table gives no rows; other columns are not read.
+    that share an id must share their text. An empty table gives no rows; other columns are not read. ``share`` sets how
+    many windows the broadcast shard may have; the result doesn't depend on it.
     """
-    spark = docs.sparkSession
+    spark, total = docs.sparkSession, docs.count()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sequences = written(_sequences(rows).where(F.col("n_words") >= window))
-    first = sequences.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").select("digest", "rep")
+    first = written(sequences.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").select("digest", "rep"))
     copies = written(sequences.join(first, "digest").where("id > rep").select("id", "n_words").distinct())
-    flagged = with_membership(rows, slot_bitmap(copies, slot(F.col("id"))), slot(F.col("id")), "_maybe")
+    flagged = KeyFilter(copies, ["id"], total).marked(rows, ["id"], "_maybe")
     maybe = flagged.where("_maybe").select("id", "text").join(copies.select("id"), "id", "left_anti")
     single = flagged.where("not _maybe").select("id", "text").unionByName(maybe)
 
@@ -160,10 +191,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([long_array(np.concatenate(least).view(np.int64)), long_array(ids)], names=["run", "id"])
 
     shared = single.mapInArrow(runs, "run long, id long").groupBy("run").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    place = F.pmod("run", F.lit(FILTER_BITS)) + 1
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    # at most FILTER_BITS / 2**15 rows of 4 KB
-    for r in slot_bitmap(shared, place).toLocalIterator():
+    size = filter_bits(sequences.agg(F.sum("n_words")).first()[0] or 0, 1)
+    bits = np.zeros(size // 8, np.uint8)
+    # rows of 4 KB, 128 MB at most
+    for r in bitmap(shared, F.pmod("run", F.lit(size)) + 1).toLocalIterator():
         bits[(r["_bucket"] - 1) * 4096 : r["_bucket"] * 4096] = np.frombuffer(r["_bits"], np.uint8)
     passing = spark.sparkContext.broadcast(bits)
 
@@ -173,7 +204,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found, at = [], []
             for ws in words_of(batch.column(1)):
                 hashes, least = windows.of(ws)
-                bit = (least & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                bit = (least & np.uint64(size - 1)).astype(np.int64)
                 where = np.flatnonzero(passing.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 found.append(hashes[where])
                 at.append(where)
@@ -181,10 +212,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([long_array(np.concatenate(found).view(np.int64)), long_array(ids), pa.array(np.concatenate(at), pa.int32())], names=["hash", "id", "at"])
 
     seen = written(single.mapInArrow(candidates, "hash long, id long, at int"))
+    shard = _broadcast_shard(single, seen, window, share)
+    everywhere = spark.sparkContext.broadcast(shard)
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, windows = everywhere.value, Windows(window)
+        for batch in batches:
+            out = [(i, s, e) for i, ws in zip(batch.column(0).to_pylist(), words_of(batch.column(1))) for s, e in shard.spans(i, ws, windows)]
+            yield pa.RecordBatch.from_arrays([*map(long_array, list(zip(*out)) or [(), (), ()])], names=["id", "s", "e"])
+
+    settled = spark.createDataFrame([(h,) for h in shard.owner], "hash long")  # fewer than ``share`` rows
+    seen = seen.join(F.broadcast(settled), "hash", "left_anti")
     owners = seen.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("high")).where("owner < high").select("hash", "owner")
     places = seen.join(owners, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "owner")).alias("places"))  # at most a document's words
     places = written(places)
-    texts = with_membership(single, slot_bitmap(places, slot(F.col("id"))), slot(F.col("id")), "_maybe").where("_maybe").select("id", "text")
+    texts = KeyFilter(places, ["id"], total).marked(single, ["id"], "_maybe").where("_maybe").select("id", "text")
     routed = texts.join(places, "id")
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,13 +270,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*map(long_array, columns)], names=["id", "s", "e"])
 
     spans = dealt.mapInArrow(matched, "id long, s long, e long").unionByName(copies.select("id", F.lit(0).cast("long").alias("s"), F.col("n_words").alias("e")))
+    if shard.owner:
+        spans = spans.unionByName(single.mapInArrow(streamed, "id long, s long, e long"))
     return spans.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
+def _broadcast_shard(single: DataFrame, seen: DataFrame, window: int, share: int) -> BroadcastShard:
+    """The shard of the windows that over 1/``share`` of the rows of ``seen`` stand for, if several documents hold them.
+
+    Counted in two steps, so that only rows of full counters are grouped: eight counters for each window that may be in.
+    """
+    total = seen.count()
+    counter = F.pmod(F.xxhash64("hash"), F.lit(8 * share))
+    full = seen.groupBy(counter.alias("_c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total).select("_c")
+    few = seen.withColumn("_c", counter).join(F.broadcast(full), "_c", "left_semi")  # fewer than ``share`` counters
+    top = few.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
+    top = written(top.where((F.col("n") * share > total) & (F.col("first.id") < F.col("high"))).select("hash", "first.id", "first.at"))
+    wanted = top.groupBy("id").agg(F.collect_list(F.struct("hash", "at")).alias("windows"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, ws, windows in zip(batch.column("id").to_pylist(), words_of(batch.column("text")), batch.column("windows").to_pylist()):
+                out += [(w["hash"], i, w["at"], text) for w in windows if len(text := b" ".join(ws[w["at"] : w["at"] + window])) <= WINDOW_BYTES]
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*map(long_array, columns[:3]), pa.array(columns[3], pa.binary())], names=["hash", "id", "at", "words"])
+
+    texts = single.join(F.broadcast(wanted), "id").select("id", "text", "windows").mapInArrow(cut, "hash long, id long, at long, words binary")
+    # fewer than ``share`` windows of at most WINDOW_BYTES
+    return BroadcastShard([(r["hash"], r["id"], r["at"], bytes(r["words"])) for r in texts.distinct().collect()], window)
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``_own`` (the row) and ``_spans`` (null: none); only rows that may have spans are shuffled."""
     rows = docs.select(F.struct("*").alias("_own"), F.col(id_col).cast("long").alias("_id"))
-    flagged = with_membership(rows, slot_bitmap(spans, slot(F.col("id"))), slot(F.col("_id")), "_maybe")
+    flagged = KeyFilter(spans.select(F.col("id").alias("_id")), ["_id"], docs.count()).marked(rows, ["_id"], "_maybe")
     hit = flagged.where("_maybe").join(spans.select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), "_id", "left").select("_own", "_spans")
     return flagged.where("not _maybe").select("_own", F.lit(None).cast(spans.schema["spans"].dataType).alias("_spans")).unionByName(hit)
 

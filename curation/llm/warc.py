@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.common import shared_dir, slot, slot_bitmap, small_batches, table, with_membership
+from curation.llm.common import KeyFilter, shared_dir, small_batches, table, written
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
@@ -36,38 +36,47 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload (null html: empty), record_type, refers_to.
+    """page_id, url, payload (null html: empty), record_type, refers_to, refers_url.
 
     Of equal payloads of ``least`` bytes or more the largest page_id is the response (rows repeating that id too),
     the others revisit it. Only rows whose payload may have a double go through the join, so most bodies are never
-    shuffled; the join has no order or group on top and Spark may split a hot payload.
+    shuffled; the groups are written before it and nothing stands on top, so Spark may split a hot payload.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("_key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    groups = rows.where("_key is not null").groupBy("_key").agg(F.max("page_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    flagged = with_membership(rows, slot_bitmap(groups, slot(F.col("_key"))), slot(F.col("_key")), "_maybe")
+    newest = F.max(F.struct("page_id", "url"))
+    groups = rows.where("_key is not null").groupBy("_key").agg(newest.alias("_top"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    groups = written(groups.select("_key", "_n", F.col("_top.page_id").alias("_keep"), F.col("_top.url").alias("_keep_url")))
+    flagged = KeyFilter(groups, ["_key"], pages.count()).marked(rows, ["_key"], "_maybe")
     maybe = F.col("_maybe") & F.col("_key").isNotNull()
-    lone = flagged.where(~maybe).select("page_id", "url", "payload", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    lone = flagged.where(~maybe).select("page_id", "url", "payload", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
     revisit = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keep"))
     doubled = flagged.where(maybe).join(groups, "_key", "left")
     doubled = doubled.select(
-        "page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_keep")).alias("refers_to")
+        "page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_keep")).alias("refers_to"),
+        F.when(revisit, F.col("_keep_url")).alias("refers_url"),
     )
     return lone.unionByName(doubled)
 
 
-def record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, payload: bytes, digest: str) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload but the digest and size of the one it refers to."""
+def target(url: str) -> str:
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
+def record(name: str, page_id: int | None, url: str | None, kind: str, refers_to: int | None, refers_url: str | None, payload: bytes, digest: str) -> bytes:
+    """One WARC/1.1 record, whose id is drawn from ``name``; a revisit has no payload but the digest and size of the one
+    it refers to, and that one's URL."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http if kind == "revisit" else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url}")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {CAPTURED}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {CAPTURED}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        head.append(f"WARC-Target-URI: {target(url)}")
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}", f"X-Payload-Length: {len(payload)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}", f"X-Payload-Length: {len(payload)}", f"WARC-Refers-To-Date: {CAPTURED}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {target(refers_url)}")
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -101,7 +110,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                         out = store.open_output_stream(name, compression=None)
                     payload = r["payload"].encode()
                     digest = hashlib.sha1(payload).hexdigest()
-                    member = gzip.compress(record(r["page_id"], r["url"], r["record_type"], r["refers_to"], payload, digest), 1, mtime=0)
+                    member = gzip.compress(record(f"{name}:{offset}", r["page_id"], r["url"], r["record_type"], r["refers_to"], r["refers_url"], payload, digest), 1, mtime=0)
                     out.write(member)
                     rows.append((r["page_id"], r["url"], r["record_type"], r["refers_to"], len(payload), digest, name, offset, len(member)))
                     offset += len(member)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import zlib
 
 import numpy as np
@@ -76,6 +77,18 @@ def test_heap_merging_on_odd_texts():
         assert counter.text(text) == len(library.encode(text, add_special_tokens=False).ids), text
 
 
+def test_code_points_newer_than_python_s_tables_are_cut_as_the_library_does():
+    draw = random.Random(1)
+    newer = [chr(c) for c in (0xA7CB, 0x1C89, 0xA7DA, 0x10D50, 0x378, 0x16D40)]
+    pool = [*newer, *"aB é ΣΐÄßİǅﬁ'’sS\n\t12½😀 中日 \x85\xa0\u200b", *(chr(draw.choice([*range(0x20, 0xD800), *range(0xE000, 0x30000)])) for _ in range(300))]
+    texts = [*newer, *("".join(draw.choices(pool, k=draw.randint(0, 14))) for _ in range(3000))]
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    with open(WORDS, encoding="utf-8") as f:
+        counter = bpe_counts.WordCounts(json.load(f))
+    assert [counter.text(t) for t in texts] == [len(ids) for ids in want]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.DocumentIds(WORDS).batch(texts)] == want
+
+
 def test_packing_places_every_id_once(docs, rows, empty):
     library = tokenizers.Tokenizer.from_file(WORDS)
     pieces = packing.pack_documents(docs, WORDS, pool_tokens=20_000).collect()
@@ -184,8 +197,10 @@ def test_components_follow_long_chains(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, 8: 7, 900: 7}
 
 
-def test_repeated_passages_go(docs, rows, empty):
-    spans = {r["id"]: r["spans"] for r in substring_dedup.repeated_spans(docs).collect()}
+@pytest.mark.parametrize("share", [1, 40, substring_dedup.SHARE])
+def test_repeated_passages_go(docs, rows, empty, share):
+    """With no, some and all repeated windows in the broadcast shard."""
+    spans = {r["id"]: r["spans"] for r in substring_dedup.repeated_spans(docs, share=share).collect()}
     for i, (n, gone, digest) in cases.removed(rows).items():
         words = next((r[1] or "") for r in rows if r[0] == i).encode().split()
         keep = substring_dedup.kept_mask(n, [x.asDict() for x in spans.get(i, [])])
@@ -246,11 +261,23 @@ def test_risk_is_never_negative_and_separates():
     assert (quality.sigmoid(x[:800] @ w) > 0.5).mean() > 0.9 and (quality.sigmoid(x[800:] @ w) < 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_is_estimated_without_negatives(share):
+    draw = np.random.default_rng(2)
+
+    def sample(n, mean):
+        return np.c_[draw.normal(mean, 1, (n, 4)), np.ones(n)].astype(np.float32)
+
+    n = 4000
+    unlabelled = np.concatenate([sample(int(n * share), 1.5), sample(n - int(n * share), -1.5)])
+    assert abs(quality.estimated_prior(sample(2000, 1.5), draw.permutation(unlabelled)) - share) < 0.06
+
+
 def test_language_of_words_and_documents(spark, docs, rows, empty):
     found = registry.QUERIES["op9_language_id"](spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.9
     texts = [("the cat and the dog sat on the mat " * 8, "en"), ("le chat et le chien sont sur le tapis " * 8, "fr")] * 6
-    field = language_id.trained(texts)
+    field = language_id.trained([(language_id.passages(t), lang) for t, lang in texts])
     words = ("the cat and the dog sat on the mat le chat et le chien sont sur le tapis").split()
     first = np.zeros(len(words), bool)
     first[0] = True
@@ -271,7 +298,7 @@ def test_language_reads_every_character_of_a_long_word(spark):
         assert grams <= {p[i : i + n] for p in parts for n in (1, 2, 3) for i in range(len(p) - n + 1)}
         assert all(len(p) <= language_id.SEGMENT + 2 for p in parts)
     en, fr = "thecatandthedogsatonthemat", "lechatetlechiensontsurletapis"
-    field = language_id.trained([(en * 6, "en"), (fr * 6, "fr")] * 6)
+    field = language_id.trained([(language_id.passages(en * 6), "en"), (language_id.passages(fr * 6), "fr")] * 6)
     long = spark.createDataFrame([(1, en[:24] + fr * 20 + "mat"), (2, fr[:24] + en * 20 + "pis")], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.label_documents(long, field).collect()} == {1: "fr", 2: "en"}
 
