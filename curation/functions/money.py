@@ -76,12 +76,46 @@ def iso_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00"))
 
 
+#: Date patterns within a line and the formats that read them; day suffixes are taken off before.
+_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+_DATES = [
+    (r"(?:^|[^0-9])((?:20[0-9]{2}|2100)-[0-9]{1,2}-[0-9]{1,2})(?:[^0-9]|$)", ["yyyy-M-d"]), (r"(?:^|[^0-9])((?:20[0-9]{2}|2100)/[0-9]{1,2}/[0-9]{1,2})(?:[^0-9]|$)", ["yyyy/M/d"]),
+    (rf"(?:^|[^0-9])([0-9]{{1,2}} {_MONTH},? (?:20[0-9]{{2}}|2100))(?:[^0-9]|$)", ["d MMMM yyyy", "d MMM yyyy"]), (rf"({_MONTH} [0-9]{{1,2}},? (?:20[0-9]{{2}}|2100))(?:[^0-9]|$)", ["MMMM d yyyy", "MMM d yyyy"]),
+    (r"((?:20[0-9]{2}|2100)年[0-9]{1,2}月[0-9]{1,2})日", ["yyyy年M月d"]),
+]
+
+
+def _reader(form: str):
+    return lambda x: F.to_date(F.try_to_timestamp(F.regexp_replace(x, ",", ""), F.lit(form)))
+
+
 def dates_in(line: Column) -> Column:
-    """Dates of a line in fixed formats, years 2000 to 2100."""
-    iso = F.regexp_extract_all(line, F.lit(r"(?:^|[^0-9])((?:20[0-9]{2}|2100)-[0-9]{2}-[0-9]{2})"), F.lit(1))
-    long = F.regexp_extract_all(line, F.lit(r"([0-9]{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) 20[0-9]{2})"), F.lit(1))
-    found = F.concat(F.transform(iso, lambda x: F.to_date(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")))), F.transform(long, lambda x: F.to_date(F.try_to_timestamp(x, F.lit("d MMMM yyyy")))))
-    return F.array_sort(F.array_distinct(F.array_compact(found)))
+    """Dates of a line in common formats, English months in full or short, years 2000 to 2100."""
+    plain, found = F.regexp_replace(line, r"([0-9])(?:st|nd|rd|th)\b", "$1"), []
+    for pattern, formats in _DATES:
+        texts = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
+        found += [F.transform(texts, _reader(f)) for f in formats]
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*found))))
+
+
+def first_number(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(c, r"[0-9,]+(?:\.[0-9]+)?", 0), ",", "").try_cast("decimal(18,2)")
+
+
+def option_mode(c: Column) -> Column:
+    """Study mode of a selected text; online counts as part-time; null if blank."""
+    low = F.lower(c)
+    return F.when(F.trim(c) == "", None).when(low.rlike("full-time|full time"), "FullTime").when(low.rlike("part-time|part time|online"), "PartTime").otherwise("Unknown")
+
+
+def option_months(c: Column) -> Column:
+    years, months = (F.regexp_extract(F.lower(c), rf"([0-9]+)\s*{unit}", 1).try_cast("int") for unit in ("year", "month"))
+    return F.when(F.trim(c) != "", F.coalesce(years * 12, months, F.lit(0)))
+
+
+def deadline_date(c: Column) -> Column:
+    text = F.regexp_replace(F.regexp_extract(c, r"([0-9]{1,2}\s+[A-Za-z]+\s+[0-9]{4})", 1), r"\s+", " ")
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in ("d MMMM yyyy", "d MMM yyyy")])
 
 
 def backoff_seconds(attempt: Column, cap: int = 30) -> Column:

@@ -71,7 +71,7 @@ def name_likeness(a: Column, b: Column) -> Column:
 def noise_name(c: Column) -> Column:
     """Blank, or navigation, page furniture or requirement prose. Headings are searched anywhere in the name."""
     t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    patterns = "|".join(V.NOISE_HEADINGS), "^(?:" + "|".join(V.NOISE_NAMES) + ")$", "|".join(V.REQUIREMENT_PROSE)
+    patterns = V.NOISE_HEADINGS, f"^(?:{V.NOISE_NAMES})$", V.REQUIREMENT_PROSE
     hit = F.lit(False)
     for p in patterns:
         hit = hit | t.rlike(p)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +71,9 @@ def noise(u: Column) -> Column:
 
 
 def same_section(u: Column, base: Column) -> Column:
-    """Same host, and the path lies below the base's directory."""
-    directory = F.regexp_extract(path(base), r"^(.*/)", 1)
-    return (host(u) == host(base)) & (host(u) != "") & F.startswith(path(u), directory)
+    """Same host, and the path is the base's or lies below it; a base without a path owns its whole host."""
+    below = F.regexp_replace(path(base), "/+$", "")
+    return (host(u) == host(base)) & (host(u) != "") & ((below == "") | (path(u) == below) | F.startswith(path(u), F.concat(below, F.lit("/"))))
 
 
 def sub_link_weight(u: Column) -> Column:
@@ -95,21 +98,82 @@ def with_query_param(u: Column, name: str, value: Column) -> Column:
     return F.concat(base, F.lit("?"), F.concat_ws("&", F.concat(others, F.array(F.concat(F.lit(f"{name}="), value.cast("string"))))), F.regexp_extract(u, r"(#.*)$", 1))
 
 
-def absolute(link: Column, base: Column) -> Column:
-    """Resolve absolute, scheme-relative, root-relative and plain relative links (no dot segments)."""
+def with_param(u: Column, name: Column, value: Column) -> Column:
+    """The URL with one query parameter set behind the others; a parameter of that name in any case goes."""
+    others = F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & (F.lower(F.regexp_extract(p, "^([^=]*)", 1)) != F.lower(name)))
+    query = F.concat(others, F.array(F.concat(name, F.lit("="), value.cast("string"))))
+    return F.concat(F.regexp_extract(u, r"^([^?#]*)", 1), F.lit("?"), F.concat_ws("&", query), F.regexp_extract(u, r"(#.*)$", 1))
+
+
+def next_page(u: Column, page: Column, markdown: Column, param: Column, start: Column) -> Column:
+    """The next page's URL after ``page`` pages: by a given parameter and its first value, else by the one the URL has, else
+    by a link that says next; null if there is none."""
+    own, value = F.regexp_extract(u, r"(?i)[?&](page|pg|p)=[0-9]+", 1), F.regexp_extract(u, r"(?i)[?&](?:page|pg|p)=([0-9]+)", 1).try_cast("int")
+    link = F.regexp_extract(F.coalesce(markdown, F.lit("")), r"(?i)\[[^\]]*(?:next|下一页|›|»)[^\]]*\]\(\s*([^)\s]+)", 1)
+    return F.when(param.isNotNull(), with_param(u, param, F.coalesce(start, F.lit(1)) + page)).when(value.isNotNull(), with_param(u, own, value + 1)).when(link != "", resolved(link, u))
+
+
+def target_path(link: Column) -> Column:
+    """The path of an absolute or relative link."""
+    return F.regexp_extract(F.regexp_replace(link, r"^[A-Za-z][A-Za-z0-9+.\-]*:", ""), r"^(?://[^/?#]*)?([^?#]*)", 1)
+
+
+def without_dots(path_: Column) -> Column:
+    """A path with its dot segments resolved; those above the root go."""
+    parts = F.split(path_, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    joined = F.concat_ws("/", closed)
+    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A link against the page it stands on, as RFC 3986 has it: absolute, scheme-relative, rooted and relative links,
+    dot segments, a query or a fragment alone."""
     root = F.concat(scheme(base), F.lit("://"), host(base))
-    folder = F.concat(root, F.regexp_replace(path(base), "[^/]*$", ""))
-    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme(base), F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(root, link)).otherwise(F.concat(folder, link))
+    own, tail = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"[?#].*$", 0)
+    query = F.regexp_extract(base, r"^[^#]*", 0)
+    return (
+        F.when(link.isNull() | link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme(base), F.lit(":"), link))
+        .when(own != "", F.concat(root, without_dots(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.regexp_replace(path(base), "[^/]*$", ""), own))), tail))
+        .when(F.startswith(tail, F.lit("#")), F.concat(query, tail))
+        .when(tail != "", F.concat(root, path(base), tail))
+        .otherwise(base)
+    )
+
+
+def query_value(link: Column, name: Column) -> Column:
+    """The first value of a query parameter, null if there is none."""
+    parts = F.split(F.regexp_extract(link, r"\?([^#]*)", 1), "&")
+    hit = F.try_element_at(F.filter(parts, lambda p: F.startswith(p, F.concat(name, F.lit("=")))), F.lit(1))
+    return F.substring(hit, F.length(name) + 2, F.length(hit))
+
+
+def with_query_value(link: Column, name: Column, value: Column) -> Column:
+    """The link with a query parameter that it has set to another value, in its place."""
+    parts = F.split(F.regexp_extract(link, r"\?([^#]*)", 1), "&")
+    new = F.transform(parts, lambda p: F.when(F.startswith(p, F.concat(name, F.lit("="))), F.concat(name, F.lit("="), value.cast("string"))).otherwise(p))
+    return F.concat(F.regexp_extract(link, r"^([^?#]*)", 1), F.lit("?"), F.concat_ws("&", new))
+
+
+def unescaped(c: Column) -> Column:
+    """Text with its HTML entities resolved."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else html.unescape(t))
+
+    return plain(c)
 
 
-def html_links(html: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'<a href="([^"]*)"'), F.lit(1))
+def html_links(page: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r'<a href="([^"]*)"'), F.lit(1))
 
 
-def html_link_texts(html: Column) -> Column:
+def html_link_texts(page: Column) -> Column:
     """Texts of the links of ``html_links``, place for place: up to the end of the link, or the next one or the end of the page."""
-    texts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?s)<a href="[^"]*"(?:[^>]*>(.*?)(?=</a>|<a |\z))?'), F.lit(1))
+    texts = F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(r'(?s)<a href="[^"]*"(?:[^>]*>(.*?)(?=</a>|<a |\z))?'), F.lit(1))
     return F.transform(texts, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"\s+", " ")))
 
 

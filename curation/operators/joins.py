@@ -55,7 +55,10 @@ def lookup_with_fallback(rows: DataFrame, entries: DataFrame, canonical: Callabl
 
 
 def token_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str) -> DataFrame:
-    """Distinct id pairs that share a token; an equi-join on exploded tokens, never a cross join."""
+    """Distinct id pairs that share a token; an equi-join on exploded tokens, never a cross join.
+
+    The pairs themselves are the result, so their number is that of the pairs which share a token.
+    """
     a = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("_t"))
     b = right.select(right_id, F.explode(F.array_distinct(right_tokens)).alias("_t"))
     return a.join(b, "_t").select(left_id, right_id).distinct()
@@ -110,3 +113,13 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def same_rows(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """(name, same): both frames have equal schemas and hold the same rows, by their number and the sum of their hashes."""
+    def summed(df: DataFrame, tag: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias(f"{tag}n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias(f"{tag}h"))
+
+    both = summed(a, "a").crossJoin(F.broadcast(summed(b, "b")))
+    equal = (F.col("an") == F.col("bn")) & F.col("ah").eqNullSafe(F.col("bh")) & F.lit(a.dtypes == b.dtypes)
+    return both.select(F.lit(name).alias("name"), equal.alias("same"))

@@ -71,13 +71,20 @@ def deleted(parents: DataFrame, children: dict[str, DataFrame], doomed: DataFram
 
 
 def swap_write(df: DataFrame, path: str) -> None:
-    """Replace a Parquet table: written beside it, then renamed over it, through Hadoop's file system of the path."""
+    """Replace a Parquet table, through Hadoop's file system of the path.
+
+    The new one is written beside the old one, which may be read for it; then the old one is renamed aside, the new one
+    renamed in, and only then the old one deleted. A crash in between leaves the old rows in ``path`` or in
+    ``path.<id>.old``.
+    """
     spark: SparkSession = df.sparkSession
     fresh = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(fresh)
     jvm = spark.sparkContext._jvm
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+    target, source, aside = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, fresh, f"{fresh}.old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(source, target)
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside) or not fs.rename(source, target):
+        raise OSError(f"could not swap {path}")
+    if had:
+        fs.delete(aside, True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +30,69 @@ def import_tables(spark: SparkSession, path: str, schemas: dict[str, str], exist
     return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="curation-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def extra_keys(rows: DataFrame, column: str) -> list[str]:
+    """The distinct keys of a metadata column, sorted; each becomes a column of an export, so there are few."""
+    return sorted(r["k"] for r in rows.select(F.explode(F.map_keys(column)).alias("k")).distinct().collect())
+
+
+def with_extra_columns(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``rows`` with the metadata spread over columns named after its keys, blank where there is no value."""
+    spread = [F.coalesce(F.try_element_at(F.col(column), F.lit(k)), F.lit("")).alias(f"Extra: {k}") for k in keys]
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != column], *spread)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory())
+
+
 def snapshot(tables: dict[str, DataFrame], path: str, version: int) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/version={version:06d}/{name}")
 
 
+def snapshot_tables(spark: SparkSession, path: str, version: int) -> list[str]:
+    return _folders(spark, f"{path}/version={version:06d}")
+
+
+def retained(spark: SparkSession, path: str, keep: int) -> list[int]:
+    """Drop all but the newest ``keep`` snapshots; the versions left, newest first."""
+    found = sorted((int(f.removeprefix("version=")) for f in _folders(spark, path) if f.startswith("version=")), reverse=True)
+    jvm = spark.sparkContext._jvm
+    for version in found[keep:]:
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/version={version:06d}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return found[:keep]
+
+
+def restored(spark: SparkSession, path: str, version: int, order: list[str]) -> dict[str, DataFrame]:
+    """The tables of a snapshot, parents before children."""
+    names = snapshot_tables(spark, path, version)
+    return {t: spark.read.parquet(f"{path}/version={version:06d}/{t}") for t in [*[o for o in order if o in names], *[n for n in names if n not in order]]}
+
+
+def migrated(spark: SparkSession, path: str, version: int, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> int:
+    """Apply ``change`` to a snapshot's tables into the next version and return it; if that fails the old version stands."""
+    try:
+        snapshot(change(restored(spark, path, version, [])), path, version + 1)
+    except ValueError:
+        return version
+    return version + 1
+
+
 def seed_entries(spark: SparkSession, lines: list[str]) -> DataFrame:
     """Seed names from JSON texts: lists of strings or objects, bare or under a known key."""
     from pyspark.sql.types import StringType

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reaped(events: DataFrame, now: str, minutes: int = 10) -> DataFrame:
-    """Live jobs whose last beat is not after ``now`` minus ``minutes`` (the boundary is reaped)."""
+def reaped(events: DataFrame, clock: DataFrame, minutes: int = 10) -> DataFrame:
+    """Live jobs whose last beat is not after ``now`` minus ``minutes`` (the boundary is reaped); ``clock`` is one row with ``now``."""
     last = events.groupBy("user_id").agg(F.max("ts").alias("last_beat"), F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
-    cutoff = F.to_timestamp_ntz(F.lit(now)) - F.expr(f"INTERVAL {minutes} MINUTES")
-    return last.withColumn("reaped", F.col("last_beat") <= cutoff)
+    cutoff = F.col("now") - F.expr(f"INTERVAL {minutes} MINUTES")
+    return last.crossJoin(F.broadcast(clock)).withColumn("reaped", F.col("last_beat") <= cutoff).drop("now")
 
 
 def session_stream(events: DataFrame, gap: str = "10 minutes", lateness: str = "1 hour") -> DataFrame:
