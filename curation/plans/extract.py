@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curation.functions import money as M
 from curation.functions import text as T
-from curation.operators import merge
-from curation.plans import star
 from curation.plans.registry import Rows, query, table
-from curation.plans.star import CTE
 
 SHEET = Rows("row int, name string, fee string, duration string, deadline string", [(1, "MSc A", "HK$ 350,000", "1 year full-time", "2025-03-01"), (2, None, "x", "y", "z"), (3, " ", None, None, None), (4, "MA B", "£9,250", "18 months", "none"), (5, "MA C", None, None, None)])
 
@@ -30,102 +26,6 @@ def case_slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name"), "case").alias("case_id"))
 
 
-@query("s15_page_analysis", r"""
-WITH l AS (SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all(html, '<p>')) AS details FROM pages)
-SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'index' WHEN links >= 6 AND details < 6 THEN 'index' ELSE 'detail' END AS kind, CASE WHEN page_id % 10 = 0 OR links >= 6 AND details < 6 THEN links ELSE 0 END AS candidates FROM l""")
-def page_analysis(spark, d):
-    """An explicit hint wins over the guessed type; only index pages offer links."""
-    links, details = F.regexp_count("html", F.lit("<a href=")), F.regexp_count("html", F.lit("<p>"))
-    kind = F.when(F.col("page_id") % 10 == 0, "index").when((links >= 6) & (details < 6), "index").otherwise("detail")
-    return table(spark, d, "pages").select("page_id", kind.alias("kind"), F.when(kind == "index", links).otherwise(0).cast("long").alias("candidates"))
-
-
-MD = Rows("page int, pos int, line string", [
-    (1, 0, "### [MSc Data](https://x.edu/msc-data)"), (1, 1, "MA History - [Details](https://x.edu/ma-history)"), (1, 2, "| MSc Law | [Link](https://x.edu/msc-law) |"), (1, 3, "## BA Arts"), (1, 4, "Apply [here](https://x.edu/apply)"), (2, 0, "[Plain](u)"),
-])
-
-
-@query("f39_index_items", """SELECT * FROM (VALUES (1, 0, 'heading', 'MSc Data', 'https://x.edu/msc-data'), (1, 1, 'inline', 'MA History', 'https://x.edu/ma-history'), (1, 2, 'table', 'MSc Law', 'https://x.edu/msc-law'), (1, 3, 'text', 'BA Arts', NULL)) v(page, pos, kind, name, url)""")
-def index_items(spark, d):
-    """Names and links by layout: linked headings, degree lines, table rows, plain headings."""
-    line = F.col("line")
-    link = r"\[([^\]]+)\]\(([^) ]+)\)"
-    heading = line.rlike(r"^#+ +\[")
-    cell = line.rlike(r"^\|")
-    degree = line.rlike(r"^(MSc|MA|BA|BSc|PhD)\b.*\]\(")
-    plain = line.rlike(r"^#+ +[^\[]")
-    kind = F.when(heading, "heading").when(cell, "table").when(degree, "inline").when(plain, "text")
-    name = F.when(heading, F.regexp_extract(line, link, 1)).when(cell, F.trim(F.split(line, r"\|")[1])).when(degree, F.trim(F.regexp_extract(line, r"^(.*?) *-? *\[", 1))).otherwise(T.heading_text(line))
-    url = F.nullif(F.regexp_extract(line, link, 2), F.lit(""))
-    return MD.df(spark).where(kind.isNotNull()).select("page", "pos", kind.alias("kind"), name.alias("name"), url.alias("url"))
-
-
-DETAIL = Rows("page int, pos int, line string", [
-    (1, 0, "# MSc Data"), (1, 1, "Tuition fee HKD 300,000"), (1, 2, "Deposit HKD 50,000"), (1, 3, "Full-time 1 year"), (1, 4, "Deadline 2025-03-01"), (1, 5, "IELTS 6.5 required"), (2, 0, "nothing here"),
-])
-
-
-@query("f41_observation", """SELECT * FROM (VALUES (1, 'MSc Data', 300000.0, 12, DATE '2025-03-01', 1), (2, NULL, NULL, NULL, NULL, 0)) v(page, name, tuition, months, cutoff, requirements)""")
-def observation(spark, d):
-    """A page's name, best tuition line, duration, first deadline and requirement lines in one pass over its lines."""
-    c = F.col("line")
-    rows = DETAIL.df(spark).withColumn("priority", M.tuition_priority(c, ["deposit", "scholarship"])).withColumn("fees", M.tuition_candidates(c))
-    amount = F.when((F.size("fees") > 0) & (F.col("priority") > 0), F.col("fees")[0]["amount"])
-    return rows.groupBy("page").agg(
-        F.min_by(F.when(T.heading_level(c) > 0, T.heading_text(c)), F.when(T.heading_level(c) > 0, F.col("pos"))).alias("name"), F.max_by(amount, F.when(amount.isNotNull(), F.struct("priority", amount))).alias("tuition"),
-        F.max(M.duration_months(c)).alias("months"), F.min(F.try_element_at(M.dates_in(c), F.lit(1))).alias("cutoff"), F.count_if(M.inferred_exam(c).isNotNull()).alias("requirements"),
-    )
-
-
-PAGING = Rows("page int, html string", [(1, '<div class="pagination"><a href="?page=2">2</a><a href="?page=9">9</a></div>'), (2, '<a href="/l?p=2">2</a><a href="/l?p=3">3</a><a href="/l?p=4">4</a>'), (3, "<button>Load more</button>"), (4, "<p>x</p>")])
-
-
-@query("f42_pagination", """SELECT * FROM (VALUES (1, 'container', 9), (2, 'loose', 4), (3, 'button', NULL), (4, 'single', NULL)) v(page, kind, last_page)""")
-def pagination(spark, d):
-    """A pagination container with two page numbers, else three loose ones, else a button, else a single page."""
-    found = F.regexp_extract_all("html", F.lit(r'href="[^"]*[?&](?:page|p)=([0-9]+)'), F.lit(1)).cast("array<int>")
-    n = F.size(F.array_distinct(found))
-    kind = F.when(F.contains("html", F.lit('class="pagination')) & (n >= 2), "container").when(n >= 3, "loose").when(F.lower("html").rlike("load more|show more"), "button").otherwise("single")
-    return PAGING.df(spark).select("page", kind.alias("kind"), F.when(kind.isin("container", "loose"), F.array_max(found)).alias("last_page"))
-
-
-@query("f46_payload_hash", "SELECT count(DISTINCT (event_type, user_id)) AS keys FROM events")
-def payload_hash(spark, d):
-    """Idempotency keys: the digest of a canonical payload."""
-    return table(spark, d, "events").agg(F.count_distinct(F.sha2(F.to_json(F.struct("event_type", "user_id")), 256)).alias("keys"))
-
-
-@query("f47_fee_records", CTE + "SELECT program_id, count(*) AS n, min(amount) AS low, max(amount) AS high FROM fee GROUP BY program_id")
-def fee_records(spark, d):
-    fees = star.fee(spark, d).groupBy("program_id").agg(F.collect_list(F.struct("amount", "scope", "mode", "basis")).alias("f"))
-    return fees.select("program_id", F.size("f").cast("long").alias("n"), F.array_min("f.amount").alias("low"), F.array_max("f.amount").alias("high"))
-
-
-SIGNALS = Rows("anchor string, slug string, heading string, score double", [("MSc A", "msc a", "MSc A", 0.951), (None, "ma b", "MA B", 0.5), ("X", None, None, None)])
-
-
-@query("f48_f51_taxonomy_signals", """SELECT * FROM (VALUES ('MSc A;msc a', 'MSc A|0.95', true), ('ma b;MA B', 'MA B|0.5', false), ('X', NULL, false)) v(signals, hint, overrides)""")
-def taxonomy_signals(spark, d):
-    s = F.array_distinct(F.array_compact(F.array("anchor", "slug", "heading")))
-    hint = F.when(F.col("score").isNotNull(), F.concat_ws("|", "heading", F.bround("score", 2).cast("string")))
-    return SIGNALS.df(spark).select(F.concat_ws(";", s).alias("signals"), hint.alias("hint"), F.coalesce(F.col("score") >= 0.9, F.lit(False)).alias("overrides"))
-
-
-THIN = Rows("src string, dst string, weight int", [("p", "fees", 100), ("p", "req", 100), ("p", "adm", 80), ("p", "news", 0), ("fees", "fees2", 100), ("req", "req2", 40), ("req", "p", 100), ("adm", "adm2", 80)])
-
-
-@query("f52_thin_page_expansion", """SELECT * FROM (VALUES ('fees', 1), ('req', 1), ('fees2', 2), ('req2', 2)) v(page, hop)""")
-def thin_page_expansion(spark, d):
-    """Two pages from the thin page, then three from those, best weights first, none twice."""
-    edges = THIN.df(spark).where("weight > 0")
-    order = W.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    first = edges.where("src = 'p'").withColumn("n", F.row_number().over(order)).where("n <= 2").select(F.col("dst").alias("page"))
-    seen = first.union(spark.createDataFrame([("p",)], "page string"))
-    second = edges.join(first, F.col("src") == F.col("page"), "left_semi").select(F.col("dst").alias("page"), "weight").join(seen, "page", "left_anti")
-    second = second.groupBy("page").agg(F.max("weight").alias("w")).orderBy(F.desc("w"), "page").limit(3)
-    return first.select("page", F.lit(1).alias("hop")).union(second.select("page", F.lit(2).alias("hop")))
-
-
 MECH = Rows("url string, mode string", [("https://x.edu/l?page=3", "server"), ("https://x.edu/l", "client_wait"), ("https://x.edu/l", "server")])
 
 
@@ -179,22 +79,6 @@ def requirements_from_metadata(spark, d):
     return rows.select("id", F.explode(kept).alias("key", "text"))
 
 
-@query("w15_w16_audit_fan_out", "SELECT event_type AS stage, count(*) AS links, count(DISTINCT user_id) AS audits FROM events GROUP BY 1")
-def audit_fan_out(spark, d):
-    """Dropped links as rows of their audit, counted per stage."""
-    audits = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_type", "event_id")).alias("dropped"))
-    rows = audits.select("user_id", F.inline("dropped"))
-    return rows.groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("links"), F.count_distinct("user_id").alias("audits"))
-
-
-@query("w27_backfill_dimensions", "SELECT p_brand AS dim, count(*) AS requirements, 1 AS version_no FROM part GROUP BY p_brand")
-def backfill_dimensions(spark, d):
-    """Distinct keys become a dimension, rows get its key back by join, everything starts at version 1."""
-    p = table(spark, d, "part")
-    dim = p.select("p_brand").distinct().withColumn("dim_key", F.xxhash64("p_brand"))
-    return p.join(dim, "p_brand", "left").groupBy(F.col("p_brand").alias("dim")).agg(F.count("dim_key").alias("requirements"), F.min(F.lit(1)).alias("version_no"))
-
-
 @query("w29_persisted_records", """SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (2, 'c')) v(step, name)""")
 def persisted_records(spark, d):
     """Records of a step's result, else those it was given if it upserted any."""
@@ -202,44 +86,3 @@ def persisted_records(spark, d):
     own = F.from_json(F.get_json_object("result", "$.records"), "array<string>")
     names = F.when(own.isNotNull(), own).when(F.get_json_object("result", "$.upserts").cast("int") > 0, F.from_json("given", "array<string>"))
     return rows.select("step", F.explode(names).alias("name"))
-
-
-@query("k5_k8_snapshot_versions", "SELECT n_regionkey AS slug, max(n_nationkey) AS version, count(*) - 1 AS deprecated FROM nation GROUP BY 1")
-def snapshot_versions(spark, d):
-    """Newest version per key active, older ones deprecated."""
-    ranked = table(spark, d, "nation").withColumn("n", F.row_number().over(W.partitionBy("n_regionkey").orderBy(F.desc("n_nationkey"))))
-    return ranked.groupBy(F.col("n_regionkey").alias("slug")).agg(F.max(F.when(F.col("n") == 1, F.col("n_nationkey"))).alias("version"), F.count_if(F.col("n") > 1).alias("deprecated"))
-
-
-@query("k6_k7_report_json", CTE + "SELECT status, count(*) AS n FROM program GROUP BY status")
-def report_json(spark, d):
-    """A report as one JSON document per key, read back typed."""
-    rows = star.program(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    packed = rows.select(F.to_json(F.struct("status", "n")).alias("j"))
-    return packed.select(F.from_json("j", "status string, n long").alias("r")).select("r.*")
-
-
-@query("k9_missing_tables", "SELECT * FROM (VALUES ('requirement_version')) v(missing)")
-def missing_tables(spark, d):
-    required = spark.createDataFrame([("nation",), ("region",), ("requirement_version",)], "missing string")
-    return required.subtract(spark.createDataFrame([("nation",), ("region",), ("extra",)], "missing string"))
-
-
-@query("w3_legacy_name_merge", "SELECT * FROM (VALUES ('group:x', false), ('name:msc', true), ('url:u', false)) v(key, merges)")
-def legacy_name_merge(spark, d):
-    """Only name keys may merge into an older entry of the same name."""
-    keys = spark.createDataFrame([("group:x", "msc"), ("name:msc", "msc"), ("url:u", "msc")], "key string, name string")
-    legacy = spark.createDataFrame([("msc",)], "name string").withColumn("hit", F.lit(True))
-    return keys.join(F.broadcast(legacy), "name", "left").select("key", (F.startswith("key", F.lit("name:")) & F.coalesce("hit", F.lit(False))).alias("merges"))
-
-
-@query("s10_import_guard", "SELECT 'nation' AS name, (SELECT count(*) FROM nation) = 0 AS may_import UNION ALL SELECT 'empty', true")
-def import_guard(spark, d):
-    n = table(spark, d, "nation")
-    full = n.limit(1).agg((F.count(F.lit(1)) == 0).alias("may_import")).select(F.lit("nation").alias("name"), "may_import")
-    return full.union(n.where("false").agg(F.lit("empty"), F.count(F.lit(1)) == 0))
-
-
-@query("w14_merge_first_per_key", CTE + "SELECT catalog_id, min(program_id) AS program_id FROM program GROUP BY catalog_id")
-def first_programme(spark, d):
-    return merge.first_per_key(star.program(spark, d), ["catalog_id"], [F.asc("program_id")]).select("catalog_id", "program_id")

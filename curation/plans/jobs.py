@@ -10,31 +10,10 @@ from curation.plans.registry import Rows, query, table
 from curation.streaming import heartbeats
 
 
-@query("x1_job_states", """
-SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 2 THEN 'POISONED' WHEN arg_max(event_type, (ts, event_id)) = 'error' THEN 'FAILED' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'SUCCEEDED' ELSE 'RUNNING' END AS state FROM events GROUP BY user_id""")
-def job_states(spark, d):
-    """State of each job after replaying its events."""
-    kind = F.col("event_type")
-    last = F.max_by("event_type", F.struct("ts", "event_id"))
-    state = F.when(F.count_if(kind == "error") > 2, "POISONED").when(last == "error", "FAILED").when(F.count_if(kind == "purchase") > 0, "SUCCEEDED").otherwise("RUNNING")
-    return table(spark, d, "events").groupBy("user_id").agg(state.alias("state"))
-
-
 @query("x2_heartbeat_reaper", "SELECT user_id, max(ts) AS last_beat, arg_max(event_type, (ts, event_id)) AS state, max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS reaped FROM events GROUP BY user_id")
 def heartbeat_reaper(spark, d):
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("t")).first()["t"]  # the clock of the run, one value
-    return heartbeats.reaped(e, str(now))
-
-
-ATTEMPTS = Rows("task int, failures int, max_retries int", [(1, 0, 2), (2, 1, 2), (3, 2, 2), (4, 3, 2), (5, 7, 2)])
-
-
-@query("x3_retry_or_poison", f"SELECT task, CASE WHEN failures = 0 THEN 'OK' WHEN failures > max_retries THEN 'POISONED' ELSE 'RETRY_SCHEDULED' END AS state, CASE WHEN failures BETWEEN 1 AND max_retries THEN CAST(least(pow(2, failures - 1), 30) AS INTEGER) END AS wait FROM {ATTEMPTS.sql}")
-def retry_or_poison(spark, d):
-    n, most = F.col("failures"), F.col("max_retries")
-    state = F.when(n == 0, "OK").when(n > most, "POISONED").otherwise("RETRY_SCHEDULED")
-    return ATTEMPTS.df(spark).select("task", state.alias("state"), F.when((n >= 1) & (n <= most), F.least(F.pow(F.lit(2), n - 1), F.lit(30)).cast("int")).alias("wait"))
+    return heartbeats.reaped(e, e.agg(F.max("ts").alias("now")))
 
 
 @query("x4_idempotent_skip", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -67,39 +46,3 @@ def cache_expiry(spark, d):
     before = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     seconds = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))) - F.unix_timestamp(F.date_trunc("second", before.cast("timestamp")))
     return table(spark, d, "events").select("user_id", "event_id", F.coalesce(seconds >= 300, F.lit(True)).alias("expired"))
-
-
-TASKS = Rows("task int, state string, owner string", [(1, "done", "a"), (2, "pending", None), (3, "pending", "b"), (4, "pending", None), (5, "pending", None)])
-EDGES = Rows("blocker int, blocked int", [(1, 2), (2, 4), (1, 3)])
-
-
-@query("x8_w22_ready_tasks", f"""
-SELECT task FROM {TASKS.sql} t WHERE state = 'pending' AND owner IS NULL AND NOT EXISTS (SELECT 1 FROM {EDGES.sql} e JOIN {TASKS.sql} b ON b.task = e.blocker WHERE e.blocked = t.task AND b.state <> 'done')""")
-def ready_tasks(spark, d):
-    """Unclaimed pending tasks without open blockers; a done task's edges no longer count."""
-    t = TASKS.df(spark)
-    open_ = EDGES.df(spark).join(t.where("state <> 'done'").select(F.col("task").alias("blocker")), "blocker", "left_semi").select(F.col("blocked").alias("task"))
-    return t.where("state = 'pending' and owner is null").join(open_, "task", "left_anti").select("task")
-
-
-CRAWL = Rows("site string, page int, drift boolean, poor boolean, bad boolean", [("a", 1, False, False, False), ("a", 2, False, True, True), ("a", 3, True, False, False), ("b", 1, False, False, False), ("c", 1, False, False, False), ("c", 2, True, True, False)])
-
-
-@query("x9_crawl_stop", f"""
-WITH r AS (SELECT *, CASE WHEN drift THEN 'url_drift' WHEN poor THEN 'decreasing_yield' WHEN bad THEN 'quality_failed' END AS why FROM {CRAWL.sql})
-SELECT site, coalesce(arg_min(why, page) FILTER (why IS NOT NULL), 'exhausted') AS reason, coalesce(min(page) FILTER (why IS NOT NULL), max(page)) AS page FROM r GROUP BY site""")
-def crawl_stop(spark, d):
-    return series.first_stop(CRAWL.df(spark), ["site"], "page", {"url_drift": F.col("drift"), "decreasing_yield": F.col("poor"), "quality_failed": F.col("bad")})
-
-
-@query("x10_index_paging_stop", "WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT user_id, CASE WHEN max(n) >= 30 THEN 'reached_limit' ELSE 'exhausted' END AS reason, least(max(n), 30) AS taken FROM c GROUP BY user_id")
-def index_paging_stop(spark, d):
-    g = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("user_id", F.when(F.col("n") >= 30, "reached_limit").otherwise("exhausted").alias("reason"), F.least("n", F.lit(30).cast("long")).alias("taken"))
-
-
-@query("w21_live_tasks_fail", f"SELECT task, CASE WHEN task IN (SELECT blocked FROM {EDGES.sql} WHERE blocker = 1) AND state = 'pending' THEN 'FAILED' ELSE state END AS state FROM {TASKS.sql}")
-def live_tasks_fail(spark, d):
-    doomed = EDGES.df(spark).where("blocker = 1").select(F.col("blocked").alias("task"), F.lit(True).alias("doomed"))
-    state = F.when(F.col("doomed") & (F.col("state") == "pending"), "FAILED").otherwise(F.col("state"))
-    return TASKS.df(spark).join(doomed, "task", "left").select("task", state.alias("state"))

@@ -109,10 +109,10 @@ def iso_timestamps(spark, d):
     return STAMPS.df(spark).select("raw", F.date_format(M.iso_timestamp(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
-DATES = Rows("id int, line string", [(1, "Round 2: 2025-03-01; round 1: 2024-12-01"), (2, "Deadline 5 May 2025"), (3, "deposit of 2,500 by the deadline"), (4, None), (5, "1999-01-01")])
+DATES = Rows("id int, line string", [(1, "Round 2: 2025-03-01; round 1: 2024-12-01"), (2, "Deadline 5 May 2025"), (3, "deposit of 2,500 by the deadline"), (4, None), (5, "1999-01-01"), (6, "1st March 2026 or Apr 2, 2026; 2026/5/3"), (7, "截止 2026年6月4日; 31 February 2026"), (8, "3 Sept 2101; 12 Dec 2026")])
 
 
-@query("f29_deadlines", """SELECT * FROM (VALUES (1, 1, DATE '2024-12-01'), (1, 2, DATE '2025-03-01'), (2, 1, DATE '2025-05-05')) v(id, round, cutoff)""")
+@query("f29_deadlines", """SELECT * FROM (VALUES (1, 1, DATE '2024-12-01'), (1, 2, DATE '2025-03-01'), (2, 1, DATE '2025-05-05'), (6, 1, DATE '2026-03-01'), (6, 2, DATE '2026-04-02'), (6, 3, DATE '2026-05-03'), (7, 1, DATE '2026-06-04'), (8, 1, DATE '2026-12-12')) v(id, round, cutoff)""")
 def deadlines(spark, d):
     rows = DATES.df(spark).select("id", F.posexplode(M.dates_in(F.coalesce("line", F.lit("")))).alias("p", "cutoff"))
     return rows.select("id", (F.col("p") + 1).alias("round"), "cutoff")

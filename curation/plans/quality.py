@@ -26,14 +26,6 @@ def quality_gate(spark, d):
     return ROWS.df(spark).select("name", "url", F.length(name).cast("long").alias("name_length"), reason.alias("reason"))
 
 
-@query("p13_suspect_names", f"""
-SELECT name, length(trim(coalesce(name, ''))) < 4 OR {NOISE_SQL.replace('{c}', 'name')} OR len(list_intersect(string_split(lower(coalesce(name, '')), ' '), ['msc', 'law'])) / greatest(len(list_distinct(string_split(lower(coalesce(name, '')), ' '))), 1) < 0.5 AS suspect FROM {ROWS.sql}""")
-def suspect_names(spark, d):
-    words = F.split(F.lower(F.coalesce("name", F.lit(""))), " ")
-    overlap = F.size(F.array_intersect(words, F.array(F.lit("msc"), F.lit("law")))) / F.greatest(F.size(F.array_distinct(words)), F.lit(1))
-    return ROWS.df(spark).select("name", ((F.length(F.trim(F.coalesce("name", F.lit("")))) < 4) | T.noise_name(F.col("name")) | (overlap < 0.5)).alias("suspect"))
-
-
 SCORED = """
 d AS (SELECT source, doc_id, n_chars, quality, lang FROM documents LEFT JOIN labels USING (doc_id)),
 g AS (SELECT source, count(*) AS n, avg(CASE WHEN n_chars > 200 THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END) AS b, avg(CASE WHEN lang IS NOT NULL THEN 1.0 ELSE 0 END) AS c FROM d GROUP BY source),
@@ -105,12 +97,6 @@ def selector_degradation(spark, d):
     return PAGES.df(spark).groupBy("schema").agg(action.alias("action"))
 
 
-@query("a24_collection_report", "SELECT count(*) FILTER (length(html) >= 3000) AS collected, count(*) FILTER (length(html) < 3000 AND length(html) >= 1000) AS skipped, count(*) FILTER (length(html) < 1000) AS failed FROM pages")
-def collection_report(spark, d):
-    n = F.length("html")
-    return table(spark, d, "pages").agg(F.count_if(n >= 3000).alias("collected"), F.count_if((n < 3000) & (n >= 1000)).alias("skipped"), F.count_if(n < 1000).alias("failed"))
-
-
 @query("f40_t15_relevant_lines", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 k AS (SELECT doc_id, trim(line, ' ') AS line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l WHERE length(trim(line, ' ')) >= 4 AND regexp_matches(lower(line), 'license|copyright|worthless'))

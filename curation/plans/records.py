@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from curation.functions import text as T
 from curation.operators import fuzzy, merge
 from curation.plans.registry import Rows, query, table
-from curation.plans.text import KEY
 
 RECORDS = Rows("id int, name string, year int, url string, html string, tuition double, faculty string, deadlines int, requirements int", [
     (1, "MSc A", 2024, "u1", "h", None, None, 0, 0), (2, " ", 2024, "u2", "h", 1.0, None, 0, 0), (3, "MSc C", 0, None, "h", None, "Arts", 2, 0), (4, None, None, "u4", "", 5.0, None, 0, 1), (5, "MSc E", 2025, "u5", "h", None, "Law", 0, 0),
@@ -31,30 +30,11 @@ def failed_pages(spark, d):
     return RECORDS.df(spark).select("id", (T.blank(F.col("url")) | T.blank(F.col("html"))).alias("failed"))
 
 
-@query("s12_external_ingest", f"SELECT CASE WHEN trim(coalesce(name, '')) = '' THEN 'invalid_name' WHEN coalesce(year, 0) <= 0 THEN 'invalid_year' ELSE 'ok' END AS code, count(*) AS n FROM {RECORDS.sql} GROUP BY 1")
-def external_ingest(spark, d):
-    code = F.when(T.blank(F.col("name")), "invalid_name").when(F.coalesce("year", F.lit(0)) <= 0, "invalid_year").otherwise("ok")
-    return RECORDS.df(spark).groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("s17_needs_parsing", f"SELECT id, CASE WHEN url LIKE '%1' THEN 'excel' WHEN url LIKE '%2' THEN 'pdf' ELSE 'other' END AS route, html <> '' AND tuition IS NULL AS needs FROM {RECORDS.sql}")
-def needs_parsing(spark, d):
-    route = F.when(F.col("url").like("%1"), "excel").when(F.col("url").like("%2"), "pdf").otherwise("other")
-    return RECORDS.df(spark).select("id", route.alias("route"), ((F.col("html") != "") & F.col("tuition").isNull()).alias("needs"))
-
-
 @query("p24_fields_present", f"SELECT id, trim(coalesce(name, '')) <> '' AS name, tuition IS NOT NULL AS tuition, deadlines > 0 AS deadlines FROM {RECORDS.sql}")
 def fields_present(spark, d):
     return RECORDS.df(spark).select("id", (~T.blank(F.col("name"))).alias("name"), F.col("tuition").isNotNull().alias("tuition"), (F.col("deadlines") > 0).alias("deadlines"))
 
 
-@query("f58_record_assembly", f"SELECT id, coalesce(nullif(trim(name), ''), faculty, 'page ' || id) AS name, 'x#' || {KEY.replace('{c}', 'coalesce(nullif(trim(name), chr(0)), faculty)')} AS code FROM {RECORDS.sql} WHERE trim(coalesce(name, '')) <> '' OR faculty IS NOT NULL")
-def record_assembly(spark, d):
-    """Name cascade and group code of records that have any name source."""
-    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("faculty"), F.concat(F.lit("page "), F.col("id")))
-    return RECORDS.df(spark).where(~T.blank(F.col("name")) | F.col("faculty").isNotNull()).select("id", name.alias("name"), T.group_code(F.lit("x"), F.coalesce(F.trim("name"), "faculty")).alias("code"))
-
-
 SELECTIONS = Rows("id int, raw string", [(1, "1,3-5 x"), (2, "2 2 7-6"), (3, ""), (4, None), (5, "4-4, 9")])
 
 
@@ -80,24 +60,6 @@ def onhold_split(spark, d):
     return chosen.union(rest).union(picked.join(hold, "idx", "left_anti").select("idx", F.lit("invalid")))
 
 
-@query("u14_selection_union", "SELECT 1 AS id, '1,2,3,5' AS selected")
-def selection_union(spark, d):
-    both = F.array_sort(F.array_union(F.array(F.lit(5), F.lit(1)), F.array(F.lit(3), F.lit(1), F.lit(2))))
-    return spark.range(1).select(F.lit(1).alias("id"), F.concat_ws(",", both.cast("array<string>")).alias("selected"))
-
-
-@query("u7_same_row_collapse", "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS named, count(*) FILTER (event_type <> 'purchase') AS generic, CASE WHEN count(*) FILTER (event_type = 'purchase') = 1 THEN max(event_id) FILTER (event_type = 'purchase') END AS keep FROM events GROUP BY user_id")
-def same_row_collapse(spark, d):
-    """Items of a row collapse to the only one that bears a name."""
-    named = F.col("event_type") == "purchase"
-    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(named).alias("named"), F.count_if(~named).alias("generic"), F.when(F.count_if(named) == 1, F.max(F.when(named, F.col("event_id")))).alias("keep"))
-
-
-@query("u10_chunk_merge", "SELECT conv_id, arg_max(role, turn) AS newest, count(*) AS parts, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
-def chunk_merge(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("newest"), F.count(F.lit(1)).alias("parts"), F.sum(F.length("text")).alias("chars"))
-
-
 @query("u11_paging_absorb", "SELECT p_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
 def paging_absorb(spark, d):
     return merge.first_per_key(table(spark, d, "part").withColumn("k", F.lower("p_name")), ["k"], [F.asc("p_partkey")]).select("p_name", "p_partkey")
@@ -113,16 +75,6 @@ def greedy_item_dedup(spark, d):
     return fuzzy.greedy_distinct(rows, "page", "pos", ["url", "k"]).drop("k")
 
 
-REQS = Rows("program int, pos int, text string", [
-    (1, 1, "IELTS 6.5 overall"), (1, 2, "IELTS 6.5 overall."), (1, 3, "An IELTS 6.5 overall score"), (1, 4, "A bachelor degree with honours"), (1, 5, "A bachelor degree with honors"), (1, 6, "TOEFL 80"), (1, 7, "TOEFL 90"), (2, 1, "TOEFL 80"),
-])
-
-
-@query("u9_requirement_dedup")
-def requirement_dedup(spark, d):
-    return fuzzy.near_distinct_requirements(REQS.df(spark), "program", "pos", "text")
-
-
 @query("f6_t8_taxonomy_top3")
 def taxonomy_top3(spark, d):
     """The three best taxonomy entries of each name among those that share a token with it."""
@@ -137,7 +89,7 @@ def taxonomy_top3(spark, d):
 
 @query("f11_chunks")
 def chunked(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(fuzzy.chunks(F.coalesce("text", F.lit("")), 1000)).alias("chunk", "part"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(fuzzy.chunks(F.col("text"), 1000)).alias("chunk", "part"))
     return docs.select("doc_id", "chunk", F.length("part").alias("n"), F.sha2("part", 256).alias("digest"))
 
 

@@ -26,8 +26,8 @@ TOKENS = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')"
 KEY = f"coalesce(nullif(array_to_string(list_filter({TOKENS}, lambda x: NOT list_contains([{STOP}], x)), ''), ''), nullif(array_to_string({TOKENS}, ''), ''), 'unknown')"
 SQUASHED = "regexp_replace(lower(trim(coalesce({c}, ''))), '[^a-z0-9]+', '', 'g')"
 NOISE_SQL = (
-    "(trim(coalesce({c}, '')) = '' OR regexp_matches(lower(trim({c})), " + quoted("|".join(V.NOISE_HEADINGS)) + ") OR regexp_matches(lower(trim({c})), "
-    + quoted("^(?:" + "|".join(V.NOISE_NAMES) + ")$") + ") OR regexp_matches(lower(trim({c})), " + quoted("|".join(V.REQUIREMENT_PROSE)) + "))"
+    "(trim(coalesce({c}, '')) = '' OR regexp_matches(lower(trim({c})), " + quoted(V.NOISE_HEADINGS) + ") OR regexp_matches(lower(trim({c})), "
+    + quoted(f"^(?:{V.NOISE_NAMES})$") + ") OR regexp_matches(lower(trim({c})), " + quoted(V.REQUIREMENT_PROSE) + "))"
 )
 
 

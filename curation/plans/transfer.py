@@ -4,46 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curation.plans import star
-from curation.plans.registry import Rows, query, table
-from curation.plans.star import CTE
+from curation.plans.registry import Rows, query
 from curation.sources import tables
 
 
-@query("k1_k2_flat_export", CTE + """
-SELECT c.catalog_name AS "Programme", u.university AS "University", academic_year AS "Year", coalesce(string_agg(mode || ' (' || CAST(amount AS VARCHAR) || ')', ', ' ORDER BY mode, amount), '') AS "Fees"
-FROM program p JOIN catalog c USING (catalog_id) JOIN university u USING (university_id) LEFT JOIN fee f USING (program_id) WHERE academic_year = 1998 GROUP BY program_id, 1, 2, 3""")
-def flat_export(spark, d):
-    """One year of ``k1_k2_flat_export_all``, as far as this SQL goes."""
-    return flat_rows(spark, d, star.program(spark, d).where("academic_year = 1998"))
-
-
-@query("k1_k2_flat_export_all", CTE + """
-SELECT c.catalog_name AS "Programme", u.university AS "University", academic_year AS "Year", coalesce(string_agg(mode || ' (' || CAST(amount AS VARCHAR) || ')', ', ' ORDER BY mode, amount), '') AS "Fees"
-FROM program p JOIN catalog c USING (catalog_id) JOIN university u USING (university_id) LEFT JOIN fee f USING (program_id) GROUP BY program_id, 1, 2, 3""")
-def flat_export_all(spark, d):
-    """One flat row per programme with its children written out."""
-    return flat_rows(spark, d, star.program(spark, d))
-
-
-def flat_rows(spark, d, programmes):
-    fees = star.fee(spark, d).groupBy("program_id").agg(F.sort_array(F.collect_list(F.struct("mode", "amount"))).alias("f"))
-    text = F.concat_ws(", ", F.transform("f", lambda x: F.concat(x["mode"], F.lit(" ("), x["amount"].cast("string"), F.lit(")"))))
-    rows = programmes.join(star.catalog(spark, d), "catalog_id").join(star.university(spark, d), "university_id").join(fees, "program_id", "left")
-    return rows.select(F.col("catalog_name").alias("Programme"), F.col("university").alias("University"), F.col("academic_year").alias("Year"), F.coalesce(text, F.lit("")).alias("Fees"))
-
-
-@query("k3_export_manifest", "SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
-def export_manifest(spark, d):
-    counts = [table(spark, d, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("rows")) for t in ("nation", "region")]
-    return counts[0].union(counts[1])
-
-
-@query("k4_taxonomy_export", "SELECT p_partkey, lower(p_name) AS normalized FROM part WHERE p_size > 5 OR p_retailprice IS NULL ORDER BY normalized, p_partkey")
-def taxonomy_export(spark, d):
-    return table(spark, d, "part").where("p_size > 5 or p_retailprice is null").select("p_partkey", F.lower("p_name").alias("normalized")).orderBy("normalized", "p_partkey")
-
-
 SEEDS = ['["MSc A", "MSc B", ""]', '{"names": ["MSc B", "MSc C"]}', '{"items": ["MSc D"]}', "{bad"]
 
 

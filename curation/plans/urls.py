@@ -63,17 +63,6 @@ def url_name_signal(spark, d):
     return table(spark, d, "pages").select("page_id", U.name_signal(F.col("url")).alias("signal"))
 
 
-@query("f18_university_slug")
-def university_slug(spark, d):
-    return URLS.df(spark).select("url", U.university_slug(F.col("url")).alias("slug"))
-
-
-@query("f20_next_page_url")
-def next_page_url(spark, d):
-    page = F.regexp_extract("url", r"[?&]page=([0-9]+)", 1).try_cast("int")
-    return URLS.df(spark).select("url", F.when(page.isNotNull(), U.with_query_param(F.col("url"), "page", page + 1)).alias("next_url"))
-
-
 @query("f21_f22_page_patterns", f"""
 WITH r AS (SELECT * FROM (VALUES ('hku.hk', 'merged'), ('x.edu', 'table')) v(domain, kind)), s AS (SELECT url, {host('url')} AS h, {segs('url')} AS s FROM {URLS.sql})
 SELECT url, regexp_replace(array_to_string(list_slice(s, greatest(len(s) - 1, 1), len(s)), '/'), '[0-9]+', '{{N}}', 'g') AS pattern, kind AS strategy FROM s LEFT JOIN r ON regexp_replace(h, '^www\\.', '') = domain""")
@@ -89,9 +78,9 @@ def sub_links(spark, d):
     return URLS.df(spark).select("url", U.noise(F.col("url")).alias("noise"), U.sub_link_weight(F.col("url")).alias("weight"))
 
 
-@query("p12_same_section", f"SELECT url, {host('url')} = 'x.edu' AND starts_with({path('url')}, '/a/') AS same FROM {URLS.sql}")
+@query("p12_same_section", f"SELECT url, {host('url')} = 'x.edu' AND ({path('url')} = '/a' OR starts_with({path('url')}, '/a/')) AS same FROM {URLS.sql}")
 def same_section(spark, d):
-    return URLS.df(spark).select("url", U.same_section(F.col("url"), F.lit("https://x.edu/a/index.html")).alias("same"))
+    return URLS.df(spark).select("url", U.same_section(F.col("url"), F.lit("https://x.edu/a/")).alias("same"))
 
 
 ANCHORS = Rows("anchor string", [("Visit website",), ("Visit the page",), ("MSc Finance",), ("More details",), ("here",), ("Click here",), ("Homepage",), ("official site",), ("hereafter",)])
@@ -109,7 +98,7 @@ a AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(href, '
 
 def page_links(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", F.posexplode(U.html_links(F.col("html"))).alias("pos", "href"))
-    return pages.select("page_id", "pos", U.absolute(F.col("href"), F.col("url")).alias("link"))
+    return pages.select("page_id", "pos", U.resolved(F.col("href"), F.col("url")).alias("link"))
 
 
 @query("f37_f38_links", f"WITH {LINKS} SELECT page_id, pos, link FROM a")
@@ -122,23 +111,21 @@ def first_link(spark, d):
     return page_links(spark, d).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
 
 
-@query("t10_f23_ranked_links", f"""
-WITH {LINKS}, s AS (SELECT page_id, link, min(pos) AS pos, CASE WHEN length(regexp_extract(link, '([^/]*)$', 1)) >= 6 THEN 8 WHEN contains(link, '/') THEN 3 ELSE 0 END AS score FROM a GROUP BY page_id, link)
-SELECT page_id, link, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
-def ranked_links(spark, d):
-    """A page's links by a score of their last path part, five at most, as this SQL has it; ``t10_f23_scored_links`` has all."""
-    s = page_links(spark, d).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
-    s = s.withColumn("score", F.when(F.length(F.regexp_extract("link", "([^/]*)$", 1)) >= 6, 8).when(F.contains("link", F.lit("/")), 3).otherwise(0)).where("score > 0")
-    rank = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "pos"))
-    return s.withColumn("rank", rank).where("rank <= 5").select("page_id", "link", "score", "rank")
+LINK_TEXTS = r"""regexp_extract_all(html, '(?s)<a href="([^"]*)"(?:[^>]*>([^<]*))?', {g})"""
+SCORE = f"""CASE WHEN regexp_matches(lower(link), {quoted(V.COURSE_DETAIL)}) THEN 8 WHEN regexp_matches(lower(link), {quoted(V.COURSE_PATH)}) THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, {quoted(V.DEGREE_TEXT)}) THEN 4 ELSE 0 END
+ - CASE WHEN regexp_matches(text, {quoted(V.NAV_TEXT)}) THEN 4 ELSE 0 END + CASE WHEN {host('lower(link)')} <> '' AND {host('lower(link)')} = {host('url')} THEN 1 ELSE 0 END"""
 
 
-@query("t10_f23_scored_links")
-def scored_links(spark, d):
+@query("t10_f23_ranked_links", f"""
+WITH l AS (SELECT page_id, url, unnest({LINK_TEXTS.format(g=1)}) AS href, unnest({LINK_TEXTS.format(g=2)}) AS text, generate_subscripts({LINK_TEXTS.format(g=1)}, 1) - 1 AS pos FROM pages),
+a AS (SELECT page_id, url, pos, CASE WHEN starts_with(href, '/') THEN lower(regexp_extract(url, '{P}', 1)) || '://' || {host('url')} || href ELSE href END AS link, lower(trim(regexp_replace(text, '[[:space:]]+', ' ', 'g'))) AS text FROM l),
+s AS (SELECT page_id, link, pos, {SCORE} AS score FROM a), b AS (SELECT page_id, link, max(score) AS score, arg_min(pos, (-score, pos)) AS pos FROM s WHERE score > 0 GROUP BY 1, 2)
+SELECT page_id, link, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM b""")
+def ranked_links(spark, d):
     """All links of a page with a positive score, by score and position, each URL once."""
     html = F.col("html")
     rows = table(spark, d, "pages").select("page_id", "url", F.posexplode(F.arrays_zip(U.html_links(html).alias("href"), U.html_link_texts(html).alias("text"))).alias("pos", "a"))
-    return with_link_ranks(rows.select("page_id", "pos", U.absolute(F.col("a.href"), F.col("url")).alias("link"), F.col("a.text").alias("text"), "url"))
+    return with_link_ranks(rows.select("page_id", "pos", U.resolved(F.col("a.href"), F.col("url")).alias("link"), F.col("a.text").alias("text"), "url"))
 
 
 def with_link_ranks(links):
@@ -177,29 +164,6 @@ def siblings(spark, d):
     return joins.siblings(rows, ["page_id", "line"], "link").select("link", F.concat_ws(" ", "siblings").alias("siblings"))
 
 
-@query("p14_page_type", f"""
-WITH c AS (SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all(lower(html), '<p>')) AS details, len(regexp_extract_all(lower(html), '<li>')) AS items, {path('lower(url)')} AS path FROM pages)
-SELECT page_id, CASE WHEN details >= 8 AND regexp_matches(path, '/[a-z]+/[0-9]+') THEN 'detail' WHEN items >= 2 AND links >= 5 THEN 'index' WHEN links >= 45 AND details = 0 THEN 'index' WHEN links >= 20 THEN 'index' ELSE 'detail' END AS kind FROM c""")
-def page_type(spark, d):
-    """The decision ladder on hit counts, link count and URL hints; the order of the rules is the rule."""
-    low = F.lower("html")
-    links, details, items = F.regexp_count("html", F.lit("<a href=")), F.regexp_count(low, F.lit("<p>")), F.regexp_count(low, F.lit("<li>"))
-    hint = U.path(F.lower("url")).rlike("/[a-z]+/[0-9]+")
-    kind = F.when((details >= 8) & hint, "detail").when((items >= 2) & (links >= 5), "index").when((links >= 45) & (details == 0), "index").when(links >= 20, "index").otherwise("detail")
-    return table(spark, d, "pages").select("page_id", kind.alias("kind"))
-
-
-@query("a11_layout_argmax", """
-WITH c AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS listed, len(regexp_extract_all(html, '<p>')) AS inline, len(regexp_extract_all(html, '<h1>')) AS heading FROM pages)
-SELECT page_id, CASE WHEN listed >= inline AND listed >= heading THEN 'list' WHEN inline >= heading THEN 'inline' ELSE 'heading' END AS kind, greatest(listed, inline, heading) >= 5 AS confident FROM c""")
-def layout_argmax(spark, d):
-    """Layout with most hits, the preferred one of equals, confident from five hits on."""
-    kinds = [("list", "<li>"), ("inline", "<p>"), ("heading", "<h1>")]
-    scored = F.array(*[F.struct(F.regexp_count("html", F.lit(p)).alias("score"), F.lit(-i).alias("preference"), F.lit(k).alias("kind")) for i, (k, p) in enumerate(kinds)])
-    best = F.array_max(scored)
-    return table(spark, d, "pages").select("page_id", best["kind"].alias("kind"), (best["score"] >= 5).alias("confident"))
-
-
 @query("a19_page_params", """
 WITH p AS (SELECT regexp_extract(url, '[?&]([a-z_]+)=([0-9]+)', 1) AS param, TRY_CAST(regexp_extract(url, '[?&]([a-z_]+)=([0-9]+)', 2) AS INTEGER) AS v FROM pages)
 SELECT param, min(v) AS low, max(v) AS high, count(DISTINCT v) AS n FROM p WHERE param <> '' GROUP BY param HAVING count(DISTINCT v) >= 2""")
@@ -209,11 +173,6 @@ def page_params(spark, d):
     return p.groupBy("param").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count_distinct("v").alias("n")).where("n >= 2")
 
 
-@query("f43_page_range", "SELECT 'https://x.edu/list?page=' || i AS url FROM range(2, 8) t(i)")
-def page_range(spark, d):
-    return spark.range(1).select(F.explode(F.sequence(F.lit(2), F.lit(7))).alias("i")).select(F.concat(F.lit("https://x.edu/list?page="), F.col("i").cast("string")).alias("url"))
-
-
 @query("f45_s9_json_dig", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_dig(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -227,13 +186,3 @@ def fetch_ladder(spark, d):
     """The first usable of the fetched variants of a page."""
     usable = (F.length("body") >= 200) & ~F.contains("body", F.lit("captcha"))
     return VARIANTS.df(spark).groupBy("page").agg(F.min(F.when(usable, F.col("level"))).alias("level"))
-
-
-@query("t16_detail_links", f"""
-WITH {LINKS}, c AS (SELECT a.page_id, link, pos, starts_with({path('link')}, {path('p.url')}) AS nested FROM a JOIN pages p USING (page_id)), m AS (SELECT *, max(nested::INT) OVER (PARTITION BY page_id) AS has_nested FROM c)
-SELECT page_id, link, pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM m WHERE has_nested = 0 OR nested) WHERE n <= 8""")
-def detail_links(spark, d):
-    """Nested links alone if a page has any, else its others, eight at most."""
-    c = page_links(spark, d).join(table(spark, d, "pages").select("page_id", "url"), "page_id").withColumn("nested", F.startswith(U.path(F.col("link")), U.path(F.col("url"))))
-    m = c.withColumn("some", F.bool_or("nested").over(W.partitionBy("page_id"))).where("nested or not some")
-    return m.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("pos"))).where("n <= 8").select("page_id", "link", "pos")

@@ -44,14 +44,8 @@ def version_validity(spark, d):
     return series.validity(rows, ["catalog_id"], "updated_at").select("catalog_id", "program_id", "version_no", "valid_to")
 
 
-@query("wf_history", CTE + "SELECT catalog_id, academic_year, program_id, CAST(round(tuition - lag(tuition) OVER (PARTITION BY catalog_id ORDER BY academic_year, program_id), 2) AS DOUBLE) AS change FROM program WHERE catalog_id <= 200 ORDER BY 1, 2, 3")
+@query("wf_history", CTE + "SELECT catalog_id, academic_year, program_id, CAST(round(tuition - lag(tuition) OVER (PARTITION BY catalog_id ORDER BY academic_year, program_id), 2) AS DOUBLE) AS change FROM program ORDER BY 1, 2, 3")
 def history(spark, d):
-    """The first entries of ``wf_history_all``, as far as this SQL goes."""
-    return with_change(star.program(spark, d).where("catalog_id <= 200"))
-
-
-@query("wf_history_all", CTE + "SELECT catalog_id, academic_year, program_id, CAST(round(tuition - lag(tuition) OVER (PARTITION BY catalog_id ORDER BY academic_year, program_id), 2) AS DOUBLE) AS change FROM program ORDER BY 1, 2, 3")
-def history_all(spark, d):
     return with_change(star.program(spark, d))
 
 
@@ -98,7 +92,10 @@ def shared_line_islands(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     key = F.trim("line")
     shared = lines.select("doc_id", key.alias("k")).where("k <> ''").groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", F.lit(True).alias("hit"))
-    marked = lines.withColumn("k", key).join(shared, "k", "left").withColumn("member", F.coalesce("hit", F.lit(False))).withColumn("blank", F.col("k") == "")
+    # blank lines are no members and would all meet under one key
+    found = lines.withColumn("k", key).where("k <> ''").join(shared, "k", "left").withColumns({"member": F.coalesce("hit", F.lit(False)), "blank": F.lit(False)}).drop("hit")
+    empty = lines.withColumn("k", key).where("k = ''").withColumns({"member": F.lit(False), "blank": F.lit(True)})
+    marked = found.unionByName(empty)
     left = series.drop_long_islands(marked, ["doc_id"], "pos", "member", "blank")
     return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines_left"))
 
@@ -140,22 +137,6 @@ def heading_sections(spark, d):
     return out.select("page", F.regexp_replace("head.line", "^#+ *", "").alias("heading"), "body")
 
 
-@query("wn_batches_of_100", "SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 25 AS BIGINT) AS batch, event_id FROM events WHERE user_id < 50")
-def batches(spark, d):
-    """The first users of ``wn_batches_all``, as far as this SQL goes."""
-    return batched(table(spark, d, "events").where("user_id < 50"))
-
-
-@query("wn_batches_all", "SELECT user_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 25 AS BIGINT) AS batch, event_id FROM events")
-def batches_all(spark, d):
-    return batched(table(spark, d, "events"))
-
-
-def batched(events):
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    return events.select("user_id", F.floor((n - 1) / 25).alias("batch"), "event_id")
-
-
 ONHOLD = Rows("name string, confidence double, pos int", [("a", 0.7, 1), ("b", 0.9, 2), ("c", 0.7, 3), ("d", None, 4)])
 
 

@@ -66,11 +66,6 @@ def valid_fees(spark, d):
     return merge.first_per_key(star.fee(spark, d).where(ok), ["program_id", "scope", "mode"], [F.asc("line")]).select("program_id", "scope", "mode", "amount")
 
 
-@query("w6_dimension_upsert", "SELECT lower(p_brand) AS key, arg_min(p_name, p_partkey) AS display, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS aliases, count(*) AS n FROM part GROUP BY 1")
-def dimension_upsert(spark, d):
-    return table(spark, d, "part").groupBy(F.lower("p_brand").alias("key")).agg(F.min_by("p_name", "p_partkey").alias("display"), F.concat_ws("|", F.array_sort(F.collect_set("p_name"))).alias("aliases"), F.count(F.lit(1)).alias("n"))
-
-
 @query("w7_evidence_hash", "SELECT DISTINCT sha256(concat_ws('|', coalesce(url, ''), '', 'css', coalesce(CAST(page_id % 5 AS VARCHAR), ''))) AS content_hash FROM pages")
 def evidence_hash(spark, d):
     empty = F.lit("")
@@ -123,17 +118,6 @@ def quarantine_latest(spark, d):
     return e.where("event_type <> 'purchase'").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id")).join(done, "user_id", "left_anti").select("user_id", "event_type", "event_id")
 
 
-@query("w17_taxonomy_learn", "SELECT regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS normalized, max(p_retailprice) AS confidence, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS aliases, min(p_partkey) AS first_seen FROM part GROUP BY 1")
-def taxonomy_learn(spark, d):
-    aliases = F.concat_ws(",", F.array_sort(F.collect_set("p_brand")))
-    return table(spark, d, "part").groupBy(T.squashed(F.col("p_name")).alias("normalized")).agg(F.max("p_retailprice").alias("confidence"), aliases.alias("aliases"), F.min("p_partkey").alias("first_seen"))
-
-
-@query("w18_strategy_cache", "SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS domain, count(*) AS hits, max(page_id) AS newest FROM pages GROUP BY 1")
-def strategy_cache(spark, d):
-    return table(spark, d, "pages").groupBy(U.host(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("hits"), F.max("page_id").alias("newest"))
-
-
 @query("w19_recomputed_codes", f"SELECT p_partkey, 'u#' || {KEY.replace('{c}', 'p_name')} AS code FROM part WHERE 'u#' || {KEY.replace('{c}', 'p_name')} <> 'u#' || lower(p_name)")
 def recomputed_codes(spark, d):
     code = T.group_code(F.lit("u"), F.col("p_name"))
@@ -165,17 +149,6 @@ def learn_reasons(spark, d):
     return LEARN.df(spark).select("enabled", "name", "confidence", outcome.alias("outcome"))
 
 
-@query("w25_signature", "SELECT p_partkey, sha256(lower(trim(p_name)) || '|' || lower(trim(p_brand)) || '|' || lower(trim(p_type)) || '|' || CAST(p_size AS VARCHAR)) AS signature FROM part")
-def signature(spark, d):
-    return table(spark, d, "part").select("p_partkey", merge.fingerprint(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("signature"))
-
-
-@query("w26_backfill_children", CTE + "SELECT p.program_id, status FROM program p WHERE academic_year = 1998 AND NOT EXISTS (SELECT 1 FROM fee f WHERE f.program_id = p.program_id AND mode = 'F')")
-def backfill_children(spark, d):
-    have = star.fee(spark, d).where("mode = 'F'").select("program_id")
-    return star.program(spark, d).where("academic_year = 1998").join(have, "program_id", "left_anti").select("program_id", "status")
-
-
 @query("w28_label_rename", "SELECT event_id, CASE event_type WHEN 'view' THEN 'FETCH_RAW' WHEN 'click' THEN 'EXTRACT' ELSE upper(event_type) END AS stage, CAST(ts AS DATE) AS day FROM events")
 def label_rename(spark, d):
     renamed = F.coalesce(F.try_element_at(F.create_map(F.lit("view"), F.lit("FETCH_RAW"), F.lit("click"), F.lit("EXTRACT")), F.col("event_type")), F.upper("event_type"))
