@@ -4,10 +4,12 @@ The distinct words of a batch, each with the mark of the blanks before it, are s
 order is a depth-first walk of their trie, and the forward states of a common prefix are kept. The state of a prefix
 is the last piece of its best encoding, which words that share the prefix share as well.
 
+Under a unigram model a prefix's state is the best sum of scores and the piece that ends it: a Viterbi pass over the trie.
+
 The vocabulary at hand is a merge model, whose encoding is not the path of the highest sum of scores: a sum-of-scores
-Viterbi would differ from the library. What the lattice pass maximises instead is merge order: a piece may end a prefix
+Viterbi would differ from the library. What the lattice pass maximises there is merge order: a piece may end a prefix
 if it and the piece before it would be left standing when the two are merged by rank, and exactly one does.
-Characters outside the vocabulary become byte pieces.
+Characters outside the vocabulary become byte pieces. Models of other kinds, and those without byte pieces, are refused.
 """
 
 from __future__ import annotations
@@ -33,25 +35,68 @@ MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CACHE_WORDS, CACHE_PAIRS, CACHE_LENGTH = 400_000, 500_000, 64
 
 
+UNIGRAM, MERGES = 1, 2
+
+
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protocol buffer's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            value = varint()
+        else:
+            size = varint() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_kind(path: str) -> int:
+    """The kind of a model file; unigram where it doesn't say."""
+    with open(path, "rb") as f:
+        trainer = next((v for n, v in fields(f.read()) if n == 2), b"")
+    return next((v for n, v in fields(trainer) if n == 3), UNIGRAM)
+
+
 class Pieces:
     """Vocabulary of a model file: ranks of its normal pieces (best first), ids, byte pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind, model = model_kind(path), sentencepiece.SentencePieceProcessor(model_file=path)
         everything = range(model.get_piece_size())
         self.names = [model.id_to_piece(i) for i in everything]
         normal = [i for i in everything if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.rank = {self.names[i]: -model.get_score(i) for i in normal}
         self.ids = {self.names[i]: i for i in normal}
         self.bytes = {int(self.names[i][3:5], 16): i for i in everything if model.is_byte(i)}
+        if kind not in (UNIGRAM, MERGES) or len(self.bytes) < 256:
+            raise ValueError(f"{path}: no unigram or merge model with byte pieces")
+        self.unigram = kind == UNIGRAM
+        if self.unigram and any(MARK in p.lstrip(MARK) for p in self.rank):
+            raise ValueError(f"{path}: pieces that go on over a blank")
+        # in single precision as the library has them; an unknown character costs ten more than the worst piece
+        self.scores = {p: np.float32(-r) for p, r in self.rank.items()}
+        self.unknown = min(self.scores.values(), default=np.float32(0)) - np.float32(10)
         values = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([values[i]]) if i in values else name.encode() for i, name in enumerate(self.names)]
         self._pairs: dict[tuple[str, str], bool] = {}
         self._words: dict[str, bytes] = {}
         # pieces that merging their own characters gives, and by their last two characters the lengths there are
-        self.whole = {p for p in self.rank if self.merged(p) == [p]}
+        self.whole = {p for p in self.rank if self.unigram or self.merged(p) == [p]}
         tails = defaultdict(set)
         for p in self.whole:
             if len(p) > 1:
@@ -105,19 +150,36 @@ class Pieces:
                     return piece
         return word[end - 1]
 
+    def best_piece(self, word: str, end: int, sums: list) -> tuple:
+        """Best sum of scores of the prefix of length ``end`` and the piece that ends it; of equal sums the longest piece."""
+        best, chosen = None, ""
+        for size in (*(self.tails.get(word[end - 2 : end], ()) if end > 1 else ()), 1):
+            piece = word[end - size : end]
+            if size > end or size > 1 and piece not in self.scores:
+                continue
+            total = sums[end - size] + self.scores.get(piece, self.unknown)
+            if best is None or total > best:
+                best, chosen = total, piece
+        return best, chosen
+
     def learn(self, words: set[str]) -> None:
         """Encode new words: in sorted order, the states of the prefix shared with the word before are reused."""
         if len(self._words) > CACHE_WORDS:
             self._words.clear()
-        last, previous = [""], ""
+        last, sums, previous = [""], [np.float32(0)], ""
         for word in sorted(words.difference(self._words)):
             shared = 0
             most = min(len(previous), len(word))
             while shared < most and previous[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], sums[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                last.append(self.last_piece(word, end, last))
+                if self.unigram:
+                    total, piece = self.best_piece(word, end, sums)
+                    sums.append(total)
+                    last.append(piece)
+                else:
+                    last.append(self.last_piece(word, end, last))
             previous = word
             self._words[word] = self.path(last)
 

@@ -164,15 +164,19 @@ def test_near_duplicates_lose_no_link(docs, rows, empty, size, percent):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, x in want.items() if x[2]}
 
 
-def test_keys_meet_for_sets_at_the_threshold():
-    draw, keys = np.random.default_rng(3), near_dedup.Keys(85, near_dedup.ROWS, near_dedup.BANDS)
-    for n in (7, 8, 13, 20, 40, 64, 65, 100, 128, 129, 300):
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("one_sided", [True, False])
+def test_keys_meet_for_sets_at_the_threshold(percent, one_sided):
+    """The least alike sets that are still linked: the smaller within the larger, or elements of each that the other lacks."""
+    draw, keys = np.random.default_rng(3), near_dedup.Keys(percent, *near_dedup.banding(percent))
+    for n in (5, 7, 8, 13, 20, 40, 64, 65, 100, 128, 129, 300, 1000):
+        gone = (100 - percent) * n // 100 if one_sided else (100 - percent) * n // (100 + percent)
         for _ in range(60):
             a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
-            d = int(0.15 * n)
-            b = np.unique(np.concatenate([a[draw.permutation(n)[d // 2 :]], draw.integers(0, 1 << 63, 0, dtype=np.uint64)]))
+            new = draw.integers(0, 1 << 63, 0 if one_sided else gone, dtype=np.uint64)
+            b = np.unique(np.concatenate([a[draw.permutation(n)[gone:]], new]))
             shared = len(np.intersect1d(a, b))
-            assert 100 * shared >= 85 * (len(a) + len(b) - shared)
+            assert 100 * shared >= percent * (len(a) + len(b) - shared)
             assert set(keys.of(a)) & set(keys.of(b)), n
             flips = np.unpackbits((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint8)).sum()
             assert flips <= len(a) + len(b) - 2 * shared
@@ -191,6 +195,43 @@ def test_keys_are_lost_by_chance_below_the_stated_one(percent):
         assert set(keys.of(np.sort(s[:4]))) & set(keys.of(np.sort(s)))
 
 
+def test_members_of_a_hot_bucket_do_not_meet_in_pairs(spark):
+    """Unlinked texts with a common phrase share buckets; the rows that are joined grow as their number does."""
+    def joined(n: int) -> int:
+        texts = [(i, "one two three four five six seven eight " + " ".join(f"w{i}x{k}" for k in range(4))) for i in range(n)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        sig = near_dedup.signatures(docs, "doc_id", "text", 3, 85, *near_dedup.banding(85))
+        buckets = sig.select("id", F.explode("keys").alias("key")).groupBy("key").count()
+        assert buckets.agg(F.max("count")).first()[0] > n / 20
+        rare = near_dedup.rare_shingles(sig.select("id", F.col("id").alias("component")), docs, "doc_id", "text", 3, 85, n)
+        met = rare.groupBy("shingle").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0
+        got = near_dedup.near_duplicates(docs, shingle_words=3, percent=85)
+        assert got.where("kept").count() == n
+        return met + n * near_dedup.STRANGERS
+
+    assert joined(5000) <= 6 * joined(1000)
+
+
+def test_linked_members_of_a_hot_bucket_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "STRANGERS", 0)
+    draw = random.Random(8)
+    phrase = "one two three four five six seven eight"
+    rows = []
+    for i in range(0, 300, 3):
+        own = [f"w{i}x{k}" for k in range(40)]
+        rows += [(i + j, f"{phrase} {' '.join(w if draw.random() > 0.01 * j else 'z' for w in own)}", "", "", 0, "", "") for j in range(3)]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, shingle_words=3, percent=85).collect()}
+    assert got == cases.linked(rows, 3, 85)
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(1, a), (2, a + " more"), (3, b), (2, b + " more"), (4, b), (5, "other words here"), (None, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=3, percent=85).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got if r["doc_id"] is not None) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+
+
 def test_components_follow_long_chains(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, 900), (900, 8), (50, 50)]
     got = {r["id"]: r["component"] for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -243,6 +284,36 @@ def test_piece_codec_is_the_library_s(docs, rows, empty):
     assert piece_codec.encode_documents(empty, PIECES).count() == 0
 
 
+def piece_model(pieces: list[tuple[str, float, int]], kind: int) -> bytes:
+    """A model file written field by field: pieces with scores and types, the kind, byte fallback, no normalisation."""
+    def varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    def held(number: int, raw: bytes) -> bytes:
+        return varint(number << 3 | 2) + varint(len(raw)) + raw
+
+    out = b"".join(held(1, held(1, p.encode()) + b"\x15" + np.float32(score).tobytes() + b"\x18" + varint(t)) for p, score, t in pieces)
+    return out + held(2, b"\x18" + varint(kind) + varint(35 << 3) + b"\x01") + held(3, held(1, b"identity") + b"\x20\x00")
+
+
+def test_unigram_models_take_the_best_sum_of_scores(tmp_path):
+    import sentencepiece
+
+    draw = random.Random(4)
+    normal = {p: -draw.uniform(1, 12) for p in [*"▁abcdé", *("▁" * draw.randint(0, 1) + "".join(draw.choices("abcd", k=draw.randint(2, 6))) for _ in range(300))]}
+    bytes_ = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    model = tmp_path / "m.model"
+    model.write_bytes(piece_model([("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *bytes_, *((p, s, 1) for p, s in normal.items())], 1))
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=str(model)), piece_codec.Pieces(str(model))
+    texts = [" ".join("".join(draw.choices("abcdéx日", k=draw.randint(1, 12))) for _ in range(draw.randint(1, 9))) for _ in range(400)] + ["", " ", "a  b ", " a"]
+    assert [np.frombuffer(x, "<i4").tolist() for x in pieces.encode(texts)] == [library.encode(t) if t else [] for t in texts]
+    assert [pieces.decode(np.frombuffer(x, "<i4")) for x in pieces.encode(texts)] == texts
+    for kind, more in ((3, []), (1, [("a▁b", -1.0, 1)])):
+        model.write_bytes(piece_model([("<unk>", 0.0, 2), *bytes_, ("a", -1.0, 1), *more], kind))
+        with pytest.raises((ValueError, RuntimeError)):
+            piece_codec.Pieces(str(model))
+
+
 def test_quality_orders_held_out_texts(spark, docs, empty):
     scored = registry.QUERIES["op3_quality"](spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
     good, bad = ([r["score"] for r in scored if r["quality"] == k] for k in (1, 0))
