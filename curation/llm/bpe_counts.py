@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +35,13 @@ def byte_alphabet() -> dict[int, str]:
 
 
 @cache
-def unassigned() -> regex.Pattern:
-    """One code point that Python's Unicode tables leave unassigned; surrogates are no text."""
-    ranges, start = [], None
-    for i in range(0x80, sys.maxunicode + 2):
-        odd = i <= sys.maxunicode and unicodedata.category(chr(i)) == "Cn"
-        if odd and start is None:
-            start = i
-        elif not odd and start is not None:
-            ranges.append(f"\\U{start:08X}-\\U{i - 1:08X}")
-            start = None
-    return regex.compile(f"[{''.join(ranges)}]")
+def unassigned() -> np.ndarray:
+    """For each code point whether Python's Unicode tables leave it unassigned."""
+    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def has_unassigned(text: str) -> bool:
+    return bool(unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
 
 class WordCounts(dict):
@@ -52,7 +49,7 @@ class WordCounts(dict):
 
     def __init__(self, spec: dict):
         super().__init__()
-        self.spec, self.library, self.odd = spec, None, unassigned()
+        self.spec, self.library = spec, None
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.vocab, self.end = vocab, model["end_of_word_suffix"]
@@ -127,7 +124,7 @@ class WordCounts(dict):
 
     def plain(self, text: str) -> int:
         if not text.isascii():
-            if self.odd.search(text):
+            if has_unassigned(text):
                 return sum(self.merged([*(self.vocab[c] for c in p[:-1]), self.vocab[p[-1] + self.end]]) for p in self.cut(text))
             text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.bpe_counts import unassigned
+from curation.llm.bpe_counts import has_unassigned
 from curation.llm.common import small_batches, table
 
 CAPACITY = 4096
@@ -61,7 +61,6 @@ class DocumentIds:
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
-        self.odd = unassigned()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -75,7 +74,7 @@ class DocumentIds:
     def batch(self, texts: list[str]) -> list[bytes]:
         # special strings, the separators that str.split adds to white space, the letter whose lower case depends on its
         # place and code points newer than Python's tables are left to the tokenizer
-        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ") or not t.isascii() and self.odd.search(t)}
+        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ") or not t.isascii() and has_unassigned(t)}
         split = [[] if i in whole else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
         found = [list(map(self.known.get, ws)) for ws in split]
         fresh = self.learnt({w for ws, ids in zip(split, found) if None in ids for w, x in zip(ws, ids) if x is None})
