@@ -13,7 +13,12 @@ from curation.llm.common import small_batches, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold; those it rejects go."""
+    """Documents whose quality score reaches the threshold; those it rejects go.
+
+    Null and empty texts get the model's bias alone as their score; rows that repeat a text are judged alike, a row
+    without id like any other. Without labels of good documents all scores are 0.5, and all rows go. An empty table
+    gives none. Other columns, whatever their names, are handed on.
+    """
     small_batches(spark)
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
     held = docs.select(F.struct("*").alias("_own"), F.col("text").alias("_text"))
@@ -22,12 +27,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays.
+
+    Null and empty text are equal; rows that repeat the id and the text share its verdict, a row without id stays only
+    where its whole group has none. An empty table gives no rows; other columns are handed on.
+    """
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a likeness of 0.8 or more, directly or not, one stays."""
+    """Of documents linked by five-word shingles at a likeness of 0.8 or more, directly or not, that of the smallest id stays.
+
+    Texts without words (null, empty) are linked with nothing and stay; rows that repeat an id share one verdict, rows
+    without id stay. An empty table gives no rows; other columns are handed on.
+    """
     small_batches(spark)
     return near_dedup.drop_near_duplicates(docs, shingle_words=5, percent=80)
 
@@ -35,7 +48,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document of smaller id has go from the text.
 
-    A document of which nothing is left goes too; ``n_chars`` follows the text where it changed.
+    A document of which nothing is left goes too; ``n_chars`` follows the text where it changed. Null and empty texts
+    stay as they are, rows that repeat an id must share their text and lose the same words, a row without id loses none.
+    An empty table gives no rows; other columns are handed on.
     """
     small_batches(spark)
     before = docs.select(F.struct("*").alias("_own"), "doc_id", "text")
@@ -47,7 +62,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all that is left, in sequences of at most 4096 tokens."""
+    """Pieces of all that is left, in sequences of at most 4096 tokens.
+
+    Null and empty texts are the end token alone; repeated rows are packed each for itself, a null id is handed through.
+    An empty table gives no pieces; other columns are not read.
+    """
     import public_tokenizers
 
     small_batches(spark)
