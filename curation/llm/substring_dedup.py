@@ -281,9 +281,12 @@ def _broadcast_shard(single: DataFrame, seen: DataFrame, window: int, share: int
     Counted in two steps, so that only rows of full counters are grouped: eight counters for each window that may be in.
     """
     total = seen.count()
-    counter = F.pmod(F.xxhash64("hash"), F.lit(8 * share))
-    full = seen.groupBy(counter.alias("_c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total).select("_c")
-    few = seen.withColumn("_c", counter).join(F.broadcast(full), "_c", "left_semi")  # fewer than ``share`` counters
+    counter = F.pmod(F.xxhash64("hash"), F.lit(8 * share)).cast("int")
+    full = seen.groupBy(counter.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total)
+    marks = bytearray(8 * share)
+    for r in full.collect():  # fewer than ``share`` counters
+        marks[r["c"]] = 1
+    few = seen.where(F.substring(F.lit(bytes(marks)), counter + 1, F.lit(1)) == F.lit(b"\x01"))
     top = few.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     top = written(top.where((F.col("n") * share > total) & (F.col("first.id") < F.col("high"))).select("hash", "first.id", "first.at"))
     wanted = top.groupBy("id").agg(F.collect_list(F.struct("hash", "at")).alias("windows"))
