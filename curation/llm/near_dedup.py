@@ -43,6 +43,8 @@ SHORT_FROM, SHORT_TO = 64, 128
 STAR_PART = 32
 #: Members outside a bucket's largest component that are compared with its other members one by one.
 STRANGERS = 32
+#: Counters of shingles that order them by how common they are.
+COUNTERS = 1 << 17
 #: Bits of the parity bitmap.
 BITS = 1024
 CACHE_WORDS = 400_000
@@ -179,21 +181,17 @@ class Keys:
         return key
 
 
-def marks(sets: list[np.ndarray]) -> tuple[list[str | None], list[int]]:
-    """A digest of each set (null: empty), and a short form that tells apart the sets of one id."""
-    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-    return digests, [int(d[:15], 16) if d else 0 for d in digests]
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, rows: int, bands: int) -> DataFrame:
-    """id, n_shingles, digest of the shingle set (null: empty set), its mark, parity bitmap, bucket keys."""
+    """id, n_shingles, digest of the shingle set (null: empty set), a short form of it that tells apart the sets of one id, parity
+    bitmap, bucket keys."""
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("mark", pa.int64()), ("bits", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys = WordHashes(), Keys(percent, rows, bands)
         for batch in batches:
             sets = [shingle_set(t or b"", hashes, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            digests, mark = marks(sets)
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+            mark = [int(d[:15], 16) if d else 0 for d in digests]
             columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.string()), pa.array(mark, pa.int64()), *(pa.array(map(f, sets), pa.list_(pa.int64())) for f in (parity, keys.of))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -246,28 +244,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
 def rare_shingles(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, total: int) -> DataFrame:
     """Per set of the ids of ``open_`` (id, component): its rarest shingles, of which it shares one with any set it is linked with.
 
-    id, component, n_shingles, bits, shingle; only shingles that stand in several components are left.
+    id, component, n_shingles, bits, shingle; only shingles that stand in several components are left. Any one order of
+    all shingles will do: they are ordered by a counter that each shares with others of its hash, then by hash.
     """
-    schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("component", pa.int64()), ("n_shingles", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t or b"", hashes, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            columns = [batch.column("id"), batch.column("component"), pa.array(marks(sets)[1], pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), (x.view(np.int64) for x in sets)))]
+            columns = [batch.column("id"), batch.column("component"), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), (x.view(np.int64) for x in sets)))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     texts = open_.join(texts_of(open_.select("id"), docs, id_col, text_col, total), "id").select("id", "component", "text")
-    sets = written(texts.mapInArrow(task, "id long, component long, mark long, n_shingles long, bits array<long>, shingles array<long>").dropDuplicates(["id", "mark"]))
-    rows = sets.select("id", "component", "mark", "n_shingles", F.explode("shingles").alias("shingle"))
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    shared = written(held.where("n > 1").select("shingle", "n", (F.col("lo") < F.col("hi")).alias("several")))
-    ranked = rows.join(shared, "shingle").groupBy("id", "mark", "component", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "several"))).alias("common"))
-    # shingles that no other set has come first; what is left of the prefix is taken from the rest
-    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1 - (F.col("n_shingles") - F.size("common"))
-    few = ranked.where(prefix > 0).select("id", "mark", "component", F.explode(F.filter(F.slice("common", F.lit(1), prefix.cast("int")), lambda x: x["several"])).alias("x"))
-    few = few.select("id", "mark", "component", F.col("x.shingle").alias("shingle"))
-    return few.join(sets.select("id", "mark", "n_shingles", "bits"), ["id", "mark"]).drop("mark")
+    sets = written(texts.mapInArrow(task, "id long, component long, n_shingles long, bits array<long>, shingles array<long>"))
+    counts = np.zeros(COUNTERS, np.int64)
+    # at most COUNTERS rows
+    for r in sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).alias("c")).count().toLocalIterator():
+        counts[r["c"]] = r["count"]
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = []
+            for x in batch.column("shingles"):
+                s = x.values.to_numpy()
+                n = len(s) - -(-percent * len(s) // 100) + 1
+                first.append(s[np.lexsort((s, shared.value[s & (COUNTERS - 1)]))[:n]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(first, pa.list_(pa.int64()))], schema=schema)
+
+    rows = written(sets.mapInArrow(prefixes, "id long, component long, n_shingles long, bits array<long>, shingles array<long>")).withColumn("shingle", F.explode("shingles")).drop("shingles")
+    several = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    return rows.join(several, "shingle", "left_semi").distinct()
 
 
 def across(rows: DataFrame, others: DataFrame, key: str, percent: int, once: Column) -> DataFrame:
