@@ -391,3 +391,25 @@ def test_blocks_give_the_plain_posteriors():
         p = np.array(a) * np.array(b[::-1])
         assert np.allclose(got[at : at + n], p / p.sum(axis=1, keepdims=True))
         at += n
+
+
+def test_rows_without_id_and_clashing_columns(spark):
+    """A null id is handed through, or stands before all others; a column named like a result is replaced by it."""
+    rows = [(None, "der Hund und die Katze", 7, 0.5, "x"), (2, None, 7, 0.5, "x"), (None, None, 7, 0.5, "x"), (1, "the dog and the cat", 7, 0.5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, score double, lang_pred string")
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    counted = bpe_counts.count_tokens(docs, WORDS)
+    assert sorted(counted.columns) == sorted([*docs.columns, "n_bytes", "over_limit"])
+    assert sorted(r["n_tokens"] for r in counted.collect()) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in rows)
+    scored = quality.score_texts(docs, np.zeros(quality.WIDTH))
+    assert scored.columns == docs.columns and [r["score"] for r in scored.collect()] == [0.5] * 4
+    field = language_id.trained([(["der hund und die katze"] * 3, "de"), (["the dog and the cat"] * 3, "en")])
+    labelled = language_id.label_documents(docs, field)
+    assert labelled.columns == ["doc_id", "lang_pred", "score", "shares"]
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in labelled.collect()) == [(0, "de"), (0, "und"), (1, "en"), (2, "und")]
+    encoded = piece_codec.encode_documents(docs, PIECES).collect()
+    assert sorted((r["doc_id"] or 0, bool(r["ids"])) for r in encoded) == [(0, False), (0, True), (1, True), (2, False)]
+    prints = fingerprints.with_edited_fingerprints(docs).collect()
+    assert len(prints) == 4 and sorted(r["n_chars"] for r in prints) == [0, 0, 19, 22]
+    # an empty text follows, so nothing takes the place of the last nine characters
+    assert [r["edited_sha256"] for r in prints if r["doc_id"] == 1] == [hashlib.sha256(b"the dog an").hexdigest()]
