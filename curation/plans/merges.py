@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from curation.functions import money as M
 from curation.functions import text as T
 from curation.functions import urls as U
-from curation.functions import vocabulary as V
 from curation.operators import fuzzy, merge
 from curation.plans import star
 from curation.plans.registry import Rows, query, table
