@@ -260,7 +260,7 @@ def rare_shingles(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     sets = written(texts.mapInArrow(task, "id long, component long, n_shingles long, bits array<long>, shingles array<long>"))
     counts = np.zeros(COUNTERS, np.int64)
     # at most COUNTERS rows
-    for r in sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).alias("c")).count().toLocalIterator():
+    for r in sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).alias("c")).count().collect():
         counts[r["c"]] = r["count"]
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
