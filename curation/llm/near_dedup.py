@@ -256,12 +256,20 @@ def rare_shingles(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str,
             columns = [batch.column("id"), batch.column("component"), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), (x.view(np.int64) for x in sets)))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's counters that were met twice or more; the others say nothing of what is common."""
+        found = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            found += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        often = np.flatnonzero(found > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array(found[often], pa.int64())], names=["c", "n"])
+
     texts = open_.join(texts_of(open_.select("id"), docs, id_col, text_col, total), "id").select("id", "component", "text")
     sets = written(texts.mapInArrow(task, "id long, component long, n_shingles long, bits array<long>, shingles array<long>"))
     counts = np.zeros(COUNTERS, np.int64)
     # at most COUNTERS rows
-    for r in sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).alias("c")).count().collect():
-        counts[r["c"]] = r["count"]
+    for r in sets.select("shingles").mapInArrow(counted, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        counts[r["c"]] = r["n"]
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
