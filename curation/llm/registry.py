@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curation.llm import bpe_counts, exact_dedup, fingerprints, language_id, near_dedup, packing, piece_codec, quality, substring_dedup, warc
+from curation.llm import bpe_counts, centroids, exact_dedup, fingerprints, language_id, near_dedup, packing, piece_codec, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_piece_codec": piece_codec.op8_piece_codec,
     "op9_language_id": language_id.op9_language_id,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op13_centroids": centroids.op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op6_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
