@@ -349,12 +349,17 @@ def near_duplicates(
     near = may_link(F.col("n_shingles"), F.col("bits"), F.col("top.n_shingles"), F.col("top.bits"), percent) & (F.col("id") != -F.col("top.minus"))
     stars = members.join(centres, (F.col("key") == F.col("_key")) & near)
     first = written(stars.select((-F.col("top.minus")).alias("a"), F.col("id").alias("b")).distinct())
-    links = written(confirmed(first, *source, total).unionByName(_same_ids(sig, classes)))
+    links = written(confirmed(first, *source, total).unionByName(same_ids(sig, classes)))
     found = components(links)
 
     rest = written(_between_components(members, found, first, source, total))
     if not rest.isEmpty():
         found = components(links.union(confirmed(rest, *source, total)))
+    return labelled(sig, classes, found, id_col)
+
+
+def labelled(sig: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """Every row of ``sig`` with the component of its class, from those of linked classes (``found``)."""
     named = written(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     lone = F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     # the classes are written before the join, so Spark may split that of a text that very many rows have
@@ -363,7 +368,7 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _same_ids(sig: DataFrame, classes: DataFrame) -> DataFrame:
+def same_ids(sig: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the classes of ids that several sets share; mostly none."""
     several = sig.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id", "low")
     texts = sig.where("digest is not null").select("id", "digest").join(several, "id").where("digest <> low").select("digest", "low").distinct()

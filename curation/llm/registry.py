@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from curation.llm import bpe_counts, centroids, divergence, exact_dedup, fingerprints, language_id, near_dedup, packing, piece_codec, quality, substring_dedup, warc
+from curation.llm import bpe_counts, centroids, divergence, exact_dedup, fingerprints, jaccard_join, language_id, near_dedup, packing, piece_codec, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_piece_codec": piece_codec.op8_piece_codec,
     "op9_language_id": language_id.op9_language_id,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
     "op12_divergence": divergence.op12_divergence,
     "op13_centroids": centroids.op13_centroids,
     "pipeline": corpus_pipeline.run,
@@ -24,6 +25,7 @@ QUERIES = {
 ORACLES = {
     "op6_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
     "op12_divergence": divergence.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }
