@@ -122,18 +122,18 @@ class Windows:
 
 
 class BroadcastShard:
-    """The automaton of the most repeated windows, given as (hash, owner, place in the owner's text, words)."""
+    """The automaton of the most repeated windows, given as (hash, owner, mark of the owner's text, place in it, words)."""
 
-    def __init__(self, found: list[tuple[int, int, int, bytes]], window: int):
-        self.window, self.owner = window, {h: owner for h, owner, _, _ in found}
+    def __init__(self, found: list[tuple[int, int, int, int, bytes]], window: int):
+        self.window, self.owner = window, {h: owner for h, owner, *_ in found}
         self.owners = set(self.owner.values())
         passages, before = [], None
-        for owner, at, words in sorted({(owner, at, words) for _, owner, at, words in found}):
-            if before == (owner, at - 1):
+        for owner, mark, at, words in sorted({tuple(own) for _, *own in found}):
+            if before == (owner, mark, at - 1):
                 passages[-1].append(words.split()[-1])
             else:
                 passages.append(words.split())
-            before = owner, at
+            before = owner, mark, at
         self.automaton = SuffixAutomaton(passages)
 
     def spans(self, i: int, words: list[bytes], windows: Windows) -> list[tuple[int, int]]:
@@ -155,38 +155,49 @@ def long_array(values) -> pa.Array:
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
-    """id, n_words, digest of the word sequence."""
+    """id, mark, n_words, digest of the word sequence."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = words_of(batch.column(1))
+            words = words_of(batch.column(2))
             digests = [hashlib.blake2b(b" ".join(ws), digest_size=16).hexdigest() for ws in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), long_array(map(len, words)), pa.array(digests, pa.string())], names=["id", "n_words", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], long_array(map(len, words)), pa.array(digests, pa.string())], names=["id", "mark", "n_words", "digest"])
 
-    return docs.mapInArrow(task, "id long, n_words long, digest string")
+    return docs.mapInArrow(task, "id long, mark long, n_words long, digest string")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Per id that loses words: ``spans``, an array of [start, end) word positions (they may overlap); a document whose
-    whole word sequence is that of a smaller id has the span from 0 to its length.
+def marked_rows(docs: DataFrame, id_col: str, text_col: str, total: int) -> DataFrame:
+    """id, mark, text of the rows that have an id; the mark tells apart the texts of one id and is 0 for nearly all others."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    mark = F.xxhash64("text").alias("mark")
+    several = rows.select("id", mark).groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("id")
+    flagged = KeyFilter(written(several), ["id"], total).marked(rows, ["id"], "_several")
+    return flagged.select("id", F.when(F.col("_several"), mark).otherwise(F.lit(0).cast("long")).alias("mark"), "text")
 
-    Windows are judged on the input. Null text has no words; a row without id loses nothing and is no reference; rows
-    that share an id must share their text. An empty table gives no rows; other columns are not read. ``share`` sets how
-    many windows the broadcast shard may have; the result doesn't depend on it.
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """Per text that loses words its id, its ``mark`` (0, or the text's xxhash64, which tells apart the texts of one id) and
+    ``spans``, an array of [start, end) word positions (they may overlap); a document whose whole word sequence is that of a
+    smaller id has the span from 0 to its length.
+
+    Windows are judged on the input. Null text has no words; a row without id loses nothing and is no reference. Rows that
+    repeat an id lose what smaller ids have, each from its own text, and nothing to each other; each of their texts is a
+    reference for larger ids. An empty table gives no rows; other columns are not read. ``share`` sets how many windows the
+    broadcast shard may have; the result doesn't depend on it.
     """
     spark, total = docs.sparkSession, docs.count()
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = marked_rows(docs, id_col, text_col, total)
     sequences = written(_sequences(rows).where(F.col("n_words") >= window))
     first = written(sequences.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").select("digest", "rep"))
-    copies = written(sequences.join(first, "digest").where("id > rep").select("id", "n_words").distinct())
+    copies = written(sequences.join(first, "digest").where("id > rep").select("id", "mark", "n_words").distinct())
     flagged = KeyFilter(copies, ["id"], total).marked(rows, ["id"], "_maybe")
-    maybe = flagged.where("_maybe").select("id", "text").join(copies.select("id"), "id", "left_anti")
-    single = flagged.where("not _maybe").select("id", "text").unionByName(maybe)
+    maybe = flagged.where("_maybe").select("id", "mark", "text").join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
+    single = flagged.where("not _maybe").select("id", "mark", "text").unionByName(maybe)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(window)
         for batch in batches:
-            least = [np.unique(windows.of(ws)[1]) for ws in words_of(batch.column(1))]
+            least = [np.unique(windows.of(ws)[1]) for ws in words_of(batch.column(2))]
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in least])
             yield pa.RecordBatch.from_arrays([long_array(np.concatenate(least).view(np.int64)), long_array(ids)], names=["run", "id"])
 
@@ -202,77 +213,81 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         windows = Windows(window)
         for batch in batches:
             found, at = [], []
-            for ws in words_of(batch.column(1)):
+            for ws in words_of(batch.column(2)):
                 hashes, least = windows.of(ws)
                 bit = (least & np.uint64(size - 1)).astype(np.int64)
                 where = np.flatnonzero(passing.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 found.append(hashes[where])
                 at.append(where)
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in at])
-            yield pa.RecordBatch.from_arrays([long_array(np.concatenate(found).view(np.int64)), long_array(ids), pa.array(np.concatenate(at), pa.int32())], names=["hash", "id", "at"])
+            sizes = [len(x) for x in at]
+            own = [long_array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([long_array(np.concatenate(found).view(np.int64)), *own, pa.array(np.concatenate(at), pa.int32())], names=["hash", "id", "mark", "at"])
 
-    seen = written(single.mapInArrow(candidates, "hash long, id long, at int"))
+    seen = written(single.mapInArrow(candidates, "hash long, id long, mark long, at int"))
     shard = _broadcast_shard(single, seen, window, share)
     everywhere = spark.sparkContext.broadcast(shard)
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, windows = everywhere.value, Windows(window)
         for batch in batches:
-            out = [(i, s, e) for i, ws in zip(batch.column(0).to_pylist(), words_of(batch.column(1))) for s, e in shard.spans(i, ws, windows)]
-            yield pa.RecordBatch.from_arrays([*map(long_array, list(zip(*out)) or [(), (), ()])], names=["id", "s", "e"])
+            rows_ = zip(*(batch.column(c).to_pylist() for c in (0, 1)), words_of(batch.column(2)))
+            out = [(i, mark, s, e) for i, mark, ws in rows_ for s, e in shard.spans(i, ws, windows)]
+            yield pa.RecordBatch.from_arrays([*map(long_array, list(zip(*out)) or [()] * 4)], names=["id", "mark", "s", "e"])
 
     settled = spark.createDataFrame([(h,) for h in shard.owner], "hash long")  # fewer than ``share`` rows
     seen = seen.join(F.broadcast(settled), "hash", "left_anti")
-    owners = seen.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("high")).where("owner < high").select("hash", "owner")
-    places = seen.join(owners, "hash").groupBy("id").agg(F.collect_list(F.struct("at", "owner")).alias("places"))  # at most a document's words
+    owners = seen.groupBy("hash").agg(F.min(F.struct("id", "mark")).alias("first"), F.max("id").alias("high")).where("first.id < high")
+    # written before the join, so Spark may split that of a window that very many documents have
+    owners = written(owners.select("hash", F.col("first.id").alias("owner"), F.col("first.mark").alias("owner_mark")))
+    own = seen.join(owners, "hash").where("id <> owner or mark = owner_mark")
+    places = own.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "owner", "owner_mark")).alias("places"))  # at most a document's words
     places = written(places)
-    texts = KeyFilter(places, ["id"], total).marked(single, ["id"], "_maybe").where("_maybe").select("id", "text")
-    routed = texts.join(places, "id")
+    texts = KeyFilter(places, ["id"], total).marked(single, ["id"], "_maybe").where("_maybe").select("id", "mark", "text")
+    routed = texts.join(places, ["id", "mark"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of windows of one owner: a passage of the shard where the owner is the document itself, else a visit."""
         for batch in batches:
             out = []
-            for i, ws, found in zip(batch.column("id").to_pylist(), words_of(batch.column("text")), batch.column("places")):
+            for i, mark, ws, found in zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), words_of(batch.column("text")), batch.column("places")):
                 inner = found.values
-                at, owner = inner.field("at").to_numpy(), inner.field("owner").to_numpy()
+                at, owner, owner_mark = (inner.field(c).to_numpy() for c in ("at", "owner", "owner_mark"))
                 order = np.argsort(at, kind="stable")
-                at, owner = at[order], owner[order]
-                breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner) != 0)) + 1
+                at, owner, owner_mark = at[order], owner[order], owner_mark[order]
+                breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner) != 0) | (owner_mark[1:] != owner_mark[:-1])) + 1
                 for part in np.split(np.arange(len(at)), breaks):
                     s, e = int(at[part[0]]), int(at[part[-1]]) + window
-                    out.append((int(owner[part[0]]), i, s, b" ".join(ws[s:e])))
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*map(long_array, columns[:3]), pa.array(columns[3], pa.binary())], names=["owner", "id", "start", "words"])
+                    out.append((int(owner[part[0]]), int(owner_mark[part[0]]), i, mark, s, b" ".join(ws[s:e])))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*map(long_array, columns[:5]), pa.array(columns[5], pa.binary())], names=["owner", "owner_mark", "id", "mark", "start", "words"])
 
-    visits = written(routed.select("id", "text", "places").mapInArrow(stretches, "owner long, id long, start long, words binary"))
-    parts = visits.groupBy("owner").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_PART)).cast("int").alias("parts"))
-    dealt = visits.join(parts, "owner")
+    visits = written(routed.select("id", "mark", "text", "places").mapInArrow(stretches, "owner long, owner_mark long, id long, mark long, start long, words binary"))
+    parts = visits.groupBy("owner", "owner_mark").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_PART)).cast("int").alias("parts"))
+    dealt = visits.join(parts, ["owner", "owner_mark"])
     mine = F.col("owner") == F.col("id")
     part = F.when(mine, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "start"), F.col("parts")).cast("int")))
-    dealt = dealt.select("owner", F.explode(part).alias("part"), "id", "start", "words")
-    dealt = dealt.repartition("owner", "part").sortWithinPartitions("owner", "part", F.col("owner") != F.col("id"), "start")
+    dealt = dealt.select("owner", "owner_mark", F.explode(part).alias("part"), "id", "mark", "start", "words")
+    dealt = dealt.repartition("owner", "owner_mark", "part").sortWithinPartitions("owner", "owner_mark", "part", F.col("owner") != F.col("id"), "start")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, passages, automaton = None, [], None
         for batch in batches:
             out = []
-            for owner, k, i, start, words in zip(*(batch.column(c).to_pylist() for c in ("owner", "part", "id", "start", "words"))):
-                if shard != (owner, k):
-                    shard, passages, automaton = (owner, k), [], None
+            for owner, owner_mark, k, i, mark, start, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != (owner, owner_mark, k):
+                    shard, passages, automaton = (owner, owner_mark, k), [], None
                 if owner == i:
                     passages.append(words.split())
                     continue
                 if automaton is None:
                     automaton = SuffixAutomaton(passages)
-                out += [(i, start + s, start + e) for s, e in automaton.spans(words.split(), window)]
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*map(long_array, columns)], names=["id", "s", "e"])
+                out += [(i, mark, start + s, start + e) for s, e in automaton.spans(words.split(), window)]
+            yield pa.RecordBatch.from_arrays([*map(long_array, list(zip(*out)) or [()] * 4)], names=["id", "mark", "s", "e"])
 
-    spans = dealt.mapInArrow(matched, "id long, s long, e long").unionByName(copies.select("id", F.lit(0).cast("long").alias("s"), F.col("n_words").alias("e")))
+    spans = dealt.mapInArrow(matched, "id long, mark long, s long, e long").unionByName(copies.select("id", "mark", F.lit(0).cast("long").alias("s"), F.col("n_words").alias("e")))
     if shard.owner:
-        spans = spans.unionByName(single.mapInArrow(streamed, "id long, s long, e long"))
-    return spans.groupBy("id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        spans = spans.unionByName(single.mapInArrow(streamed, "id long, mark long, s long, e long"))
+    return spans.groupBy("id", "mark").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _broadcast_shard(single: DataFrame, seen: DataFrame, window: int, share: int) -> BroadcastShard:
@@ -287,28 +302,30 @@ def _broadcast_shard(single: DataFrame, seen: DataFrame, window: int, share: int
     for r in full.collect():  # fewer than ``share`` counters
         marks[r["c"]] = 1
     few = seen.where(F.substring(F.lit(bytes(marks)), counter + 1, F.lit(1)) == F.lit(b"\x01"))
-    top = few.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
-    top = written(top.where((F.col("n") * share > total) & (F.col("first.id") < F.col("high"))).select("hash", "first.id", "first.at"))
-    wanted = top.groupBy("id").agg(F.collect_list(F.struct("hash", "at")).alias("windows"))
+    top = few.groupBy("hash").agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
+    top = written(top.where((F.col("n") * share > total) & (F.col("first.id") < F.col("high"))).select("hash", "first.id", "first.mark", "first.at"))
+    wanted = top.groupBy("id", "mark").agg(F.collect_list(F.struct("hash", "at")).alias("windows"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, ws, windows in zip(batch.column("id").to_pylist(), words_of(batch.column("text")), batch.column("windows").to_pylist()):
-                out += [(w["hash"], i, w["at"], text) for w in windows if len(text := b" ".join(ws[w["at"] : w["at"] + window])) <= WINDOW_BYTES]
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([*map(long_array, columns[:3]), pa.array(columns[3], pa.binary())], names=["hash", "id", "at", "words"])
+            for i, mark, ws, windows in zip(*(batch.column(c).to_pylist() for c in ("id", "mark")), words_of(batch.column("text")), batch.column("windows").to_pylist()):
+                out += [(w["hash"], i, mark, w["at"], text) for w in windows if len(text := b" ".join(ws[w["at"] : w["at"] + window])) <= WINDOW_BYTES]
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*map(long_array, columns[:4]), pa.array(columns[4], pa.binary())], names=["hash", "id", "mark", "at", "words"])
 
-    texts = single.join(F.broadcast(wanted), "id").select("id", "text", "windows").mapInArrow(cut, "hash long, id long, at long, words binary")
+    texts = single.join(F.broadcast(wanted), ["id", "mark"]).select("id", "mark", "text", "windows").mapInArrow(cut, "hash long, id long, mark long, at long, words binary")
     # fewer than ``share`` windows of at most WINDOW_BYTES
-    return BroadcastShard([(r["hash"], r["id"], r["at"], bytes(r["words"])) for r in texts.distinct().collect()], window)
+    return BroadcastShard([(r["hash"], r["id"], r["mark"], r["at"], bytes(r["words"])) for r in texts.distinct().collect()], window)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_own`` (the row) and ``_spans`` (null: none); only rows that may have spans are shuffled."""
     rows = docs.select(F.struct("*").alias("_own"), F.col(id_col).cast("long").alias("_id"))
     flagged = KeyFilter(spans.select(F.col("id").alias("_id")), ["_id"], docs.count()).marked(rows, ["_id"], "_maybe")
-    hit = flagged.where("_maybe").join(spans.select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), "_id", "left").select("_own", "_spans")
+    found = spans.select(F.col("id").alias("_i"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
+    own = (F.col("_mark") == 0) | (F.col("_mark") == F.xxhash64(F.coalesce(F.col(f"_own.{text_col}"), F.lit(""))))
+    hit = flagged.where("_maybe").join(found, (F.col("_id") == F.col("_i")) & own, "left").select("_own", "_spans")
     return flagged.where("not _maybe").select("_own", F.lit(None).cast(spans.schema["spans"].dataType).alias("_spans")).unionByName(hit)
 
 
@@ -320,7 +337,10 @@ def kept_mask(n: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with its own columns, repeated words cut out of the text; a text that loses nothing keeps its blanks."""
+    """``docs`` with its own columns, repeated words cut out of the text; a text that loses nothing keeps its blanks.
+
+    Nulls, repeated ids and the empty table: as ``repeated_spans`` says; every row stays, if only with an empty text.
+    """
     spans = written(repeated_spans(docs, id_col, text_col, window))
     kind = spans.schema["spans"].dataType
 
@@ -335,7 +355,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
             out.append(t)
         return pd.Series(out, dtype="object")
 
-    rows = with_spans(docs, spans, id_col).withColumn("_spans", F.col("_spans").cast(kind))
+    rows = with_spans(docs, spans, id_col, text_col).withColumn("_spans", F.col("_spans").cast(kind))
     text = F.when(F.col("_spans").isNull(), F.col(f"_own.{text_col}")).otherwise(cut.asNondeterministic()(F.col(f"_own.{text_col}"), F.col("_spans")))
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"_own.`{c}`").alias(c) for c in docs.columns])
 
