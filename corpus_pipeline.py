@@ -15,7 +15,7 @@ from curation.llm.common import small_batches, table, written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; those it rejects go.
 
-    Null and empty texts get the model's bias alone as their score; rows that repeat a text are judged alike, a row
+    Null and empty texts score 0.5 under any model, as they have no feature, and go; rows that repeat a text are judged alike, a row
     without id like any other. Without labels of good documents all scores are 0.5, and all rows go. An empty table
     gives none. Other columns, whatever their names, are handed on.
     """
@@ -49,7 +49,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Passages of 50 words or more that a document of smaller id has go from the text.
 
     A document of which nothing is left goes too; ``n_chars`` follows the text where it changed. Null and empty texts
-    stay as they are, rows that repeat an id must share their text and lose the same words, a row without id loses none.
+    stay as they are, rows that repeat an id lose nothing to each other but each what smaller ids have, a row without id none.
     An empty table gives no rows; other columns are handed on.
     """
     small_batches(spark)
