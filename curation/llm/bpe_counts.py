@@ -2,7 +2,8 @@
 
 A text is cut at special strings, normalised (NFC, lower case) and cut into words; each distinct word is merged once
 per worker and its count kept in a cache of bounded size, so a document costs one look-up per word. A text with a code
-point that Python's Unicode tables leave unassigned is normalised and cut by the library, whose tables are newer.
+point that Python's Unicode tables leave unassigned, or that the library's normaliser treats unlike Python's, is normalised
+and cut by the library.
 """
 
 from __future__ import annotations
@@ -34,14 +35,43 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-@cache
-def unassigned() -> np.ndarray:
-    """For each code point whether Python's Unicode tables leave it unassigned."""
-    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+def lowered(text: str) -> str:
+    """NFC in lower case, each letter for itself: a final sigma is like any other."""
+    text = unicodedata.normalize("NFC", text)
+    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+
 
+@cache
+def foreign(normalizer: str) -> np.ndarray:
+    """For each code point whether it is left to the library: Python's tables leave it unassigned, or the library's
+    normaliser (given as JSON), whose tables are of other versions, treats it in another way.
 
-def has_unassigned(text: str) -> bool:
-    return bool(unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+    Each is tried alone, taken apart, and between a letter and marks of two kinds: those that would be composed across it
+    or put in order with it tell whether its combining class is known.
+    """
+    from tokenizers import Tokenizer
+
+    bare = {"type": "BPE", "vocab": {}, "merges": [], "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False}
+    empty = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "pre_tokenizer": None, "post_processor": None, "decoder": None}
+    library = Tokenizer.from_str(json.dumps(empty | {"normalizer": json.loads(normalizer), "model": bare})).normalizer
+    out = np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    rest = "".join(chr(i) for i in range(128, sys.maxunicode + 1) if not out[i] and not 0xD800 <= i < 0xE000 and not chr(i).isspace())
+    marks = "".join(c for c in rest if unicodedata.combining(c))
+    for chars, trial in ((rest, "{}"), (rest, None), (marks, "s{}\u0301"), (marks, "s{}\u0334")):
+        for at in range(0, len(chars), 4096):
+            part = chars[at : at + 4096]
+            tried = list(map(trial.format, part)) if trial else [unicodedata.normalize("NFD", c) for c in part]
+            # line ends keep apart what is tried in one call; were one lost or added, each would be tried by itself
+            text = "\n".join(tried)
+            own, theirs = lowered(text).split("\n"), library.normalize_str(text).split("\n")
+            if not len(own) == len(theirs) == len(tried):
+                own, theirs = list(map(lowered, tried)), list(map(library.normalize_str, tried))
+            out[[ord(c) for c, x, y in zip(part, own, theirs) if x != y]] = True
+    return out
+
+
+def has_foreign(text: str, normalizer: str) -> bool:
+    return bool(foreign(normalizer)[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
 
 class WordCounts(dict):
@@ -49,7 +79,7 @@ class WordCounts(dict):
 
     def __init__(self, spec: dict):
         super().__init__()
-        self.spec, self.library = spec, None
+        self.spec, self.library, self.normalizer = spec, None, json.dumps(spec["normalizer"])
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.vocab, self.end = vocab, model["end_of_word_suffix"]
@@ -124,10 +154,11 @@ class WordCounts(dict):
 
     def plain(self, text: str) -> int:
         if not text.isascii():
-            if has_unassigned(text):
+            if has_foreign(text, self.normalizer):
                 return sum(self.merged([*(self.vocab[c] for c in p[:-1]), self.vocab[p[-1] + self.end]]) for p in self.cut(text))
-            text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+            text = lowered(text)
+        else:
+            text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split takes these for white space, the pattern doesn't
             return sum(map(self.piece, self.pattern.findall(text)))
         return sum(map(self.__getitem__, text.split()))

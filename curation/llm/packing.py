@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.bpe_counts import has_unassigned
+from curation.llm.bpe_counts import has_foreign
 from curation.llm.common import small_batches, table
 
 CAPACITY = 4096
@@ -53,6 +53,7 @@ class DocumentIds:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.normalizer = json.dumps(spec["normalizer"])
         split, letters = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(split["pattern"]["Regex"])
         # the same model for text that is normalised and cut already
@@ -73,8 +74,8 @@ class DocumentIds:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         # special strings, the separators that str.split adds to white space, the letter whose lower case depends on its
-        # place and code points newer than Python's tables are left to the tokenizer
-        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ") or not t.isascii() and has_unassigned(t)}
+        # place and code points that the library treats unlike Python are left to the tokenizer
+        whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ") or not t.isascii() and has_foreign(t, self.normalizer)}
         split = [[] if i in whole else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
         found = [list(map(self.known.get, ws)) for ws in split]
         fresh = self.learnt({w for ws, ids in zip(split, found) if None in ids for w, x in zip(ws, ids) if x is None})
