@@ -47,7 +47,7 @@ STRANGERS = 32
 COUNTERS = 1 << 17
 #: Bits of the parity bitmap.
 BITS = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

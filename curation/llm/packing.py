@@ -35,7 +35,7 @@ POOL_TOKENS = 1 << 20
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Entries of a generation of a worker's cache of words and of their pieces.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Pieces that one call of the library merges.
 CALL_PIECES = 256
 
