@@ -17,15 +17,16 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curation.llm.common import small_batches, table
 from curation.llm.quality import learnable
 
-#: Bounds of what the model is fitted on: documents, passages drawn from each and the words of one, and switching
-#: sequences of so many words made of them.
-TRAIN_DOCS, PASSAGES, PASSAGE_WORDS = 3000, 8, 40
-TRAIN_SEQUENCES, LENGTH = 5000, 64
+#: Bounds of what the model is fitted on, all of them arguments of ``fit``: documents, shared out among the languages,
+#: passages drawn from each and the words of one, and switching sequences made of them; and the words of a sequence.
+TRAIN_DOCS, PASSAGES, PASSAGE_WORDS, TRAIN_SEQUENCES = 3000, 8, 40, 5000
+LENGTH = 64
 BUCKETS = 1 << 16
 PASSES, BATCH, RATE = 2, 64, 0.3
 #: Words of a block in the parallel scan.
@@ -147,16 +148,16 @@ def word_lists(words: list[tuple[str, int]], languages: int) -> dict[str, int]:
     return {w: k for (w, k), n in seen.items() if n >= 3 and n >= 0.9 * totals[w]}
 
 
-def passages(text: str | None) -> list[str]:
-    """At most PASSAGES stretches of PASSAGE_WORDS words from anywhere in the whole text; the draw depends on the text alone."""
+def passages(text: str | None, most: int = PASSAGES, size: int = PASSAGE_WORDS) -> list[str]:
+    """At most ``most`` stretches of ``size`` words from anywhere in the whole text; the draw depends on the text alone."""
     words = words_of(text or "")
-    if len(words) <= PASSAGES * PASSAGE_WORDS:
-        return [" ".join(words[i : i + PASSAGE_WORDS]) for i in range(0, len(words), PASSAGE_WORDS)]
+    if len(words) <= most * size:
+        return [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
     draw = np.random.default_rng(zlib.crc32(text.encode()))
-    return [" ".join(words[i : i + PASSAGE_WORDS]) for i in sorted(draw.integers(0, len(words) - PASSAGE_WORDS + 1, PASSAGES).tolist())]
+    return [" ".join(words[i : i + size]) for i in sorted(draw.integers(0, len(words) - size + 1, most).tolist())]
 
 
-def trained(texts: list[tuple[list[str], str]]) -> Field:
+def trained(texts: list[tuple[list[str], str]], sequences: int = TRAIN_SEQUENCES) -> Field:
     """A field from (passages, language) rows, sorted; the draw is seeded, so equal rows give an equal model."""
     languages = sorted({lang for _, lang in texts})
     place = {lang: i for i, lang in enumerate(languages)}
@@ -169,7 +170,7 @@ def trained(texts: list[tuple[list[str], str]]) -> Field:
     # sequences of segments, each from a passage of a language drawn evenly
     by_language = [[w for w, i in held if i == j] for j in range(k)]
     words, labels = [], []
-    for _ in range(TRAIN_SEQUENCES):
+    for _ in range(sequences):
         ws, ls = [], []
         while len(ws) < LENGTH:
             j = int(draw.integers(k))
@@ -218,23 +219,28 @@ def trained(texts: list[tuple[list[str], str]]) -> Field:
     return field
 
 
-def fit(docs: DataFrame) -> Field:
-    """A field from at most TRAIN_DOCS documents outside the held-out quarter, in the order of a hash of the id.
+def fit(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, most_passages: int = PASSAGES, passage_words: int = PASSAGE_WORDS, sequences: int = TRAIN_SEQUENCES) -> Field:
+    """A field from at most ``train_docs`` documents outside the held-out quarter.
 
-    Tasks draw the passages, so the driver gets no whole text; of rows that repeat an id the least passages and
-    language count.
+    Each language has an equal part of them, in the order of a hash of the id; one with fewer documents has all of its own,
+    so a rare language is learnt from what there is. Of each, ``most_passages`` passages of ``passage_words`` words from
+    anywhere in the text are drawn by tasks, so the driver gets no whole text, and ``sequences`` training sequences are
+    made of these. Of rows that repeat an id the least passages and language count.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(learnable())
+    languages = max(1, known.select("lang").distinct().count())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
+    ranked = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
     # a list of ids of bounded size, broadcast to the scan of the texts
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(TRAIN_DOCS)
+    chosen = ranked.where(F.col("rank") <= max(1, train_docs // languages)).select("doc_id").distinct()
 
     @F.pandas_udf("array<string>")
     def drawn(texts: pd.Series) -> pd.Series:
-        return texts.map(passages)
+        return texts.map(lambda t: passages(t, most_passages, passage_words))
 
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.struct(drawn("text").alias("p"), "lang").alias("row"))
     rows = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*").collect()
-    return trained([(r["p"], r["lang"]) for r in rows])
+    return trained([(r["p"], r["lang"]) for r in rows], sequences)
 
 
 def label_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
