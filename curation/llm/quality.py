@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from curation.llm.common import small_batches, table
 
-#: Bounds of the samples that the model is fitted on, in rows: trusted positives, and unlabelled texts.
+#: Bounds of the samples that the model is fitted on, in rows, arguments of ``fit``: trusted positives, and unlabelled texts.
 POSITIVES, UNLABELLED = 6000, 12000
 THRESHOLD = 0.7
 STEPS, RATE, DECAY = 500, 0.05, 1e-4
@@ -110,16 +110,16 @@ def learnable(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights from at most POSITIVES trusted rows and UNLABELLED rows of ``docs``, taken in the order of a hash.
+def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled_rows: int = UNLABELLED) -> np.ndarray:
+    """Weights from at most ``positives`` trusted rows and ``unlabelled_rows`` rows of ``docs``, taken in the order of a hash.
 
     Only rows outside the held-out quarter are read; of labels, only which rows are good. Rows that repeat an id count
     once. Without positives all weights are 0 and every score 0.5.
     """
     good = labels.where("doc_id is not null and quality = 1").where(learnable()).groupBy("doc_id").agg(F.lit(1).alias("_one"))
     # two id lists of bounded size, broadcast to the scan of the texts
-    trusted = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
-    web = docs.where("doc_id is not null").where(learnable()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED)
+    trusted = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    web = docs.where("doc_id is not null").where(learnable()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled_rows)
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text, 0 to 1; null and empty texts get the model's bias alone.
+    """``docs`` with the score of each whole text, 0 to 1; null and empty texts have no feature and score 0.5 under any model.
 
     A column named ``out`` is replaced; repeated rows get equal scores; an empty table gives none.
     """
