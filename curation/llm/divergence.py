@@ -67,7 +67,7 @@ class PerfectHash:
         while not self._build(keys):
             self.seed += 1
         ordered: list = [b""] * len(keys)
-        for key, slot in zip(keys, (self._slot(k) for k in keys)):
+        for key, slot in zip(keys, self._places(keys).tolist()):
             ordered[slot] = key
         self.blob = b"".join(ordered)
         self.ends = np.cumsum([0, *map(len, ordered)])
@@ -88,28 +88,38 @@ class PerfectHash:
             left = left[~alone[place]]
         return not len(left)
 
-    def _slot(self, key: bytes) -> int:
-        h = np.uint64(xxhash.xxh3_64_intdigest(key, self.seed))
+    def _places(self, keys: list[bytes]) -> np.ndarray:
+        """The slot of each key, if it is one of those the hash was built for, else any slot or -1."""
+        h = np.fromiter((xxhash.xxh3_64_intdigest(k, self.seed) for k in keys), np.uint64, len(keys))
+        out, left = np.full(len(keys), -1), np.arange(len(keys))
         for level, (bits, ranks) in enumerate(self.levels):
-            with np.errstate(over="ignore"):
-                place = int(mixed(h + np.uint64(level))) % (64 * len(bits))
-            word, below = int(bits[place >> 6]), (1 << (place & 63)) - 1
-            if word >> (place & 63) & 1:
-                return int(ranks[place >> 6]) + (word & below).bit_count()
-        return -1
-
-    def slot(self, key: bytes) -> int:
-        """The slot of ``key``; -1 where the key that is stored there is another one."""
-        s = self._slot(key)
-        return s if s >= 0 and self.blob[self.ends[s] : self.ends[s + 1]] == key else -1
+            place = mixed(h[left] + np.uint64(level)) % np.uint64(64 * len(bits))
+            at, bit = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+            word = bits[at]
+            hit = (word >> bit & np.uint64(1)).astype(bool)
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[left[hit]] = (ranks[at] + below)[hit]
+            left = left[~hit]
+        return out
+
+    def slots(self, keys: list[bytes]) -> np.ndarray:
+        """The slot of each key; -1 where the key that is stored there is another one."""
+        out = self._places(keys)
+        start, end = self.ends[out], self.ends[out + 1]
+        out[(out >= 0) & (end - start != np.fromiter(map(len, keys), np.int64, len(keys)))] = -1
+        for i in np.flatnonzero(out >= 0).tolist():
+            if self.blob[start[i] : end[i]] != keys[i]:
+                out[i] = -1
+        return out
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """lang, term (UTF-8), n: documents of the language that have the term; parts, to be summed."""
 
     def handed_on(counts: dict) -> pa.RecordBatch:
-        rows = [(lang, term, n) for lang, terms in counts.items() for term, n in terms.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "term", "n"])
+        parts = [(pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.array(list(terms), pa.binary()), pa.array(list(terms.values()), pa.int64())) for lang, terms in counts.items()]
+        columns = [pa.concat_arrays(c) for c in zip(*parts)] or [pa.nulls(0, t) for t in (pa.string(), pa.binary(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "n"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, size = {}, 0
@@ -134,7 +144,7 @@ def sharded(kept: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
     def build(group: pa.Table) -> pa.Table:
         terms, (lang, shard, shards) = group.column("term").to_pylist(), (group.column(c)[0].as_py() for c in ("lang", "shard", "shards"))
         perfect = PerfectHash(terms)
-        slots = [shard << SHARD_BITS | perfect.slot(t) for t in terms]
+        slots = [shard << SHARD_BITS | s for s in perfect.slots(terms).tolist()]
         n = len(terms)
         columns = [[lang] * (n + 1), [shard] * (n + 1), [*terms, None], [*slots, None], [None] * n + [shards], [None] * n + [n], [None] * n + [pickle.dumps(perfect)]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -178,7 +188,7 @@ def recount(docs: DataFrame, shards: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(shards)
 
     class Known(dict):
-        """term -> slot among the shards of this pass of a language, -1 for others; bounded."""
+        """term -> slot among the shards of this pass of a language, -1 for others; emptied when full."""
 
         def __init__(self, lang: str):
             self.all, self.own = shared.value[lang]
@@ -187,14 +197,18 @@ def recount(docs: DataFrame, shards: dict) -> DataFrame:
             self.size = sum(sizes.values())
             self.number = np.concatenate([np.arange(n) + (s << SHARD_BITS) for s, n in sizes.items()])
 
-        def __missing__(self, term: bytes) -> int:
-            if len(self) >= TABLE_TERMS:
+        def learn(self, terms: set[bytes]) -> None:
+            new = [t for t in terms if t not in self]
+            if len(self) + len(new) > TABLE_TERMS:
                 self.clear()
-            h = xxhash.xxh64_intdigest(term, 42)
-            shard = (h - (h >> 63 << 64)) % self.all
-            slot = self.own[shard].slot(term) if shard in self.own else -1
-            self[term] = slot = slot if slot < 0 else self.base[shard] + slot
-            return slot
+                new = list(terms)
+            # the hash that dealt the terms to shards, as a signed 64-bit number
+            dealt = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in new), np.uint64, len(new)).view(np.int64) % self.all
+            self.update(dict.fromkeys(new, -1))
+            for shard, perfect in self.own.items():
+                own = [new[i] for i in np.flatnonzero(dealt == shard).tolist()]
+                slots = perfect.slots(own)
+                self.update((own[i], self.base[shard] + int(slots[i])) for i in np.flatnonzero(slots >= 0).tolist())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, groups, held = {}, {}, 0
@@ -202,16 +216,18 @@ def recount(docs: DataFrame, shards: dict) -> DataFrame:
         def handed_on() -> Iterator[pa.RecordBatch]:
             for (lang, source), own in groups.items():
                 slots, n = own.counts()
-                columns = [pa.array([lang] * len(slots), pa.string()), pa.array([source] * len(slots), pa.string()), pa.array(known[lang].number[slots]), pa.array(n, pa.int64())]
+                names = [pa.repeat(pa.scalar(x, pa.string()), len(slots)) for x in (lang, source)]
+                columns = [*names, pa.array(known[lang].number[slots]), pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "slot", "n"])
 
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist()):
-                if lang not in shared.value:
-                    continue
+            rows = zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist())
+            rows = [(lang, source, terms_of(text)) for lang, source, text in rows if lang in shared.value]
+            for lang in {r[0] for r in rows}:
                 if lang not in known:
                     known[lang] = Known(lang)
-                terms = terms_of(text)
+                known[lang].learn(set().union(*(terms for own, _, terms in rows if own == lang)))
+            for lang, source, terms in rows:
                 slots = np.fromiter(map(known[lang].__getitem__, terms), np.int64, len(terms))
                 own = groups.setdefault((lang, source), Slots())
                 held += own.add(slots[slots >= 0])
