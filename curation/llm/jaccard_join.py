@@ -11,12 +11,15 @@
    Sets that may be linked with one beyond the boundary stay in the lists.
 4. In each list a centre, the set with most mates overall, is compared with all others: candidates in proportion to the rows.
    Links are confirmed on full sets, and components formed.
-5. Lists that still hold several components: their members outside the largest are compared with those of other components,
-   unless that costs more than splitting the list by a further shingle. Two linked sets share at least l of their
-   rarest n - ceil(p * n) + l shingles, so a list may be split by a second and then a third shingle, and unlinked sets that
+5. In lists with many members outside the largest component (strangers), these are first compared with PIVOTS members of it,
+   which brings in most of a large group of near copies; components are formed anew.
+6. In lists that still hold several components, strangers are compared with the members of other components, unless that
+   costs far more than splitting the list by a further shingle. Two linked sets share at least l of their rarest
+   n - ceil(p * n) + l shingles, so a list may be split by a second and then a third shingle, and unlinked sets that
    share a common shingle no longer meet.
-   Before a candidate is confirmed, its sizes must fit, and the parity bitmaps of the two sets must not differ too much.
-6. Components by alternating stars, as near dedup has them.
+   Before a candidate is confirmed, its sizes must fit, and the parity bitmaps of the two sets must not differ too much;
+   where a list has many strangers, both are asked as its members meet, so no other pair leaves the join.
+7. Components by alternating stars, as near dedup has them.
 """
 
 from __future__ import annotations
@@ -39,6 +42,10 @@ from curation.llm.near_dedup import COUNTERS, WordHashes, components, confirmed,
 LIGHT_MOST = 16
 #: Times a list is split by a further shingle at most, and how many strangers of a list meet the others in any case.
 SPLITS, STRANGERS = 2, 32
+#: Members of a list's largest component that many strangers are compared with first.
+PIVOTS = 8
+#: A list is split where its strangers meet more than so many times the members that splitting makes.
+SPLIT_FROM = 64
 
 
 def ceil_div(a, b):
@@ -142,15 +149,44 @@ def boundary(sets: DataFrame, lists: DataFrame, percent: int) -> int:
     return min(range(LIGHT_MOST + 1), key=cost)
 
 
-def paired(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of unlike components from ``left`` and ``right`` (key, id, n, component, found) whose sizes fit and whose smaller set is found by the key."""
-    one = left.select(F.col("key").alias("_key"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("found").alias("fa"))
-    fits = (100 * F.least("na", "n") >= percent * F.greatest("na", "n")) & (F.col("ca") != F.col("component"))
+def paired(left: DataFrame, right: DataFrame, percent: int, bits: bool = False) -> DataFrame:
+    """Pairs (a, b) of unlike components from ``left`` and ``right`` (key, id, n, component, found) whose sizes fit and whose smaller set is found by the key.
+
+    With ``bits`` both have that column, and it must not rule the pair out.
+    """
+    names = {"key": "_key", "id": "a", "n": "na", "component": "ca", "found": "fa"} | ({"bits": "bits_a"} if bits else {})
+    one = left.select(*(F.col(c).alias(own) for c, own in names.items()))
+    fits = may_link(F.col("na"), F.col("bits_a"), F.col("n"), F.col("bits"), percent) if bits else 100 * F.least("na", "n") >= percent * F.greatest("na", "n")
     seen = F.when(F.col("na") < F.col("n"), F.col("fa")).when(F.col("na") > F.col("n"), F.col("found")).otherwise(F.col("fa") & F.col("found"))
-    pairs = right.join(one, (F.col("key") == F.col("_key")) & fits & seen)
+    pairs = right.join(one, (F.col("key") == F.col("_key")) & (F.col("ca") != F.col("component")) & seen & fits)
     return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
 
 
+def placed_in(members: DataFrame, found_: DataFrame) -> DataFrame:
+    """``members`` with the component of each."""
+    return members.join(found_, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def mixed_lists(placed: DataFrame, percent: int) -> DataFrame:
+    """Per key with several components: the largest (main), strangers, all, looked (rows that splitting it would make)."""
+    looked = F.col("n") * (100 - percent) / 100 + 1
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum(looked).alias("looked"))
+    several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.sum("looked").alias("looked"), F.max(F.struct("size", "component")).alias("top")).where("parts > 1")
+    return several.select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.size")).alias("strangers"), "all", "looked")
+
+
+def with_pivots(members: DataFrame, found_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): the strangers of lists that have many of them with PIVOTS members of the list's largest component."""
+    placed = placed_in(members, found_)
+    lists = mixed_lists(placed, percent).where(F.col("strangers") > STRANGERS).select("key", "main")
+    crowded = written(placed.join(lists, "key"))
+    own = crowded.where("component = main").groupBy("key")
+    least = own.agg(*(F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("h"), F.col("id").alias("a"), F.col("n").alias("na"))).alias(f"p{j}") for j in range(PIVOTS)))
+    pivots = written(least.select("key", F.explode(F.array_distinct(F.array(*(F.struct(f"p{j}.a", f"p{j}.na") for j in range(PIVOTS))))).alias("p")).select("key", "p.*"))
+    pairs = crowded.where("component <> main").join(pivots, "key").where(100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
+    return pairs.select("a", F.col("id").alias("b")).distinct()
+
+
 def plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that sizes and bitmaps in ``facts`` (id, n, bits) don't rule out."""
     first = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
@@ -158,24 +194,26 @@ def plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(may_link(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"), percent)).select("a", "b").distinct()
 
 
-def between_components(members: DataFrame, rare: DataFrame, found_: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def between_components(members: DataFrame, rare: DataFrame, facts: DataFrame, found_: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of list mates of unlike components, but for those that were ``tried``.
 
-    ``members``: key, id, n, at (place of the list's last shingle in the set's order), found; ``rare``: id, n, rare.
+    ``members``: key, id, n, at (place of the list's last shingle in the set's order), found; ``rare``: id, n, rare;
+    ``facts``: id, n, bits.
     """
     columns = ["key", "id", "n", "at", "found", "component"]
-    placed = members.join(found_, "id", "left").withColumn("component", F.coalesce("component", "id")).select(columns)
+    placed = placed_in(members, found_).select(columns)
     pairs, splits = [], 0
     while True:
-        looked = F.col("n") * (100 - percent) / 100 + 1
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum(looked).alias("looked"))
-        several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.sum("looked").alias("looked"), F.max(F.struct("size", "component")).alias("top")).where("parts > 1")
-        strangers = F.col("all") - F.col("top.size")
-        direct = (strangers <= STRANGERS) | (strangers * F.col("all") <= 4 * F.col("looked"))
-        several = written(several.select("key", F.col("top.component").alias("main"), (direct if splits < SPLITS else F.lit(True)).alias("direct")))
-        unsettled = written(placed.join(several, "key"))
-        here = unsettled.where("direct")
-        pairs.append(paired(here.where("component <> main"), here, percent).where("a <> b").distinct())
+        few = F.col("strangers") <= STRANGERS
+        direct = few | (F.col("strangers") * F.col("all") <= SPLIT_FROM * F.col("looked"))
+        lists = written(mixed_lists(placed, percent).select("key", "main", few.alias("few"), (direct if splits < SPLITS else F.lit(True)).alias("direct")))
+        unsettled = written(placed.join(lists, "key"))
+        here = unsettled.where("few")
+        pairs.append(paired(here.where("component <> main"), here, percent).where("a <> b"))
+        many = unsettled.where("direct and not few")
+        if not many.isEmpty():
+            many = written(many.join(facts.select("id", "bits"), "id"))
+            pairs.append(paired(many.where("component <> main"), many, percent, bits=True).where("a <> b"))
         crowded = unsettled.where("not direct")
         if splits == SPLITS or crowded.isEmpty():
             break
@@ -239,7 +277,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = written(confirmed(first, *source, total).unionByName(same_ids(sig, classes)))
     linked = components(links)
 
-    rest = written(plausible(between_components(members.drop("size"), sets, linked, first, percent), facts, percent))
+    members = members.drop("size")
+    pivots = written(plausible(with_pivots(members, linked, percent), facts, percent))
+    if not pivots.isEmpty():
+        links = written(links.union(confirmed(pivots, *source, total)))
+        linked = components(links)
+    tried = first.union(pivots)
+    rest = written(plausible(between_components(members, sets, facts, linked, tried, percent), facts, percent))
     if not rest.isEmpty():
         linked = components(links.union(confirmed(rest, *source, total)))
     return labelled(sig, classes, linked, id_col).select(id_col, "n_shingles", "component_id")
