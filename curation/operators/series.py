@@ -1,9 +1,10 @@
-"""Window-shaped operators: versions, runs, stops and retention."""
+"""Window-shaped operators: versions, runs, stops, retention, and the expiry of cache entries."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,3 +58,27 @@ def gap_expired(rows: DataFrame, key: Sequence[str], time: str, seconds: int) ->
     """``expired``: no earlier row of the key within ``seconds``."""
     before = F.lag(time).over(W.partitionBy(*key).orderBy(time))
     return rows.withColumn("expired", before.isNull() | (F.timestamp_diff("SECOND", before, F.col(time)) >= seconds))
+
+
+def cache_misses(accesses: DataFrame, key: str, at: str, order: str, seconds: int = 300) -> DataFrame:
+    """``key``, ``order`` and ``expired`` of each access: it fills the entry anew if ``seconds`` have passed since the last fill.
+
+    A hit doesn't renew an entry, so the answer depends on all accesses before: tasks stream the accesses of their keys in
+    order and hold one key and the time of its fill.
+    """
+    limit = seconds * 1_000_000
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry, fill = None, None
+        for batch in batches:
+            expired = []
+            for k, us in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                old = fill is None or entry != k or us - fill >= limit
+                if old:
+                    entry, fill = k, us
+                expired.append(old)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(expired, pa.bool_())], names=[key, order, "expired"])
+
+    kinds = dict(accesses.dtypes)
+    rows = accesses.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("_us")).repartition(key).sortWithinPartitions(key, "_us", order)
+    return rows.mapInArrow(task, f"{key} {kinds[key]}, {order} {kinds[order]}, expired boolean")

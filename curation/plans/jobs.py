@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curation.operators import series
-from curation.plans.registry import Rows, query, table
-from curation.streaming import heartbeats
+from curation.plans.registry import ORACLES, Rows, query, table
+from curation.streaming import heartbeats, state
 
 
 @query("x2_heartbeat_reaper", "SELECT user_id, max(ts) AS last_beat, arg_max(event_type, (ts, event_id)) AS state, max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE AS reaped FROM events GROUP BY user_id")
@@ -41,8 +40,36 @@ def event_log_tail(spark, d):
     return series.last_n(table(spark, d, "events"), ["user_id"], [F.desc("event_id")], 20).select("user_id", "event_id")
 
 
-@query("x7_cache_expiry", "SELECT user_id, event_id, coalesce(date_diff('second', lag(ts) OVER w, ts) >= 300, true) AS expired FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query("x6_capped_log", """
+WITH clock AS (SELECT max(ts) AS now FROM events), t AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id),
+live AS (SELECT user_id FROM t, clock WHERE last > now - INTERVAL 1 HOUR ORDER BY last DESC, user_id LIMIT 100),
+g AS (SELECT user_id, event_id, ts, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR AS pause FROM events JOIN live USING (user_id)),
+s AS (SELECT user_id, max(ts) AS start FROM g WHERE pause GROUP BY user_id),
+e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM g LEFT JOIN s USING (user_id) WHERE start IS NULL OR ts >= start)
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS pos FROM e WHERE n <= 500""")
+def capped_log(spark, d):
+    e = table(spark, d, "events")
+    return state.capped_log(e, e.agg(F.max("ts").alias("now")))
+
+
+@query("x6_capped_log_stream", ORACLES["x6_capped_log"])
+def capped_log_stream(spark, d):
+    """The same log kept by a stream that takes the events in several micro-batches, late ones among them."""
+    return state.final_logs(state.replayed(spark, table(spark, d, "events"), state.log_stream))
+
+
+@query("x2_reaper_stream", ORACLES["x2_heartbeat_reaper"])
+def reaper_stream(spark, d):
+    """The reaper as a stream with a timer for each job, over several micro-batches with late beats."""
+    return state.final_status(state.replayed(spark, table(spark, d, "events"), state.reaper_stream))
+
+
+@query("x7_cache_expiry", """
+WITH RECURSIVE f AS (
+  SELECT user_id, min(ts) AS fill FROM events GROUP BY user_id
+  UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN events e ON e.user_id = f.user_id AND e.ts >= f.fill + INTERVAL 300 SECOND GROUP BY f.user_id, f.fill),
+e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS n FROM events)
+SELECT e.user_id, event_id, f.fill IS NOT NULL AND n = 1 AS expired FROM e LEFT JOIN f ON f.user_id = e.user_id AND f.fill = e.ts""")
 def cache_expiry(spark, d):
-    before = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    seconds = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))) - F.unix_timestamp(F.date_trunc("second", before.cast("timestamp")))
-    return table(spark, d, "events").select("user_id", "event_id", F.coalesce(seconds >= 300, F.lit(True)).alias("expired"))
+    """An entry lives 300 s from its fill; hits don't renew it."""
+    return series.cache_misses(table(spark, d, "events"), "user_id", "ts", "event_id")

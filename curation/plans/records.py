@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curation.functions import text as T
-from curation.operators import fuzzy, merge
+from curation.operators import fuzzy, topk, merge
 from curation.plans.registry import Rows, query, table
 
 RECORDS = Rows("id int, name string, year int, url string, html string, tuition double, faculty string, deadlines int, requirements int", [
@@ -78,13 +78,8 @@ def greedy_item_dedup(spark, d):
 @query("f6_t8_taxonomy_top3")
 def taxonomy_top3(spark, d):
     """The three best taxonomy entries of each name among those that share a token with it."""
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("t", F.split(F.lower("p_name"), " "))
-    left = names.select(F.col("p_name").alias("signal"), F.explode("t").alias("tok"))
-    right = names.select(F.col("p_name").alias("entry"), F.explode("t").alias("tok"))
-    pairs = left.join(right, "tok").select("signal", "entry").distinct().where("signal <> entry")
-    scored = pairs.withColumn("score", F.bround(fuzzy.taxonomy_score(F.col("signal"), F.col("entry")), 4))
-    n = F.row_number().over(W.partitionBy("signal").orderBy(F.desc("score"), "entry"))
-    return scored.withColumn("n", n).where("n <= 3").select("signal", "entry", "score", "n")
+    names = table(spark, d, "part").select("p_name").distinct()
+    return topk.best_entries(names, "p_name", names, "p_name", itself=False)
 
 
 @query("f11_chunks")

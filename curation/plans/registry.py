@@ -66,5 +66,5 @@ class Rows:
         return f"(SELECT {casts} FROM (VALUES {values}) AS v({names}))"
 
 
-for _module in ("relational", "windows", "text", "urls", "money", "records", "writes", "quality", "jobs", "transfer", "extract", "pages", "merges", "intake", "exports", "cases"):
+for _module in ("relational", "windows", "text", "urls", "money", "records", "writes", "quality", "jobs", "transfer", "extract", "pages", "merges", "intake", "exports", "storage", "cases"):
     importlib.import_module(f"curation.plans.{_module}")

@@ -30,29 +30,29 @@ def no_filter_keeps_all(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("catalog_id").alias("catalogs"))
 
 
-@query("j1_program_catalog_left", CTE + "SELECT program_id, academic_year, catalog_name FROM program LEFT JOIN catalog USING (catalog_id) WHERE tuition > 300000")
+@query("j1_program_catalog_left", CTE + "SELECT program_id, academic_year, catalog_name FROM program LEFT JOIN catalog USING (catalog_id)")
 def program_catalog_left(spark, d):
-    return star.program(spark, d).where("tuition > 300000").join(star.catalog(spark, d), "catalog_id", "left").select("program_id", "academic_year", "catalog_name")
+    return star.program(spark, d).join(star.catalog(spark, d), "catalog_id", "left").select("program_id", "academic_year", "catalog_name")
 
 
 @query("j2_star_left_joins", """
 SELECT l_orderkey, l_linenumber, p_name AS subject, s_name AS exam, n_name AS framework, r_name AS evidence FROM lineitem
 LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey
-LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE l_quantity >= 49""")
+LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def star_left_joins(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49")
+    rows = table(spark, d, "lineitem")
     out = rows.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     out = out.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return out.select("l_orderkey", "l_linenumber", F.col("p_name").alias("subject"), F.col("s_name").alias("exam"), F.col("n_name").alias("framework"), F.col("r_name").alias("evidence"))
 
 
-@query("j3_requirement_exam_left", "SELECT p_partkey, p_name, ps AS exam FROM part LEFT JOIN (SELECT s_suppkey, s_name AS ps FROM supplier WHERE s_acctbal > 0) ON p_partkey = s_suppkey")
+@query("j3_requirement_exam_left", "SELECT p_partkey, p_name, ps AS exam FROM part LEFT JOIN (SELECT s_suppkey, s_name AS ps FROM supplier) ON p_partkey = s_suppkey")
 def requirement_exam_left(spark, d):
     return with_exam(table(spark, d, "part"), table(spark, d, "supplier"))
 
 
 def with_exam(requirements, exams):
-    exam = exams.where("s_acctbal > 0").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_name").alias("exam"))
+    exam = exams.select(F.col("s_suppkey").alias("p_partkey"), F.col("s_name").alias("exam"))
     return requirements.join(exam, "p_partkey", "left").select("p_partkey", "p_name", "exam")
 
 

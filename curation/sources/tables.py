@@ -9,25 +9,30 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Timestamps as ISO texts that keep microseconds.
+ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def export_tables(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """Each table as JSON lines below ``path`` and a manifest of row counts; timestamps are ISO, decimals strings."""
     for name, df in tables.items():
         plain = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind.startswith("decimal")})
-        plain.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        plain.write.mode("overwrite").options(**ISO, ignoreNullFields="false").json(f"{path}/{name}")
     counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")) for name, df in tables.items()]
     manifest = reduce(lambda a, b: a.union(b), counts)
     manifest.write.mode("overwrite").json(f"{path}/manifest")
     return manifest
 
 
-def import_tables(spark: SparkSession, path: str, schemas: dict[str, str], existing: dict[str, DataFrame] | None = None, force: bool = False) -> dict[str, DataFrame]:
+def import_tables(spark: SparkSession, path: str, schemas: dict[str, str | StructType], existing: dict[str, DataFrame] | None = None, force: bool = False) -> dict[str, DataFrame]:
     """Tables of an export, typed; refused where a target has rows, unless forced."""
     full = [name for name, df in (existing or {}).items() if not df.isEmpty()]
     if full and not force:
         raise ValueError(f"tables that are not empty: {', '.join(sorted(full))}")
-    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).options(**ISO).json(f"{path}/{name}") for name, schema in schemas.items()}
 
 
 def scratch(spark: SparkSession) -> str:
