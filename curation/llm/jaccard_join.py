@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curation.llm.common import KeyFilter, small_batches, table, written
-from curation.llm.near_dedup import COUNTERS, WordHashes, components, confirmed, labelled, may_link, parity, same_ids, shingle_set
+from curation.llm.near_dedup import COUNTERS, WordHashes, components, confirmed, labelled, may_link, parity, same_ids, shingle_sets
 
 #: Largest set that may be light; enumerating subsets of larger ones never pays.
 LIGHT_MOST = 16
@@ -73,50 +73,51 @@ def found(n: Column, percent: int) -> Column:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n_shingles, digest of the set (null: empty), its short form, parity bitmap; and rows (counter, seen) of each task's counters."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("mark", pa.int64()), ("bits", pa.list_(pa.int64())), ("counter", pa.int64()), ("seen", pa.int64())])
+    """id, n_shingles, digest of the set (null: empty), its mark; and rows (counter, seen) of each task's counters."""
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("mark", pa.int64()), ("counter", pa.int64()), ("seen", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sets = [shingle_set(t or b"", hashes, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), hashes, size)
             if sets:
                 seen += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            digests = [digest(s) for s in sets]
-            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.string()), pa.array(map(short, digests), pa.int64()), pa.array(map(parity, sets), pa.list_(pa.int64()))]
+            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(digest, sets), pa.string()), pa.array(map(mark, sets), pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(sets), pa.int64())] * 2], schema=schema)
         often = np.flatnonzero(seen > 1)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(often), f.type) for f in list(schema)[:5]), pa.array(often), pa.array(seen[often])], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(often), f.type) for f in list(schema)[:4]), pa.array(often), pa.array(seen[often])], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "id long, n_shingles long, digest string, mark long, bits array<long>, counter long, seen long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(task, "id long, n_shingles long, digest string, mark long, counter long, seen long")
 
 
 def digest(s: np.ndarray) -> str | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None
 
 
-def short(d: str | None) -> int:
-    return int(d[:15], 16) if d else 0
+def mark(s: np.ndarray) -> int:
+    """Tells apart the sets of one id."""
+    return int(s.sum(dtype=np.uint64).view(np.int64))
 
 
 def rarest(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Of ``docs`` (id, text): id, mark, n, rare (the rarest shingles, in order), small (the whole set, where it may be light)."""
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("rare", pa.list_(pa.int64())), ("small", pa.list_(pa.int64()))])
+    """Of ``docs`` (id, text): id, mark, n, parity bitmap, rare (the rarest shingles, in order), small (the whole set, where it may be light)."""
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("bits", "rare", "small"))])
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, order = WordHashes(), shared.value
         for batch in batches:
-            sets = [shingle_set(t or b"", hashes, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), hashes, size)
             rare = []
             for s in sets:
                 first = len(s) - ceil_div(percent * len(s), 100) + 1 + SPLITS
-                rare.append(s[np.lexsort((s, order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:first]].view(np.int64))
+                # the set is sorted, so a stable sort by counters leaves equal ones in order of their hashes
+                rare.append(s[np.argsort(order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:first]].view(np.int64))
             small = [s.view(np.int64) if len(s) <= LIGHT_MOST else None for s in sets]
-            columns = [pa.array([short(digest(s)) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (rare, small))]
+            columns = [pa.array(map(mark, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), rare, small))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
-    return docs.mapInArrow(task, "id long, mark long, n long, rare array<long>, small array<long>")
+    return docs.mapInArrow(task, "id long, mark long, n long, bits array<long>, rare array<long>, small array<long>")
 
 
 def subsets(sets: DataFrame, percent: int) -> DataFrame:
@@ -243,17 +244,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # at most COUNTERS rows
     for r in both.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("n")).collect():
         counts[r["counter"]] = r["n"]
-    sig = both.where("counter is null").select("id", "n_shingles", "digest", "mark", "bits")
+    sig = both.where("counter is null").select("id", "n_shingles", "digest", "mark")
     total = sig.count()
     classes = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     nodes = sig.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")), "left_semi").drop("digest")
     nodes = written(nodes.dropDuplicates(["id", "mark"]))
-    facts = nodes.select("id", F.col("n_shingles").alias("n"), "bits")
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = KeyFilter(nodes.select("id"), ["id"], total).marked(texts, ["id"], "_wanted").where("_wanted").select("id", "text")
     sets = rarest(wanted, counts, shingle_words, percent).join(nodes.select("id", "mark"), ["id", "mark"], "left_semi")
     sets = written(sets.dropDuplicates(["id", "mark"]).drop("mark"))
+    facts = sets.select("id", "n", "bits")
 
     listed = sets.select("id", "n", F.posexplode(F.slice("rare", F.lit(1), looks(F.col("n"), percent))).alias("at", "key"))
     listed = listed.select("key", "id", "n", "at", (F.col("at") < found(F.col("n"), percent)).alias("found"))

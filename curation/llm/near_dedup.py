@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from operator import add
 
@@ -48,6 +48,8 @@ COUNTERS = 1 << 17
 #: Bits of the parity bitmap.
 BITS = 1024
 CACHE_WORDS = 100_000
+#: Words of the texts that are hashed at once.
+RUN_WORDS = 1 << 15
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -71,16 +73,41 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_set(text: bytes, hashes: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``size`` words, in ASCII lower case; fewer words are one shingle."""
-    words = hashes.of(text.lower().split())
-    if not len(words):
-        return words
-    size = min(size, len(words))
-    h = np.full(len(words) - size + 1, size, np.uint64)
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words."""
+    h = np.full(max(0, len(words) - size + 1), size, np.uint64)
     for j in range(size):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(h)])
-    return np.unique(h)
+    return h
+
+
+def shingle_sets(texts: Iterable[bytes | None], hashes: WordHashes, size: int) -> list[np.ndarray]:
+    """Per text its sorted distinct hashes of runs of ``size`` words, in ASCII lower case; fewer words are one shingle.
+
+    Runs are hashed for many texts at once, which are laid end to end; those that cross an end are left out.
+    """
+    out: list[np.ndarray] = []
+    waiting: list[np.ndarray] = []
+    held = 0
+
+    def settle() -> None:
+        h = run_hashes(np.concatenate(waiting), size)
+        at = 0
+        for words in waiting:
+            own = h[at : at + len(words) - size + 1] if len(words) >= size else run_hashes(words, len(words)) if len(words) else words
+            out.append(np.unique(own))
+            at += len(words)
+
+    for text in texts:
+        words = hashes.of((text or b"").lower().split())
+        waiting.append(words)
+        held += len(words)
+        if held >= RUN_WORDS:
+            settle()
+            waiting, held = [], 0
+    if waiting:
+        settle()
+    return out
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -189,7 +216,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys = WordHashes(), Keys(percent, rows, bands)
         for batch in batches:
-            sets = [shingle_set(t or b"", hashes, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), hashes, size)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
             mark = [int(d[:15], 16) if d else 0 for d in digests]
             columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.string()), pa.array(mark, pa.int64()), *(pa.array(map(f, sets), pa.list_(pa.int64())) for f in (parity, keys.of))]
@@ -223,8 +250,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
         for batch in batches:
             links = []
             ids, stars, parts_, texts_ = (batch.column(n) for n in ("id", "a", "part", "text"))
-            for i, a, k, text in zip(ids.to_pylist(), stars.to_pylist(), parts_.to_pylist(), texts_.cast(pa.binary()).to_pylist()):
-                s = shingle_set(text, hashes, size)
+            sets = shingle_sets(texts_.cast(pa.binary()).to_pylist(), hashes, size)
+            for i, a, k, s in zip(ids.to_pylist(), stars.to_pylist(), parts_.to_pylist(), sets):
                 if star != (a, k):
                     star, held = (a, k), []
                 if i == a:
@@ -252,7 +279,7 @@ def rare_shingles(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t or b"", hashes, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), hashes, size)
             columns = [batch.column("id"), batch.column("component"), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), (x.view(np.int64) for x in sets)))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
