@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curation.functions import urls as U
 from curation.functions import vocabulary as V
 from curation.operators import joins
+from curation.operators.extractors import BUILT_IN, Extractors
 from curation.plans.registry import Rows, query, table
 from curation.plans.text import quoted
 
@@ -106,6 +109,20 @@ def links(spark, d):
     return page_links(spark, d)
 
 
+@query("f37_f38_registered_extractors", f"""WITH {LINKS} SELECT e AS extractor, page_id, pos, link FROM a, (VALUES ('anchors'), ('html_links')) x(e)""")
+def registered_extractors(spark, d):
+    """The same links by two extractors of a registry: an expression, and a Python function that a caller adds."""
+    own = Extractors()
+    own.expressions |= BUILT_IN.expressions
+
+    @own.scan("anchors")
+    def anchors(content, base):
+        return [(None, href) for href in re.findall(r'<a href="([^"]*)"', content)]
+
+    found = own.extracted(table(spark, d, "pages").select("page_id", "url", "html").withColumnRenamed("url", "base"), "html", "base")
+    return found.select("extractor", "page_id", "pos", F.col("url").alias("link"))
+
+
 @query("u6_first_link_text", f"WITH {LINKS} SELECT page_id, link, min(pos) AS pos FROM a GROUP BY page_id, link")
 def first_link(spark, d):
     return page_links(spark, d).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))

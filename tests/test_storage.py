@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from curation.operators import series, topk
+from curation.operators import extractors, series, topk
 from curation.plans import registry, storage
 from curation.sources import colocated, database, files, tables
 from curation.sources.keyed import KeyedTable
@@ -171,3 +171,21 @@ def test_exports_keep_microseconds(spark, tmp_path):
 
 def test_every_foreign_key_of_the_data_is_named():
     assert {k.child for k in storage.KEYS} | {k.parent for k in storage.KEYS} <= set(storage.TABLES)
+
+
+def test_an_extractor_is_added_without_touching_a_plan(spark):
+    own = extractors.Extractors()
+    own.expressions |= extractors.BUILT_IN.expressions
+
+    @own.scan("words")
+    def words(content, base):
+        return [(w, f"/{w}") for w in content.split()[:2]]
+
+    pages = spark.createDataFrame([(1, '<a href="/x">X</a> <a href="https://b.c/y">', "https://a.b/p"), (2, None, "https://a.b"), (3, "", None)], "id int, html string, base string")
+    got = sorted(map(tuple, own.extracted(pages, "html", "base").select("id", "extractor", "pos", "text", "url").collect()), key=str)
+    assert got == sorted([(1, "html_links", 0, None, "https://a.b/x"), (1, "html_links", 1, None, "https://b.c/y"), (1, "words", 0, "<a", "https://a.b/<a"), (1, "words", 1, 'href="/x">X</a>', 'https://a.b/href="/x">X</a>')], key=str)
+    assert own.names == ["html_links", "words"] and own.extracted(pages, "html", "base", []).count() == 0
+    with pytest.raises(ValueError, match="unknown extractors: no"):
+        own.extracted(pages, "html", "base", ["no"])
+    with pytest.raises(ValueError, match="would hide: url"):
+        own.extracted(pages.withColumnRenamed("base", "url"), "html", "url")
