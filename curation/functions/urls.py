@@ -180,3 +180,13 @@ def html_link_texts(page: Column) -> Column:
 def markdown_links(text: Column) -> Column:
     """Targets of markdown links; a label may hold one level of brackets."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]\(([^) ]+)"), F.lit(1))
+
+
+def dug(body: Column, path_: str) -> Column:
+    """The items at a dotted path of a JSON text, as an array of variants; null where it isn't JSON or has no array there."""
+    return F.try_variant_get(F.try_parse_json(body), f"$.{path_}", "array<variant>")
+
+
+def dug_value(item: Column, path_: str, kind: str) -> Column:
+    """The value at a dotted path of an item; null where there is none of that kind."""
+    return F.try_variant_get(item, f"$.{path_}", kind)

@@ -82,7 +82,19 @@ def taxonomy_top3(spark, d):
     return topk.best_entries(names, "p_name", names, "p_name", itself=False)
 
 
-@query("f11_chunks")
+def chunk_end(start: str) -> str:
+    """In SQL, where the chunk that starts there ends: at the last paragraph or line break of its second half, else when full."""
+    window = f"substr(text, {start} + 1, 1000)"
+    at = {mark: f"length(regexp_extract({window}, '(?s)^(.*){mark}', 1))" for mark in (r"\n\n", r"\n")}
+    breaks = " ".join(f"WHEN {x} >= 500 THEN {start} + {x}" for x in at.values())
+    return f"CASE WHEN length(text) - ({start}) <= 1000 THEN length(text) {breaks} ELSE {start} + 1000 END"
+
+
+@query("f11_chunks", f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0 AS chunk, 0::BIGINT AS s, {chunk_end("0")} AS e FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, text, chunk + 1, e - 200, {chunk_end("(e - 200)")} FROM c WHERE e < length(text))
+SELECT doc_id, chunk::INT AS chunk, (e - s)::INT AS n, sha256(substr(text, s + 1, e - s)) AS digest FROM c""")
 def chunked(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(fuzzy.chunks(F.col("text"), 1000)).alias("chunk", "part"))
     return docs.select("doc_id", "chunk", F.length("part").alias("n"), F.sha2("part", 256).alias("digest"))

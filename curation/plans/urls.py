@@ -195,6 +195,16 @@ def json_dig(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query("f45_s9_dug_items", "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1 AS INT) AS pos, l_linenumber AS n, l_returnflag AS flag FROM lineitem")
+def dug_items(spark, d):
+    """A JSON answer per order, its items at a dotted path, one row each; an answer without that path has none."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.struct(F.col("l_returnflag").alias("flag")).alias("attributes")).alias("item"))
+    answers = rows.groupBy("l_orderkey").agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list("item")).alias("items")).alias("data"))).alias("body"))
+    bare = spark.createDataFrame([(-1, '{"data": {}}'), (-2, "not JSON"), (-3, '{"items": [1]}')], "l_orderkey long, body string")
+    items = answers.unionByName(bare).select("l_orderkey", F.posexplode(U.dug(F.col("body"), "data.items")).alias("pos", "i"))
+    return items.select("l_orderkey", "pos", U.dug_value(F.col("i"), "n", "int").alias("n"), U.dug_value(F.col("i"), "attributes.flag", "string").alias("flag"))
+
+
 VARIANTS = Rows("page int, level int, body string", [(1, 1, "short"), (1, 2, "x" * 220), (1, 3, "y" * 300), (2, 1, "z" * 210), (3, 1, "no"), (3, 2, "captcha " + "q" * 300)])
 
 
