@@ -64,6 +64,17 @@ def token_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id:
     return a.join(b, "_t").select(left_id, right_id).distinct()
 
 
+def line_key(line: Column) -> Column:
+    """128 bits that stand for a line, so that its text need not be shuffled to find equal ones."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
+def shared_keys(rows: DataFrame, owner: str, key: str) -> DataFrame:
+    """The keys that several owners have; counted with partial aggregation, so a common one is no hot key."""
+    ends = rows.groupBy(key).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
+    return ends.where("_lo < _hi").select(key)
+
+
 def siblings(rows: DataFrame, group: Sequence[str], item: str) -> DataFrame:
     """Other items on the same line of the same page, as a sorted array per item."""
     other = rows.select(*group, F.col(item).alias("_other"))

@@ -97,12 +97,13 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docum
 i AS (SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)
 SELECT doc_id, CAST(sum(CASE WHEN trim(l.line, ' ') IN (SELECT line FROM i) THEN 1 ELSE 0 END) AS BIGINT) AS shared, count(*) AS lines FROM l GROUP BY doc_id""")
 def shared_lines(spark, d):
-    """Lines that stand in more than one document, by membership in the set of shared lines."""
-    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    index = lines.where("line <> ''").groupBy("line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("line")
+    """Lines that stand in more than one document, by membership in the set of shared lines; lines are shuffled as hashes."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("all"))
     # blank lines are no members and would all meet under one key
-    shared = lines.where("line <> ''").join(index, "line", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")).join(shared, "doc_id", "left").select("doc_id", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"), "lines")
+    lines = docs.select("doc_id", F.explode("all").alias("line")).withColumn("line", F.trim("line")).where("line <> ''").select("doc_id", joins.line_key(F.col("line")).alias("k"))
+    shared = lines.join(joins.shared_keys(lines, "doc_id", "k"), "k", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    counts = docs.groupBy("doc_id").agg(F.sum(F.size("all")).alias("lines"))
+    return counts.join(shared, "doc_id", "left").select("doc_id", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"), "lines")
 
 
 @query("j13_u1_requirement_sets", CTE + """,

@@ -89,13 +89,14 @@ c AS (SELECT *, sum(CASE WHEN member THEN 1 ELSE 0 END) OVER (PARTITION BY doc_i
 SELECT doc_id, count(*) AS lines_left FROM c WHERE run IS NULL OR n < 3 GROUP BY doc_id""")
 def shared_line_islands(spark, d):
     """Lines left when runs of three shared lines or more are dropped; blank lines bridge a run."""
-    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    key = F.trim("line")
-    shared = lines.select("doc_id", key.alias("k")).where("k <> ''").groupBy("k").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k", F.lit(True).alias("hit"))
+    split = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = F.trim("line")
+    lines = split.select("doc_id", "pos", (line == "").alias("blank"), joins.line_key(line).alias("k"))
     # blank lines are no members and would all meet under one key
-    found = lines.withColumn("k", key).where("k <> ''").join(shared, "k", "left").withColumns({"member": F.coalesce("hit", F.lit(False)), "blank": F.lit(False)}).drop("hit")
-    empty = lines.withColumn("k", key).where("k = ''").withColumns({"member": F.lit(False), "blank": F.lit(True)})
-    marked = found.unionByName(empty)
+    filled = lines.where("not blank")
+    shared = joins.shared_keys(filled, "doc_id", "k").withColumn("hit", F.lit(True))
+    found = filled.join(shared, "k", "left").select("doc_id", "pos", "blank", F.coalesce("hit", F.lit(False)).alias("member"))
+    marked = found.unionByName(lines.where("blank").select("doc_id", "pos", "blank", F.lit(False).alias("member")))
     left = series.drop_long_islands(marked, ["doc_id"], "pos", "member", "blank")
     return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines_left"))
 
