@@ -36,12 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curation.llm.common import KeyFilter, small_batches, table, written
-from curation.llm.near_dedup import COUNTERS, WordHashes, components, confirmed, labelled, may_link, parity, same_ids, shingle_sets
+from curation.llm.near_dedup import COUNTERS, WordHashes, components, confirmed, labelled, may_link, mixed, parity, same_ids, shingle_sets
 
 #: Largest set that may be light; enumerating subsets of larger ones never pays.
 LIGHT_MOST = 16
 #: Times a list is split by a further shingle at most, and how many strangers of a list meet the others in any case.
 SPLITS, STRANGERS = 2, 32
+#: Sets of more shingles also have a parity bitmap of WIDE bits, as that of all sets says little of them.
+WIDE_FROM, WIDE = 1000, 1 << 13
 #: Members of a list's largest component that many strangers are compared with first.
 PIVOTS = 8
 #: A list is split where its strangers meet more than so many times the members that splitting makes.
@@ -94,14 +96,22 @@ def digest(s: np.ndarray) -> str | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None
 
 
+def wide_parity(s: np.ndarray) -> np.ndarray | None:
+    """WIDE bits as longs, each shingle flipping one; null for sets of up to WIDE_FROM."""
+    if len(s) <= WIDE_FROM:
+        return None
+    flips = np.bincount((mixed(s) >> np.uint64(64 - WIDE.bit_length() + 1)).astype(np.int64), minlength=WIDE) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def mark(s: np.ndarray) -> int:
     """Tells apart the sets of one id."""
     return int(s.sum(dtype=np.uint64).view(np.int64))
 
 
 def rarest(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Of ``docs`` (id, text): id, mark, n, parity bitmap, rare (the rarest shingles, in order), small (the whole set, where it may be light)."""
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("bits", "rare", "small"))])
+    """Of ``docs`` (id, text): id, mark, n, parity bitmaps, rare (the rarest shingles, in order), small (the whole set, where it may be light)."""
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("bits", "wide", "rare", "small"))])
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +124,10 @@ def rarest(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Data
                 # the set is sorted, so a stable sort by counters leaves equal ones in order of their hashes
                 rare.append(s[np.argsort(order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:first]].view(np.int64))
             small = [s.view(np.int64) if len(s) <= LIGHT_MOST else None for s in sets]
-            columns = [pa.array(map(mark, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), rare, small))]
+            columns = [pa.array(map(mark, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (map(parity, sets), map(wide_parity, sets), rare, small))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
-    return docs.mapInArrow(task, "id long, mark long, n long, bits array<long>, rare array<long>, small array<long>")
+    return docs.mapInArrow(task, "id long, mark long, n long, bits array<long>, wide array<long>, rare array<long>, small array<long>")
 
 
 def subsets(sets: DataFrame, percent: int) -> DataFrame:
@@ -189,10 +199,13 @@ def with_pivots(members: DataFrame, found_: DataFrame, percent: int) -> DataFram
 
 
 def plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) that sizes and bitmaps in ``facts`` (id, n, bits) don't rule out."""
-    first = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    second = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    return pairs.join(first, "a").join(second, "b").where(may_link(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"), percent)).select("a", "b").distinct()
+    """Those of the distinct ``pairs`` (a, b) that sizes and bitmaps in ``facts`` (id, n, bits, wide) don't rule out."""
+    first = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("wide").alias("wide_a"))
+    second = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("wide").alias("wide_b"))
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    alike = F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")), F.lit(True))
+    fits = may_link(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b"), percent) & alike
+    return pairs.join(first, "a").join(second, "b").where(fits).select("a", "b").distinct()
 
 
 def between_components(members: DataFrame, rare: DataFrame, facts: DataFrame, found_: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +267,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = KeyFilter(nodes.select("id"), ["id"], total).marked(texts, ["id"], "_wanted").where("_wanted").select("id", "text")
     sets = rarest(wanted, counts, shingle_words, percent).join(nodes.select("id", "mark"), ["id", "mark"], "left_semi")
     sets = written(sets.dropDuplicates(["id", "mark"]).drop("mark"))
-    facts = sets.select("id", "n", "bits")
+    facts = sets.select("id", "n", "bits", "wide")
 
     listed = sets.select("id", "n", F.posexplode(F.slice("rare", F.lit(1), looks(F.col("n"), percent))).alias("at", "key"))
     listed = listed.select("key", "id", "n", "at", (F.col("at") < found(F.col("n"), percent)).alias("found"))

@@ -207,3 +207,18 @@ def test_intervals_never_rule_out_the_nearest():
     assert possible[distance == distance.min(axis=1, keepdims=True)].all()
     cluster, best = tables.nearest(possible, v)
     assert (cluster == distance.argmin(axis=1)).all() and (best == distance.min(axis=1)).all()
+
+
+def test_long_texts_are_told_apart_by_wide_bitmaps(spark, monkeypatch):
+    """Texts of more shingles than the common bitmap has bits: linked ones are found, and most others never confirmed."""
+    monkeypatch.setattr(jaccard_join, "WIDE_FROM", 100)
+    draw = random.Random(8)
+    line = [f"l{i}" for i in range(1500)]
+    rows = []
+    for i in range(24):
+        own = [f"w{i % 8}x{k}" for k in range(1600)]
+        words = line + own if i % 2 else own + line
+        rows.append((i + 1, " ".join(w if draw.random() < 0.97 else "z" for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(docs, shingle_words=1) == expected(rows, 1)
+    assert joined(docs) == expected(rows)
