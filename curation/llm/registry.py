@@ -25,7 +25,8 @@ QUERIES = {
 ORACLES = {
     "op6_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
-    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
+    "op10_near_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({near_dedup.links_sql(3, 85)})",
+    "op11_jaccard_join": near_dedup.links_sql(5, 80),
     "op12_divergence": divergence.ORACLE,
     "op13_centroids": centroids.ORACLE,
 }
