@@ -23,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_near_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({near_dedup.links_sql(3, 85)})",
