@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curation.functions import text as T
-from curation.operators import fuzzy, topk, merge
+from curation.operators import fuzzy, merge, topk
 from curation.plans.registry import Rows, query, table
 
 RECORDS = Rows("id int, name string, year int, url string, html string, tuition double, faculty string, deadlines int, requirements int", [
