@@ -128,12 +128,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlab
     def sample(ids: DataFrame) -> np.ndarray:
         rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", packed("text").alias("x"))
         found = rows.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
-        return np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, WIDTH).astype(np.float32)
+        return np.frombuffer(b"".join(r["x"] for r in found), np.float16).reshape(-1, WIDTH)
 
     positive, unlabelled = sample(trusted), sample(web)
-    if not len(positive) or not len(unlabelled):
-        return np.zeros(WIDTH)
-    return fitted(positive, unlabelled, estimated_prior(positive, unlabelled))
+    weights = np.zeros(WIDTH)
+    if len(positive) and len(unlabelled):
+        # most pairs of byte classes never occur; only the others are widened
+        seen = (positive != 0).any(axis=0) | (unlabelled != 0).any(axis=0)
+        positive, unlabelled = (np.ascontiguousarray(x[:, seen], np.float32) for x in (positive, unlabelled))
+        weights[seen] = fitted(positive, unlabelled, estimated_prior(positive, unlabelled))
+    return weights
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
