@@ -34,9 +34,15 @@ def program(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def fee(spark: SparkSession, d: str) -> DataFrame:
+#: Where a row stands in its table: its file, and its place there.
+PLACE = ("file", "place")
+
+
+def fee(spark: SparkSession, d: str, placed: bool = False) -> DataFrame:
+    """Fee rows; ``placed`` adds ``PLACE``, which tells rows of one line number apart."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")] if placed else []
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("program_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("scope"), F.col("l_linestatus").alias("mode"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"), F.to_date("l_shipdate").alias("cutoff"),
-        F.when(F.col("l_linenumber") % 3 == 0, "per_year").otherwise("per_programme").alias("basis"),
+        F.when(F.col("l_linenumber") % 3 == 0, "per_year").otherwise("per_programme").alias("basis"), *at,
     )

@@ -62,8 +62,10 @@ def child_actions(spark, d):
 
 @query("w5_u8_valid_fees", CTE + "SELECT program_id, scope, mode, amount FROM (SELECT *, row_number() OVER (PARTITION BY program_id, scope, mode ORDER BY line) AS n FROM fee WHERE amount > 0 AND basis IN ('per_programme', 'per_year') AND scope IN ('R', 'A')) WHERE n = 1")
 def valid_fees(spark, d):
+    """The first valid fee of each key; of rows with one line number, that which comes first in the table."""
     ok = (F.col("amount") > 0) & F.col("basis").isin("per_programme", "per_year") & F.col("scope").isin("R", "A")
-    return merge.first_per_key(star.fee(spark, d).where(ok), ["program_id", "scope", "mode"], [F.asc("line")]).select("program_id", "scope", "mode", "amount")
+    first = [F.asc("line"), *map(F.asc, star.PLACE)]
+    return merge.first_per_key(star.fee(spark, d, placed=True).where(ok), ["program_id", "scope", "mode"], first).select("program_id", "scope", "mode", "amount")
 
 
 @query("w7_evidence_hash", "SELECT DISTINCT sha256(concat_ws('|', coalesce(url, ''), '', 'css', coalesce(CAST(page_id % 5 AS VARCHAR), ''))) AS content_hash FROM pages")

@@ -14,7 +14,7 @@ from curation.plans import registry, storage
 from curation.sources import colocated, database, files, tables
 from curation.sources.keyed import KeyedTable
 from curation.streaming import state
-from tests.compare import DATA
+from tests.compare import DATA, check
 
 KEYS = [database.Key("b", "a_id", "a", "id"), database.Key("c", "b_id", "b", "id")]
 
@@ -189,3 +189,17 @@ def test_an_extractor_is_added_without_touching_a_plan(spark):
         own.extracted(pages, "html", "base", ["no"])
     with pytest.raises(ValueError, match="would hide: url"):
         own.extracted(pages.withColumnRenamed("base", "url"), "html", "url")
+
+
+def test_fees_of_one_line_number_go_by_their_place(spark, tmp_path):
+    """The first file is the smaller one, so a scan takes it up last."""
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber")
+    for i, rows in enumerate((lines.limit(300), lines, lines.withColumn("l_quantity", F.rand(1)))):
+        price = F.col("l_extendedprice") + i * 1000 + F.pmod(F.xxhash64("l_partkey", F.lit(i)), F.lit(100))
+        rows.withColumn("l_extendedprice", price).coalesce(1).write.parquet(str(tmp_path / f"{i}"))
+        (part,) = (tmp_path / f"{i}").glob("*.parquet")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        part.rename(tmp_path / "lineitem.parquet" / f"{i}.parquet")
+    for other in ("nation", "customer", "orders"):
+        (tmp_path / f"{other}.parquet").symlink_to(f"{DATA}/{other}.parquet")
+    check(spark, registry.QUERIES, registry.ORACLES, "w5_u8_valid_fees", str(tmp_path))
