@@ -8,6 +8,7 @@ retention deletes what no manifest names, and a restore replaces the pointer by
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 from graphlib import TopologicalSorter
 from typing import NamedTuple
@@ -58,23 +59,31 @@ def import_database(spark: SparkSession, path: str, target: str, schemas: dict[s
     """The tables of an export, typed, as the snapshot store at ``target``; nothing is committed unless all of it holds.
 
     Refused where ``target`` has rows (unless forced), where a manifest's row count differs from what is read, and where a
-    child row has no parent: the message names table, column and value.
+    child row has no parent: the message names table, column and value. The JSON is read once, into a folder beside the
+    store's parts; what is checked there is renamed in, or deleted.
     """
     store = SnapshotStore(spark, target)
     full = [n for n, df in store.tables().items() if not df.isEmpty()]
     if full and not force:
         raise ValueError(f"tables that are not empty: {', '.join(sorted(full))}")
     order = parents_first([*schemas], keys)
-    read = tables.import_tables(spark, path, {n: schemas[n] for n in order})
-    said = {r["name"]: r["rows"] for r in spark.read.schema("name string, rows long").json(f"{path}/manifest").collect()}
-    counts = reduce(lambda a, b: a.union(b), [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n, df in read.items()])
-    differ = [f"{r['name']} ({r['rows']} of {said.get(r['name'])} rows)" for r in counts.collect() if said.get(r["name"]) != r["rows"]]
-    if differ:
-        raise ValueError(f"tables that differ from the manifest: {', '.join(sorted(differ))}")
-    broken = broken_keys(read, keys)
-    if broken:
-        raise ValueError("rows without parent: " + "; ".join(f"{k.child}.{k.column} = {least} ({n} rows, no {k.parent}.{k.parent_column})" for k, n, least in broken))
-    store.snapshot(read, order)
+    stage = f"{target}/staged-{uuid.uuid4().hex}"
+    staged = {n: f"{stage}/{n}" for n in order}
+    try:
+        for name, df in tables.import_tables(spark, path, {n: schemas[n] for n in order}).items():
+            df.write.parquet(staged[name])
+        read = {n: spark.read.schema(schemas[n]).parquet(at) for n, at in staged.items()}
+        said = {r["name"]: r["rows"] for r in spark.read.schema("name string, rows long").json(f"{path}/manifest").collect()}
+        counts = reduce(lambda a, b: a.union(b), [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n, df in read.items()])
+        differ = [f"{r['name']} ({r['rows']} of {said.get(r['name'])} rows)" for r in counts.collect() if said.get(r["name"]) != r["rows"]]
+        if differ:
+            raise ValueError(f"tables that differ from the manifest: {', '.join(sorted(differ))}")
+        broken = broken_keys(read, keys)
+        if broken:
+            raise ValueError("rows without parent: " + "; ".join(f"{k.child}.{k.column} = {least} ({n} rows, no {k.parent}.{k.parent_column})" for k, n, least in broken))
+        store.snapshot(read, order, staged)
+    finally:
+        files.delete(spark, stage)
     return store.tables()
 
 
@@ -101,14 +110,18 @@ class SnapshotStore:
     def manifest(self, version: int) -> dict:
         return files.get_json(self.spark, f"{self.path}/manifests/version={version:09d}/manifest.json")
 
-    def snapshot(self, held: dict[str, DataFrame], order: list[str] | None = None) -> int:
-        """A new snapshot, which becomes the current one; its number. Tables of known content are not written again."""
+    def snapshot(self, held: dict[str, DataFrame], order: list[str] | None = None, staged: dict[str, str] | None = None) -> int:
+        """A new snapshot, which becomes the current one; its number. Tables of known content are not written again, and
+        of ``staged`` folders that hold a table as it is to be kept, each is renamed in."""
         version = max(self.versions(), default=0) + 1
         named = {}
         for name in order or held:
             digest = named[name] = self.digest(held[name])
             if not files.exists(self.spark, f"{self._at(name, digest)}/_SUCCESS"):
-                held[name].write.mode("overwrite").parquet(self._at(name, digest))
+                if name in (staged or {}):
+                    files.move(self.spark, staged[name], self._at(name, digest))
+                else:
+                    held[name].write.mode("overwrite").parquet(self._at(name, digest))
         manifest = {"order": [*(order or held)], "tables": {n: {"digest": d, "schema": held[n].schema.jsonValue()} for n, d in named.items()}}
         files.put_json(self.spark, f"{self.path}/manifests/version={version:09d}/manifest.json", manifest)
         self.restore(version)

@@ -39,6 +39,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; the one above ``target`` is made, and a ``target`` that is there already goes."""
+    fs, at = _file_system(spark, source)
+    _, to = _file_system(spark, target)
+    fs.delete(to, True)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def put_json(spark: SparkSession, path: str, value: dict) -> None:
     """Replace the file at ``path`` by one rename: readers find the old document or the new one, never a part."""
     jvm, fresh = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}"

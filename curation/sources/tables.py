@@ -17,10 +17,10 @@ ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat
 
 
 def export_tables(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Each table as JSON lines below ``path`` and a manifest of row counts; timestamps are ISO, decimals strings."""
+    """Each table as gzipped JSON lines below ``path`` and a manifest of row counts; timestamps are ISO, decimals strings."""
     for name, df in tables.items():
         plain = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind.startswith("decimal")})
-        plain.write.mode("overwrite").options(**ISO, ignoreNullFields="false").json(f"{path}/{name}")
+        plain.write.mode("overwrite").options(**ISO, ignoreNullFields="false", compression="gzip").json(f"{path}/{name}")
     counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")) for name, df in tables.items()]
     manifest = reduce(lambda a, b: a.union(b), counts)
     manifest.write.mode("overwrite").json(f"{path}/manifest")

@@ -203,3 +203,22 @@ def test_fees_of_one_line_number_go_by_their_place(spark, tmp_path):
     for other in ("nation", "customer", "orders"):
         (tmp_path / f"{other}.parquet").symlink_to(f"{DATA}/{other}.parquet")
     check(spark, registry.QUERIES, registry.ORACLES, "w5_u8_valid_fees", str(tmp_path))
+
+
+def test_an_export_is_compressed_and_an_import_stages_it_once(spark, tmp_path, monkeypatch):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet")
+    orders.write.json(str(tmp_path / "plain"))
+    database.export_database({"a": orders, "b": orders}, f"{tmp_path}/out", [])
+    size = lambda at: sum(f.stat().st_size for f in at.rglob("part-*"))
+    assert size(tmp_path / "out" / "a") < size(tmp_path / "plain") / 3
+    scans = []
+    digest = database.SnapshotStore.digest
+    monkeypatch.setattr(database.SnapshotStore, "digest", staticmethod(lambda df: (scans.append(plan_of(df)), digest(df))[1]))
+    back = database.import_database(spark, f"{tmp_path}/out", f"{tmp_path}/db", {"a": orders.schema, "b": orders.schema}, [])
+    assert len(scans) == 2 and not any("json" in p.lower() for p in scans)
+    assert sorted(back["b"].collect()) == sorted(orders.collect())
+    assert files.folders(spark, f"{tmp_path}/db") == ["manifests", "parts"]
+    with pytest.raises(ValueError, match="rows without parent"):
+        key = database.Key("a", "o_orderkey", "b", "o_custkey")
+        database.import_database(spark, f"{tmp_path}/out", f"{tmp_path}/db", {"a": orders.schema, "b": orders.schema}, [key], force=True)
+    assert files.folders(spark, f"{tmp_path}/db") == ["manifests", "parts"]
