@@ -34,8 +34,8 @@ END_ID = 2
 POOL_TOKENS = 1 << 20
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Entries of a generation of a worker's cache of words and of their pieces.
-CACHE_WORDS = 100_000
+#: Entries of a generation of a worker's cache of words and of their pieces; and where packing has the worker to itself.
+CACHE_WORDS, OWN_CACHE_WORDS = 100_000, 250_000
 #: Pieces that one call of the library merges.
 CALL_PIECES = 256
 
@@ -47,7 +47,7 @@ class DocumentIds:
     word goes to the library once, many in one call. The cache of words and pieces has two generations: once the new
     one is full, the one before it is forgotten."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -62,6 +62,7 @@ class DocumentIds:
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
+        self.most = most
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -77,31 +78,33 @@ class DocumentIds:
         # place and code points that the library treats unlike Python are left to the tokenizer
         whole = {i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1fΣ") or not t.isascii() and has_foreign(t, self.normalizer)}
         split = [[] if i in whole else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for i, t in enumerate(texts)]
-        found = [list(map(self.known.get, ws)) for ws in split]
-        fresh = self.learnt({w for ws, ids in zip(split, found) if None in ids for w, x in zip(ws, ids) if x is None})
-        filled = (b"".join([fresh[w] if x is None else x for w, x in zip(ws, ids)]) for ws, ids in zip(split, found))
-        return [self.library(texts[i]) if i in whole else ids for i, ids in enumerate(filled)]
-
-    def learnt(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that the newer generation lacks, which are kept in it from now on."""
-        fresh = {w: x for w in words if (x := self.before.get(w)) is not None}
-        cut = {w: [w] if w.isalpha() else self.pattern.findall(w) for w in words if w not in fresh}
-        pieces = [p for p in {p for ps in cut.values() for p in ps} if p not in self.known and p not in fresh]
-        fresh.update(zip(pieces, self.merged(pieces), strict=True))
-        fresh.update((w, b"".join([fresh[p] if p in fresh else self.known[p] for p in ps])) for w, ps in cut.items() if w not in fresh)
-        if len(self.known) > CACHE_WORDS:
+        self.learn({w for ws in split for w in ws}.difference(self.known))
+        found = [self.library(texts[i]) if i in whole else b"".join(map(self.known.__getitem__, ws)) for i, ws in enumerate(split)]
+        if len(self.known) > self.most:
             self.known, self.before = {}, self.known
-        self.known.update(fresh)
-        return fresh
+        return found
+
+    def learn(self, words: set[str]) -> None:
+        """Put words that the newer generation lacks into it."""
+        known = self.known
+        old = self.before.keys() & words
+        known.update(zip(old, map(self.before.__getitem__, old)))
+        new = words - old if old else words
+        plain = set(filter(str.isalpha, new))
+        other = [*new.difference(plain)]
+        cut = [*map(self.pattern.findall, other)]
+        pieces = [*plain.union(*cut).difference(known)]
+        known.update(zip(pieces, self.merged(pieces), strict=True))
+        known.update(zip(other, [b"".join([known[p] for p in ps]) for ps in cut]))
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=1)
-def ids_of(path: str) -> DocumentIds:
+def ids_of(path: str, most: int = CACHE_WORDS) -> DocumentIds:
     """One tokenizer per worker process, whose word cache its tasks share."""
-    return DocumentIds(path)
+    return DocumentIds(path, most)
 
 
 def sequence_sizes(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -134,7 +137,7 @@ def packed(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int
     return pieces, sizes
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all rows of ``docs``; see ``SCHEMA``. Every id lies in exactly one piece.
 
     A task packs ``pool_tokens`` tokens at a time, so it holds no more than those and a document, and which sequence is
@@ -153,7 +156,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema), first + len(sizes)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, following = ids_of(path), TaskContext.get().partitionId() << 40
+        encode, following = ids_of(path, cache_words), TaskContext.get().partitionId() << 40
         end = np.asarray([END_ID], "<u4").tobytes()
         ids, tokens, held = [], [], 0
         for batch in batches:
@@ -176,4 +179,4 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     small_batches(spark)
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache_words=OWN_CACHE_WORDS)

@@ -89,6 +89,20 @@ def test_code_points_newer_than_python_s_tables_are_cut_as_the_library_does():
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.DocumentIds(WORDS).batch(texts)] == want
 
 
+def test_a_cache_of_words_is_as_large_as_asked_for(monkeypatch):
+    """Words that come again go to the library again only where the cache is too small for them; the ids are the same."""
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x, é{i}." for i in range(at, at + 60)) for at in (*range(0, 600, 60), *range(0, 600, 60))]
+    merged, asked, found = packing.DocumentIds.merged, [], []
+    monkeypatch.setattr(packing.DocumentIds, "merged", lambda self, pieces: (asked[-1].extend(pieces), merged(self, pieces))[1])
+    for most in (100, 100_000):
+        ids = packing.DocumentIds(WORDS, most)
+        asked.append([])
+        found.append([ids.batch([t])[0] for t in texts])
+    want = [packing.DocumentIds(WORDS).library(t) for t in texts]
+    assert found == [want, want]
+    assert len(asked[0]) > len(asked[1]) == len(set(asked[1]))
+
+
 def test_packing_places_every_id_once(docs, rows, empty):
     library = tokenizers.Tokenizer.from_file(WORDS)
     pieces = packing.pack_documents(docs, WORDS, pool_tokens=20_000).collect()
