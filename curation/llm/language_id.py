@@ -11,6 +11,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ PASSES, BATCH, RATE = 2, 64, 0.3
 BLOCK = 32
 #: Characters of a word; of each segment of a longer one, the last OVERLAP are the first of the next.
 SEGMENT, OVERLAP = 24, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_GRAMS = 300_000, 300_000
 LETTER = regex.compile(r"\p{L}")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„«»‘’¡¿"
 
@@ -52,13 +54,26 @@ def words_of(text: str) -> list[str]:
     return words if max(map(len, words), default=0) <= SEGMENT else [s for w in words for s in segments(w)]
 
 
+class Buckets(dict):
+    """Feature -> its hashed bucket, worked out once for each in the cache."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= CACHE_GRAMS:
+            self.clear()
+        n = self[feature] = zlib.crc32(feature.encode()) % BUCKETS
+        return n
+
+
+bucket_of = Buckets().__getitem__
+
+
 def word_features(word: str, lists: dict[str, int]) -> list[int]:
     """Hashed prefixes and suffixes up to three letters, n-grams of two and three, and the word list that has it."""
     w = word.strip(EDGE)
     if not LETTER.search(w):
         return [0]
-    found = [zlib.crc32(f"{k}{x}".encode()) % BUCKETS for k, x in (("<", w[:1]), ("<", w[:2]), ("<", w[:3]), (">", w[-1:]), (">", w[-2:]), (">", w[-3:]))]
-    found += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (2, 3) for i in range(len(w) - n + 1)]
+    twos = [*map(add, w, w[1:])]
+    found = [*map(bucket_of, ("<" + w[:1], "<" + w[:2], "<" + w[:3], ">" + w[-1:], ">" + w[-2:], ">" + w[-3:], *twos, *map(add, twos, w[2:])))]
     if w in lists:
         found.append(zlib.crc32(b"list %d" % lists[w]) % BUCKETS)
     return found
@@ -83,14 +98,18 @@ class Field:
         """Scores of words by language, and 1 where a word has a letter; worked out once for each distinct word in the cache."""
         if len(self._rows) > CACHE_WORDS:
             self._rows, self._scores, self._lettered = {}, self._scores[:0], self._lettered[:0]
-        new = list(set(words).difference(self._rows))
-        if new:
-            ids = [word_features(w, self.lists) for w in new]
-            starts = np.cumsum([0, *map(len, ids[:-1])])
-            scores = np.add.reduceat(self.weights[np.concatenate([np.asarray(i, np.int64) for i in ids])], starts, axis=0)
-            self._rows.update(zip(new, range(len(self._rows), len(self._rows) + len(new))))
+        new = set(words).difference(self._rows)
+        cores = [w.strip(EDGE) for w in new]  # all that a word's features depend on
+        fresh = [*set(cores).difference(self._rows)]
+        if fresh:
+            ids = [word_features(w, self.lists) for w in fresh]
+            sizes = [*map(len, ids)]
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(sizes))
+            scores = np.add.reduceat(self.weights[flat], np.cumsum([0, *sizes[:-1]]), axis=0)
+            self._rows.update(zip(fresh, range(len(self._scores), len(self._scores) + len(fresh))))
             self._scores = np.concatenate([self._scores, scores.astype(np.float32)])
             self._lettered = np.concatenate([self._lettered, [float(i != [0]) for i in ids]])
+        self._rows.update(zip(new, [self._rows[w] for w in cores]))
         at = np.fromiter(map(self._rows.__getitem__, words), np.int64, len(words))
         return self._scores[at], self._lettered[at]
 

@@ -427,3 +427,16 @@ def test_rows_without_id_and_clashing_columns(spark):
     assert len(prints) == 4 and sorted(r["n_chars"] for r in prints) == [0, 0, 19, 22]
     # an empty text follows, so nothing takes the place of the last nine characters
     assert [r["edited_sha256"] for r in prints if r["doc_id"] == 1] == [hashlib.sha256(b"the dog an").hexdigest()]
+
+
+def test_a_word_is_read_once_whatever_signs_stand_around_it(monkeypatch):
+    read, features = [], language_id.word_features
+    draw = np.random.default_rng(3)
+    field = language_id.Field(["a", "b"], {"und": 0}, draw.normal(size=(language_id.BUCKETS, 2)).astype(np.float32), np.zeros((2, 2)))
+    words = ["und", "und,", "(und)", "...", "été", "été!", "x", "\0langes\0", "12", "und"]
+    want = [field.weights[np.asarray(features(w, field.lists))].sum(axis=0) for w in words]
+    monkeypatch.setattr(language_id, "word_features", lambda w, lists: (read.append(w), features(w, lists))[1])
+    for _ in range(2):
+        scores, lettered = field.looked_up(words)
+        assert np.allclose(scores, want, atol=1e-4) and lettered.tolist() == [1, 1, 1, 0, 1, 1, 1, 1, 0, 1]
+    assert sorted(read) == sorted(["und", "", "été", "x", "\0langes\0", "12"])
