@@ -1,5 +1,8 @@
 """Keyed state with event-time timers: a heartbeat reaper and a capped event log, each as a stream and as a batch query.
 
+Keys are kept by shards, so a stream costs a call of Python for each shard of a micro-batch, not for each key; a shard's
+timer is the earliest of its keys'.
+
 Both forms answer for a moment ``now``: the stream's is its watermark, which a clock row moves on where no events come.
 """
 
@@ -7,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,53 +21,66 @@ from curation.sources import tables
 
 #: The key of clock rows, which no job or task has.
 CLOCK = -1
+#: Shards of the keys of a stream.
+SHARDS = 1024
 
 
 def _milliseconds(us: int) -> int:
     return -(-us // 1000)
 
 
-def reaper_stream(events: DataFrame, minutes: int = 10, lateness: str = "1 hour", done: tuple[str, ...] = ("purchase",)) -> DataFrame:
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(shards)).alias("shard")
+
+
+def _micros(at: pd.Series) -> list[int]:
+    return at.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _kept(state: GroupState, value: tuple, expires: list[int]) -> None:
+    """Keep what is left of a shard and wake it when its first timer is due, or forget it."""
+    if expires:
+        state.update(value)
+        # a timer fires once the watermark is past it
+        state.setTimeoutTimestamp(min(expires) - 1)
+    elif state.exists:
+        state.remove()
+
+
+def reaper_stream(events: DataFrame, minutes: int = 10, lateness: str = "1 hour", done: tuple[str, ...] = ("purchase",), shards: int = SHARDS) -> DataFrame:
     """(user_id, last_beat, state, status, tasks): RUNNING when beats of a job come, FAILED once ``minutes`` have passed
     since its last one (the boundary included), with the tasks that were live then.
 
     A beat re-arms the job's timer; late ones are taken up to ``lateness``. A job that fails is forgotten, so what is held
     is the live jobs; a later beat starts it anew. A task is an event type; those in ``done`` are over when they come.
     """
-    beats = events.select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id", "event_type").withWatermark("at", lateness)
+    beats = events.select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id", "event_type", _shard(shards)).withWatermark("at", lateness)
     columns = ["user_id", "last_beat", "state", "status", "tasks"]
 
-    def row(user: int, us: int, kind: str, status: str, tasks: list[str]) -> pd.DataFrame:
-        return pd.DataFrame([(user, pd.Timestamp(us, unit="us"), kind, status, tasks)], columns=columns)
-
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        us, last_id, kind, tasks = state.get if state.exists else (-1, -1, "", [])
-        if state.hasTimedOut:
-            state.remove()
-            yield row(user, us, kind, "FAILED", sorted(tasks))
-            return
-        held = set(tasks)
-        for part in parts:
-            for at, event, own in zip(part["at"].astype("datetime64[us]").astype("int64"), part["event_id"], part["event_type"]):
-                if (at, event) > (us, last_id):
-                    us, last_id, kind = int(at), int(event), own
+        jobs = {user: (us, last, kind, set(tasks)) for user, us, last, kind, tasks in zip(*state.get)} if state.exists else {}
+        beaten = set()
+        for part in [] if state.hasTimedOut else parts:
+            for user, at, event, own in zip(part["user_id"].tolist(), _micros(part["at"]), part["event_id"].tolist(), part["event_type"]):
+                us, last, kind, held = jobs.get(user) or (-1, -1, "", set())
                 if own not in done:
                     held.add(own)
-        expires = _milliseconds(us) + minutes * 60_000
-        yield row(user, us, kind, "RUNNING", sorted(held))
-        if expires <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield row(user, us, kind, "FAILED", sorted(held))
-            return
-        state.update((us, last_id, kind, sorted(held)))
-        # a timer fires once the watermark is past it
-        state.setTimeoutTimestamp(expires - 1)
+                jobs[user] = (at, event, own, held) if (at, event) > (us, last) else (us, last, kind, held)
+                beaten.add(user)
+        rows = [(user, jobs[user][0], jobs[user][2], "RUNNING", sorted(jobs[user][3])) for user in beaten]
+        expires = {user: _milliseconds(job[0]) + minutes * 60_000 for user, job in jobs.items()}
+        for user in [u for u, at in expires.items() if at <= state.getCurrentWatermarkMs()]:
+            us, _, kind, held = jobs.pop(user)
+            rows.append((user, us, kind, "FAILED", sorted(held)))
+            del expires[user]
+        _kept(state, tuple([*c] for c in zip(*((user, us, last, kind, sorted(held)) for user, (us, last, kind, held) in jobs.items()))), [*expires.values()])
+        if rows:
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.assign(last_beat=out["last_beat"].to_numpy().astype("datetime64[us]"))
 
     out = "user_id long, last_beat timestamp, state string, status string, tasks array<string>"
-    kept = "us long, last_id long, kind string, tasks array<string>"
-    return beats.groupBy("user_id").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "users array<long>, us array<long>, last_ids array<long>, kinds array<string>, tasks array<array<string>>"
+    return beats.groupBy("shard").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def final_status(changes: DataFrame) -> DataFrame:
@@ -73,36 +90,44 @@ def final_status(changes: DataFrame) -> DataFrame:
     return last.select("user_id", F.col("x.last_beat").cast("timestamp_ntz").alias("last_beat"), "x.state", (F.col("x.status") == "FAILED").alias("reaped"))
 
 
-def log_stream(events: DataFrame, most: int = 500, hours: int = 1, lateness: str = "1 hour") -> DataFrame:
+def log_stream(events: DataFrame, most: int = 500, hours: int = 1, lateness: str = "1 hour", shards: int = SHARDS) -> DataFrame:
     """(user_id, last, events): the log of a task, its last ``most`` events in order, whenever it changes; null once ``hours``
     have passed without one, when the task is forgotten. Events before a pause of that length are not in the log."""
-    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id").withWatermark("at", lateness)
+    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id", _shard(shards)).withWatermark("at", lateness)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        if state.hasTimedOut:
-            log = [*zip(*state.get)]
-            state.remove()
-            yield pd.DataFrame({"user_id": [user], "last": [pd.Timestamp(log[-1][0], unit="us")], "events": [None]})
-            return
-        log = [*zip(*state.get)] if state.exists else []
-        for part in parts:
-            log += [*zip(part["at"].astype("datetime64[us]").astype("int64").tolist(), part["event_id"].tolist())]
-            log = sorted(log)[-most:]
-        # a late event may still fill a pause, so what is before it is only left out of the answer
-        start = max((i for i in range(1, len(log)) if log[i][0] - log[i - 1][0] >= hours * 3_600_000_000), default=0)
-        yield pd.DataFrame({"user_id": [user], "last": [pd.Timestamp(log[-1][0], unit="us")], "events": [[e for _, e in log[start:]]]})
-        expires = _milliseconds(log[-1][0]) + hours * 3_600_000
-        if expires <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"user_id": [user], "last": [pd.Timestamp(log[-1][0], unit="us")], "events": [None]})
-            return
-        state.update(([t for t, _ in log], [e for _, e in log]))
-        state.setTimeoutTimestamp(expires - 1)
+        logs: dict[int, list] = {}
+        if state.exists:
+            users, sizes, times, ids = state.get
+            flat, ends = [*zip(times, ids)], np.cumsum(sizes).tolist()
+            logs = {user: flat[end - n : end] for user, n, end in zip(users, sizes, ends)}
+        changed = set()
+        for part in [] if state.hasTimedOut else parts:
+            new: dict[int, list] = {}
+            for user, at, event in zip(part["user_id"].tolist(), _micros(part["at"]), part["event_id"].tolist()):
+                new.setdefault(user, []).append((at, event))
+            for user, own in new.items():
+                logs[user] = sorted(logs.get(user, []) + own)[-most:]
+            changed |= new.keys()
+        out = []
+        for user in changed:
+            log = logs[user]
+            # a late event may still fill a pause, so what is before it is only left out of the answer
+            start = max((i for i in range(1, len(log)) if log[i][0] - log[i - 1][0] >= hours * 3_600_000_000), default=0)
+            out.append((user, log[-1][0], [e for _, e in log[start:]]))
+        expires = {user: _milliseconds(log[-1][0]) + hours * 3_600_000 for user, log in logs.items()}
+        for user in [u for u, at in expires.items() if at <= state.getCurrentWatermarkMs()]:
+            out.append((user, logs.pop(user)[-1][0], None))
+            del expires[user]
+        flat = [x for log in logs.values() for x in log]
+        _kept(state, ([*logs], [*map(len, logs.values())], [t for t, _ in flat], [e for _, e in flat]), [*expires.values()])
+        if out:
+            users, last, own = zip(*out)
+            yield pd.DataFrame({"user_id": users, "last": np.asarray(last, "datetime64[us]"), "events": pd.Series(own, dtype=object)})
 
     out = "user_id long, last timestamp, events array<long>"
-    return rows.groupBy("user_id").applyInPandasWithState(step, out, "times array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "users array<long>, sizes array<int>, times array<long>, ids array<long>"
+    return rows.groupBy("shard").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def final_logs(changes: DataFrame, tasks: int = 100) -> DataFrame:

@@ -222,3 +222,17 @@ def test_an_export_is_compressed_and_an_import_stages_it_once(spark, tmp_path, m
         key = database.Key("a", "o_orderkey", "b", "o_custkey")
         database.import_database(spark, f"{tmp_path}/out", f"{tmp_path}/db", {"a": orders.schema, "b": orders.schema}, [key], force=True)
     assert files.folders(spark, f"{tmp_path}/db") == ["manifests", "parts"]
+
+
+def test_streams_keep_keys_by_shards(spark, monkeypatch):
+    """Jobs of one shard have their own timers, and a stream calls Python by shards."""
+    start = datetime(2024, 1, 1)
+    times = {u: [60 * (u % 7), 600 + 40 * (u % 11)] for u in range(40)} | {99: [1200]}
+    rows = [(u, start + timedelta(seconds=s), 10 * u + i, "click") for u, ts in times.items() for i, s in enumerate(ts)]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, event_type string")
+    for shards in (1, 3):
+        got = {r["user_id"]: r["reaped"] for r in state.final_status(state.replayed(spark, events, lambda e: state.reaper_stream(e, shards=shards), batches=2, jitter=300)).collect()}
+        # the clock ends at 1200 s: beats up to 600 s are ten minutes old
+        assert got == {u: ts[-1] <= 600 for u, ts in times.items()}
+        logs = state.final_logs(state.replayed(spark, events, lambda e: state.log_stream(e, most=1, shards=shards), batches=2, jitter=300)).collect()
+        assert {(r["user_id"], r["event_id"], r["pos"]) for r in logs} == {(u, 10 * u + len(ts) - 1, 1) for u, ts in times.items()}
