@@ -28,7 +28,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+#: Tables of texts of any length.
+TEXTS = ("documents", "pages", "benchmark", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Texts go to Python in Arrow batches of 256 rows and 8 MB at most, which stays so for the session."""
+    if name in TEXTS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

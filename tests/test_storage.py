@@ -236,3 +236,17 @@ def test_streams_keep_keys_by_shards(spark, monkeypatch):
         assert got == {u: ts[-1] <= 600 for u, ts in times.items()}
         logs = state.final_logs(state.replayed(spark, events, lambda e: state.log_stream(e, most=1, shards=shards), batches=2, jitter=300)).collect()
         assert {(r["user_id"], r["event_id"], r["pos"]) for r in logs} == {(u, 10 * u + len(ts) - 1, 1) for u, ts in times.items()}
+
+
+def test_pages_go_to_python_in_small_batches(spark, tmp_path):
+    for limit in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{limit}")
+    (tmp_path / "pages.parquet").symlink_to(f"{DATA}/pages.parquet")
+    pages = registry.table(spark, str(tmp_path), "pages").coalesce(1)
+    rows = pages.select("html").unionByName(pages.select("html")).unionByName(pages.select("html")).coalesce(1)
+
+    @F.pandas_udf("long")
+    def together(html):
+        return html.map(lambda _: len(html))
+
+    assert rows.agg(F.max(together("html"))).first()[0] <= 256 < rows.count()
