@@ -242,8 +242,8 @@ def test_pages_go_to_python_in_small_batches(spark, tmp_path):
     for limit in ("maxRecordsPerBatch", "maxBytesPerBatch"):
         spark.conf.unset(f"spark.sql.execution.arrow.{limit}")
     (tmp_path / "pages.parquet").symlink_to(f"{DATA}/pages.parquet")
-    pages = registry.table(spark, str(tmp_path), "pages").coalesce(1)
-    rows = pages.select("html").unionByName(pages.select("html")).unionByName(pages.select("html")).coalesce(1)
+    pages = registry.table(spark, str(tmp_path), "pages")
+    rows = pages.select("html").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20)))).coalesce(1)
 
     @F.pandas_udf("long")
     def together(html):
