@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,23 @@ def small_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Until it ends, Spark broadcasts a side of a join by its measured size only, or where it is told to.
+
+    The size of a Parquet table is estimated by its files, and a compressed one can be many times as large in the driver.
+    """
+    name, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {c: spark.conf.get(c, None) for c in (name, adaptive)}
+    try:
+        spark.conf.set(adaptive, before[adaptive] or spark.conf.get(name))
+        spark.conf.set(name, "-1")
+        yield
+    finally:
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 

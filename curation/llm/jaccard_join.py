@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curation.llm.common import KeyFilter, small_batches, table, written
-from curation.llm.near_dedup import COUNTERS, WordHashes, components, confirmed, labelled, may_link, mixed, parity, same_ids, shingle_sets
+from curation.llm.common import KeyFilter, measured_broadcasts, small_batches, table, written
+from curation.llm.near_dedup import COUNTERS, WordHashes, components, confirmed, labelled, may_link, mixed, parity, same_ids, shingle_sets, summed
 
 #: Largest set that may be light; enumerating subsets of larger ones never pays.
 LIGHT_MOST = 16
@@ -251,12 +251,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with whatever any of their texts is linked with. A row without an id is a component of its own if nothing equals
     it. An empty table gives no rows; other columns are not read. ``costs`` takes the boundary that was chosen.
     """
+    with measured_broadcasts(docs.sparkSession):
+        return _joined(docs, id_col, text_col, shingle_words, percent, costs)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, costs: dict | None) -> DataFrame:
     source = (docs, id_col, text_col, shingle_words, percent)
     both = written(described(docs, id_col, text_col, shingle_words))
-    counts = np.zeros(COUNTERS, np.int64)
-    # at most COUNTERS rows
-    for r in both.where("counter is not null").groupBy("counter").agg(F.sum("seen").alias("n")).collect():
-        counts[r["counter"]] = r["n"]
+    counts = summed(both.where("counter is not null"), "counter", "seen")
     sig = both.where("counter is null").select("id", "n_shingles", "digest", "mark")
     total = sig.count()
     classes = sig.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))

@@ -268,6 +268,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
     return dealt.select("id", "a", "part", "text").mapInArrow(task, "a long, b long").distinct()
 
 
+def summed(rows: DataFrame, counter: str, seen: str) -> np.ndarray:
+    """Per counter the sum of ``seen``; at most COUNTERS rows, which reach the driver as Arrow columns and not as objects."""
+    sums = rows.groupBy(counter).agg(F.sum(seen)).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    return counts
+
+
 def rare_shingles(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, total: int) -> DataFrame:
     """Per set of the ids of ``open_`` (id, component): its rarest shingles, of which it shares one with any set it is linked with.
 
@@ -293,10 +301,7 @@ def rare_shingles(open_: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
     texts = open_.join(texts_of(open_.select("id"), docs, id_col, text_col, total), "id").select("id", "component", "text")
     sets = written(texts.mapInArrow(task, "id long, component long, n_shingles long, bits array<long>, shingles array<long>"))
-    counts = np.zeros(COUNTERS, np.int64)
-    # at most COUNTERS rows
-    for r in sets.select("shingles").mapInArrow(counted, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        counts[r["c"]] = r["n"]
+    counts = summed(sets.select("shingles").mapInArrow(counted, "c long, n long"), "c", "n")
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

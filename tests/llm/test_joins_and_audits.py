@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curation.llm import centroids, divergence, jaccard_join
-from curation.llm.common import small_batches
+from curation.llm.common import small_batches, written
 from tests.compare import DATA
 from tests.llm import cases
 
@@ -222,3 +222,35 @@ def test_long_texts_are_told_apart_by_wide_bitmaps(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert joined(docs, shingle_words=1) == expected(rows, 1)
     assert joined(docs) == expected(rows)
+
+
+def test_join_brings_no_more_than_sizes_to_the_driver_as_rows(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real, taken = type(docs).collect, []
+
+    def collect(self):
+        taken.append(real(self))
+        return taken[-1]
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    out = jaccard_join.jaccard_join(docs)
+    monkeypatch.undo()
+    assert max(map(len, taken)) <= jaccard_join.LIGHT_MOST
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(i, i // 2 * 2) for i in range(40)}
+
+
+def test_join_broadcasts_no_side_by_the_size_of_its_files(spark, monkeypatch):
+    """A million rows of 16 MB in files of a few KB."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    small = written(spark.range(1 << 20).select(F.lit(7).cast("long").alias("id"), F.lit(8).cast("long").alias("component")))
+    before, real, plans = [spark.conf.get(n, None) for n in names], jaccard_join.described, []
+
+    def described(*args):
+        plans.append(spark.range(1 << 30).join(small, "id")._jdf.queryExecution().sparkPlan().toString())
+        return real(*args)
+
+    monkeypatch.setattr(jaccard_join, "described", described)
+    jaccard_join.jaccard_join(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert [spark.conf.get(n, None) for n in names] == before
